@@ -1,0 +1,49 @@
+"""Layouts of the typed tables that the operators work on."""
+
+from pyspark.sql import types as T
+
+
+def _schema(*fields) -> T.StructType:
+    return T.StructType([T.StructField(name, kind) for name, kind in fields])
+
+
+ADMISSIONS = _schema(
+    ("subject_id", T.StringType()),
+    ("deathtime", T.DateType()),
+    ("hospital_expire_flag", T.StringType()),
+)
+CODED_EVENTS = _schema(
+    ("subject_id", T.StringType()),
+    ("code", T.StringType()),
+    ("event_date", T.DateType()),
+)
+MEASUREMENTS = _schema(
+    ("subject_id", T.StringType()),
+    ("code", T.StringType()),
+    ("value", T.DoubleType()),
+    ("event_date", T.DateType()),
+)
+NOTES = _schema(
+    ("note_id", T.StringType()),
+    ("subject_id", T.StringType()),
+    ("event_date", T.DateType()),
+    ("text", T.StringType()),
+)
+NOTE_WORD_COUNTS = _schema(
+    ("subject_id", T.StringType()),
+    ("word", T.StringType()),
+    ("cnt", T.LongType()),
+    ("event_date", T.DateType()),
+)
+ENTITY_TFIDF = _schema(
+    ("subject_id", T.StringType()),
+    ("word", T.StringType()),
+    ("tfidf", T.DoubleType()),
+)
+EVENTS = _schema(
+    ("subject_id", T.StringType()),
+    ("source", T.StringType()),
+    ("code", T.StringType()),
+    ("value", T.DoubleType()),
+    ("event_date", T.DateType()),
+)
