@@ -2,7 +2,7 @@
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskweave.functions.scoring import tfidf
@@ -29,6 +29,12 @@ def lemmatize(words: DataFrame, lemmas: DataFrame) -> DataFrame:
     return found.withColumn("word", F.coalesce("lemma", "word")).select(words.columns)
 
 
+def lemma_table(spark: SparkSession, pairs: Iterable[tuple[str, str]]) -> DataFrame:
+    """(form, lemma) from a short list; a dictionary comes as a table instead."""
+    rows = [F.struct(F.lit(form).alias("form"), F.lit(lemma).alias("lemma")) for form, lemma in pairs]
+    return spark.range(1).select(F.inline(F.array(*rows)))
+
+
 def remove_stop_words(words: DataFrame, stop: DataFrame | Iterable[str] = ENGLISH_STOP_WORDS) -> DataFrame:
     """Rows whose word is not a stop word, given as a list or as the first column of a table."""
     if isinstance(stop, DataFrame):

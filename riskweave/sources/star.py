@@ -55,7 +55,7 @@ def diagnoses(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _lines(spark, folder) -> DataFrame:
-    lines = table(spark, folder, "lineitem")
+    lines = spread_scan(table(spark, folder, "lineitem"), "l_orderkey")
     orders = table(spark, folder, "orders")
     parts = table(spark, folder, "part")
     return lines.join(orders, lines["l_orderkey"] == orders["o_orderkey"]).join(
