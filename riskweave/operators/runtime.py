@@ -18,12 +18,11 @@ SALT = "_salt"
 def checkpoint_folder(spark: SparkSession) -> str:
     """The shared folder that the cluster names; a folder of our own only on one machine."""
     context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
         if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors can reach")
         folder = tempfile.mkdtemp(prefix="riskweave-")
-        spark.conf.set("spark.checkpoint.dir", folder)
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(folder)
     return folder
@@ -54,39 +53,37 @@ def spread_scan(scan: DataFrame, key: str) -> DataFrame:
 
 def hot_keys(
     sizes: DataFrame, key: str, rows: str, min_rows: int = HOT_MIN_ROWS, shares: int = HOT_SHARES
-) -> DataFrame:
-    """Keys with too many rows for one task, with the number of parts to cut them into.
+) -> Column:
+    """Map from keys with too many rows for one task to the number of parts to cut them into.
 
     ``sizes`` has one row per key and its number of rows.  A hot key has more
-    than one part in ``shares`` of all rows, so the result has fewer than
-    ``shares`` rows by construction and may be broadcast at any scale.
+    than one part in ``shares`` of all rows, so the map has fewer than
+    ``shares`` entries by construction, at any scale.  It is a scalar subquery:
+    nothing runs before the query that uses it, and no join is needed to look
+    a key up.
     """
     total = sizes.agg(F.sum(rows)).scalar()
     limit = F.greatest(F.lit(float(min_rows)), total / F.lit(float(shares)))
-    return sizes.filter(F.col(rows) > limit).select(
-        key, F.ceil(F.col(rows) / limit).cast("int").alias("_parts")
-    )
+    parts = F.ceil(F.col(rows) / limit).cast("int")
+    hot = sizes.filter(F.col(rows) > limit).agg(F.map_from_entries(F.collect_list(F.struct(F.col(key), parts))))
+    return hot.scalar()
 
 
-def spread_join(big: DataFrame, small: DataFrame, key: str, hot: DataFrame, salt: Column) -> DataFrame:
+def spread_join(big: DataFrame, small: DataFrame, key: str, hot: Column, salt: Column) -> DataFrame:
     """Inner equi-join whose hot keys are cut into parts.
 
     Rows of ``big`` with a hot key are dealt to its parts by ``salt``, and the
     rows of ``small`` with that key are repeated once per part; all other keys
     have a single part.  Every pair comes out exactly once.
+
+    The hash table of a task holds its share of ``small``, which has few rows
+    per key, and the rows of ``big`` are neither sorted nor broadcast: Spark
+    takes a text for 20 bytes, so its own choice could be to broadcast notes.
     """
-    parts = F.coalesce("_parts", F.lit(1))
-    dealt = (
-        big.join(F.broadcast(hot), key, "left")
-        .withColumn(SALT, F.pmod(salt, parts).cast("int"))
-        .drop("_parts")
-    )
-    repeated = (
-        small.join(F.broadcast(hot), key, "left")
-        .withColumn(SALT, F.explode(F.sequence(F.lit(0), parts - 1)))
-        .drop("_parts")
-    )
-    return dealt.join(repeated, [key, SALT]).drop(SALT)
+    parts = F.coalesce(F.try_element_at(hot, F.col(key)), F.lit(1))
+    dealt = big.withColumn(SALT, F.pmod(salt, parts).cast("int"))
+    repeated = small.withColumn(SALT, F.explode(F.sequence(F.lit(0), parts - 1)))
+    return dealt.join(repeated.hint("shuffle_hash"), [key, SALT]).drop(SALT)
 
 
 def row_salt(*columns: str) -> Column:

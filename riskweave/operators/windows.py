@@ -33,8 +33,8 @@ def last_event_dates(events: DataFrame) -> DataFrame:
     return busy.select("subject_id", "last_date")
 
 
-def hot_entities(events: DataFrame, min_rows: int = HOT_MIN_ROWS) -> DataFrame:
-    """The few entities whose events must be spread over several tasks."""
+def hot_entities(events: DataFrame, min_rows: int = HOT_MIN_ROWS) -> Column:
+    """The few entities whose events must be spread over several tasks, as a map to their parts."""
     busy = entity_activity(events).filter((F.col("n_events") > 0) & F.col("last_date").isNotNull())
     return hot_keys(busy, "subject_id", "n_events", min_rows)
 
@@ -77,7 +77,7 @@ def in_window(
     events: DataFrame,
     windows: DataFrame,
     closed: str = "neither",
-    hot: DataFrame | None = None,
+    hot: Column | None = None,
     salt_on: tuple[str, ...] | None = None,
 ) -> DataFrame:
     """Events inside a window of their entity, once per window that holds them.

@@ -72,11 +72,16 @@ def windowed_notes(tables: Tables, settings: Settings = Settings()) -> DataFrame
 
 
 def entity_words(tables: Tables, settings: Settings = Settings()) -> DataFrame:
+    """(subject_id, word, cnt) of the notes inside the windows."""
     return words.entity_bags(windowed_notes(tables, settings), settings.lemmas, settings.stop_words)
 
 
 def word_count_tuples(tables: Tables, settings: Settings = Settings()) -> DataFrame:
-    return features.word_features(features.sum_word_features(entity_words(tables, settings)))
+    """Total count per entity and word, which :func:`entity_words` has summed already."""
+    counts = entity_words(tables, settings)
+    return features.word_features(
+        counts.select("subject_id", F.col("word").alias("feature"), F.col("cnt").cast("double").alias("value"))
+    )
 
 
 def tfidf_tuples(tables: Tables, settings: Settings = Settings()) -> DataFrame:
@@ -84,11 +89,14 @@ def tfidf_tuples(tables: Tables, settings: Settings = Settings()) -> DataFrame:
 
     The counts are needed for the scores, per entity and per word.  They are
     written once, so the texts are tokenised once and each use reads only its
-    columns.
+    columns.  There is one score per entity and word, so the mean per entity
+    and word (:func:`features.mean_word_features`) is the score itself.
     """
     counts = stored(entity_words(tables, settings))
     scores = words.entity_tfidf(counts, settings.tfidf_norm)
-    return features.word_features(features.mean_word_features(scores))
+    return features.word_features(
+        scores.select("subject_id", F.col("word").alias("feature"), F.col("tfidf").alias("value"))
+    )
 
 
 def feature_tuples(variant: str, tables: Tables, settings: Settings = Settings()) -> DataFrame:
