@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskweave.functions.codes import DIAGNOSIS
+from riskweave.operators.runtime import keep_listed
 
 # The code range of the cohort, codes stored without the dot.
 COHORT_LOW, COHORT_HIGH, COHORT_DIGITS = "2500", "2590", 4
@@ -24,7 +25,7 @@ def select_cohort(
 
 def restrict(frame: DataFrame, cohort: DataFrame) -> DataFrame:
     """Rows of the cohort."""
-    return frame.join(cohort.select("subject_id"), "subject_id", "left_semi")
+    return keep_listed(frame, cohort, "subject_id")
 
 
 def cohort_stats(

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskweave.functions import codes
+from riskweave.operators.runtime import keep_listed
 
 EVENT_COLUMNS = ["subject_id", "source", "code", "value", "event_date"]
 
@@ -62,6 +63,5 @@ def survived(admissions: DataFrame) -> DataFrame:
 def keep_codes(frame: DataFrame, wanted: DataFrame | Iterable[str], column: str = "code") -> DataFrame:
     """Rows whose code is in a list, or in the first column of a table."""
     if isinstance(wanted, DataFrame):
-        wanted = wanted.select(F.col(wanted.columns[0]).alias(column))
-        return frame.join(wanted, column, "left_semi").select(frame.columns)
+        return keep_listed(frame, wanted.select(F.col(wanted.columns[0]).alias(column)), column)
     return frame.filter(F.col(column).isin(list(wanted)))

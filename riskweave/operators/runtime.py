@@ -86,6 +86,18 @@ def spread_join(big: DataFrame, small: DataFrame, key: str, hot: Column, salt: C
     return dealt.join(repeated.hint("shuffle_hash"), [key, SALT]).drop(SALT)
 
 
+def keep_listed(frame: DataFrame, wanted: DataFrame, key: str, min_rows: int = HOT_MIN_ROWS) -> DataFrame:
+    """Rows of ``frame`` whose ``key`` is in the table ``wanted``, of any size, with hot keys cut into parts.
+
+    A plain semi-join would leave the rows of a key together, and a grouping
+    that follows would keep them so.
+    """
+    sizes = frame.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    salt = row_salt(*[c for c in frame.columns if c != "text"])
+    hot = hot_keys(sizes, key, "n", min_rows)
+    return spread_join(frame, wanted.select(key).distinct(), key, hot, salt).select(frame.columns)
+
+
 def row_salt(*columns: str) -> Column:
     """Deals rows by their content and input split.
 

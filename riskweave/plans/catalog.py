@@ -41,6 +41,8 @@ COHORT_LOW, COHORT_HIGH = "1", "2-~"
 WANTED_DIAGNOSES = ["DIAG1-URGENT", "DIAG5-LOW"]
 WANTED_LABS = ["LABECONOMY", "LABSTANDARD"]
 
+BIG_PARTS = 50
+
 # Customers of these nations are the given training and test sets.
 TRAIN_NATIONS, TEST_NATIONS = (0, 11), (12, 19)
 
@@ -154,6 +156,13 @@ def feature_avg_filtered(spark, folder):
     return features.mean_features(star.labs(spark, folder), WANTED_LABS)
 
 
+def feature_count_listed(spark, folder):
+    """The codes come as a table: the brands of the largest parts."""
+    parts = star.table(spark, folder, "part").filter(F.col("p_size") >= BIG_PARTS)
+    wanted = parts.select(codes.namespaced_code(codes.MEDICATION, "p_brand").alias("code"))
+    return features.count_features(star.medication(spark, folder), wanted)
+
+
 def cohort_select(spark, folder):
     return cohort.select_cohort(star.diagnoses(spark, folder), COHORT_LOW, COHORT_HIGH, digits=None)
 
@@ -450,6 +459,7 @@ def queries() -> dict[str, Query]:
         "events_in_closed_window": _in_window(star.events, closed="both"),
         "feature_count_filtered": feature_count_filtered,
         "feature_avg_filtered": feature_avg_filtered,
+        "feature_count_listed": feature_count_listed,
         "cohort_select": cohort_select,
         "cohort_events": cohort_events,
         "windows_lead_survivors": _windows("disjoint", survivor_lead_days=windows.LEAD_DAYS),

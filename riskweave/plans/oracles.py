@@ -240,6 +240,10 @@ SELECT note_id, subject_id, event_date FROM notes JOIN windows USING (subject_id
 WITH {EVENTS}
 SELECT subject_id, code AS feature, CAST(count(*) AS DOUBLE) AS value FROM diagnoses
 WHERE code IN {_list(catalog.WANTED_DIAGNOSES)} GROUP BY ALL""",
+        "feature_count_listed": f"""
+WITH {EVENTS}
+SELECT subject_id, code AS feature, CAST(count(*) AS DOUBLE) AS value FROM medication
+WHERE code IN (SELECT 'MED' || p_brand FROM part WHERE p_size >= {catalog.BIG_PARTS}) GROUP BY ALL""",
         "feature_avg_filtered": f"""
 WITH {EVENTS}
 SELECT subject_id, code AS feature, avg(value) AS value FROM labs

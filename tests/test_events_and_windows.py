@@ -118,6 +118,15 @@ def test_hot_keys_are_bounded(spark):
     assert spark.range(1).select(F.coalesce(runtime.hot_keys(sizes.limit(0), "k", "n"), F.create_map()).alias("m")).first()["m"] == {}
 
 
+def test_listed_rows_of_a_hot_key(spark):
+    random.seed(4)
+    rows = [("hot" if i % 3 == 0 else f"k{random.randrange(40)}", i % 7) for i in range(3000)]
+    frame = spark.createDataFrame(rows, "code string, x int").repartition(5)
+    wanted = spark.createDataFrame([("hot",), ("hot",), ("k1",), ("none",)], "code string")
+    got = Counter(tuple(r) for r in runtime.keep_listed(frame, wanted, "code", min_rows=50).collect())
+    assert got == Counter(r for r in rows if r[0] in ("hot", "k1"))
+
+
 def test_event_helpers(spark):
     admissions, events = two_kinds(spark)
     assert ev.fatal(admissions).count() == 2 and ev.survived(admissions).count() == 2
