@@ -57,14 +57,17 @@ def normalize_text(text) -> Column:
     return F.array_join(_stripped_words(text), " ")
 
 
-def tokens(text, normalized: bool = False) -> Column:
+def tokens(text, normalized: bool = False, separator: str | None = None) -> Column:
     """Words of a text in order, without empty ones.
 
     ``normalized`` says that the text has been through :func:`normalize_text`.
+    ``separator`` is a regular expression for what parts words, by default
+    white space.  With look-around it also cuts inside words: ``\\s+|(?='s\\b)``
+    makes two words of ``patient's``.
     """
-    if normalized:
-        text = F.col(text) if isinstance(text, str) else text
-        words = F.split(text, f"[{WHITESPACE}]+")
+    if normalized or separator:
+        plain = normalize_text(text) if not normalized else F.col(text) if isinstance(text, str) else text
+        words = F.split(plain, separator or f"[{WHITESPACE}]+")
     else:
         words = _stripped_words(text)
     return F.filter(words, lambda w: w != "")

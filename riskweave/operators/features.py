@@ -61,9 +61,13 @@ def union_tuples(*tuples: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, [t.select(TUPLE_COLUMNS) for t in tuples])
 
 
-def feature_names(tuples: DataFrame) -> DataFrame:
-    """Distinct (source, feature)."""
-    return tuples.select("source", "feature").distinct()
+def feature_names(tuples: DataFrame, min_entities: int = 1) -> DataFrame:
+    """Distinct (source, feature) that at least ``min_entities`` entities have."""
+    if min_entities <= 1:
+        return tuples.select("source", "feature").distinct()
+    # A tuple stands for one entity, so counting tuples counts entities.
+    counted = tuples.groupBy("source", "feature").agg(F.count(F.lit(1)).alias("n"))
+    return counted.filter(F.col("n") >= min_entities).select("source", "feature")
 
 
 def vocabulary_size(tuples: DataFrame) -> DataFrame:

@@ -43,13 +43,9 @@ def remove_stop_words(words: DataFrame, stop: DataFrame | Iterable[str] = ENGLIS
     return words.filter(~F.col("word").isin(list(stop)))
 
 
-def _note_bags(notes: DataFrame, keep: list[str]) -> DataFrame:
-    return notes.select(*keep, F.inline(word_bag(tokens("text"))))
-
-
-def _clean_bags(notes, lemmas, stop, keep) -> DataFrame:
+def _clean_bags(notes, lemmas, stop, separator, keep) -> DataFrame:
     """Words with counts, lemmatised, then without stop words; lemmas may repeat in a note."""
-    words = _note_bags(notes, keep)
+    words = notes.select(*keep, F.inline(word_bag(tokens("text", separator=separator))))
     if lemmas is not None:
         words = lemmatize(words, lemmas)
     if stop is not None:
@@ -61,6 +57,7 @@ def note_word_counts(
     notes: DataFrame,
     lemmas: DataFrame | None = None,
     stop: DataFrame | Iterable[str] | None = ENGLISH_STOP_WORDS,
+    separator: str | None = None,
 ) -> DataFrame:
     """(note_id, subject_id, event_date, word, cnt).
 
@@ -69,7 +66,7 @@ def note_word_counts(
     two forms of a word may become one.
     """
     keep = ["note_id", "subject_id", "event_date"]
-    words = _clean_bags(notes, lemmas, stop, keep)
+    words = _clean_bags(notes, lemmas, stop, separator, keep)
     if lemmas is None:
         return words
     return words.groupBy(*keep, "word").agg(F.sum("cnt").alias("cnt"))
@@ -84,9 +81,10 @@ def entity_bags(
     notes: DataFrame,
     lemmas: DataFrame | None = None,
     stop: DataFrame | Iterable[str] | None = ENGLISH_STOP_WORDS,
+    separator: str | None = None,
 ) -> DataFrame:
     """:func:`entity_word_counts` straight from notes, with one shuffle of counts."""
-    return entity_word_counts(_clean_bags(notes, lemmas, stop, ["subject_id"]))
+    return entity_word_counts(_clean_bags(notes, lemmas, stop, separator, ["subject_id"]))
 
 
 def entity_term_counts(counts: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskweave.functions import codes
-from riskweave.functions.hashing import hash_bucket
+from riskweave.functions.text import tokens
 from riskweave.operators import cohort, evaluation, features, labels, learning, splits, windows, words
 from riskweave.operators import events as ev
 from riskweave.plans import pipelines
@@ -42,6 +42,9 @@ WANTED_DIAGNOSES = ["DIAG1-URGENT", "DIAG5-LOW"]
 WANTED_LABS = ["LABECONOMY", "LABSTANDARD"]
 
 BIG_PARTS = 50
+MIN_ENTITIES = 5
+# Words end before these endings as well as at white space.
+WORD_SEPARATOR = r"\s+|(?=tion(?:\s|$))"
 
 # Customers of these nations are the given training and test sets.
 TRAIN_NATIONS, TEST_NATIONS = (0, 11), (12, 19)
@@ -106,6 +109,11 @@ def tokenize(spark, folder):
     return words.note_tokens(star.notes(spark, folder), "note_id")
 
 
+def tokenize_endings(spark, folder):
+    notes = star.notes(spark, folder)
+    return notes.select("note_id", F.explode(tokens("text", separator=WORD_SEPARATOR)).alias("word"))
+
+
 def lemmatize(spark, folder):
     return words.lemmatize(tokenize(spark, folder), words.lemma_table(spark, LEMMAS))
 
@@ -268,6 +276,12 @@ def feature_index(spark, folder):
     return features.feature_index(features.feature_names(wordcount_tuples(spark, folder)))
 
 
+def feature_index_common(spark, folder):
+    """Features that several entities have."""
+    tuples = wordcount_tuples(spark, folder)
+    return features.feature_index(features.feature_names(tuples, MIN_ENTITIES))
+
+
 def sparse_rows(spark, folder):
     """Entries of the assembled rows, with their position in the row."""
     tuples = pipelines.stored(wordcount_tuples(spark, folder))
@@ -445,6 +459,7 @@ def queries() -> dict[str, Query]:
         "number_casts": number_casts,
         "normalize_text": normalize_text,
         "tokenize": tokenize,
+        "tokenize_endings": tokenize_endings,
         "lemmatize": lemmatize,
         "remove_stopwords": remove_stopwords,
         "note_word_count": note_word_count,
@@ -462,6 +477,7 @@ def queries() -> dict[str, Query]:
         "feature_count_listed": feature_count_listed,
         "cohort_select": cohort_select,
         "cohort_events": cohort_events,
+        "windows_with_notes": _windows("disjoint", notes_extend_windows=True),
         "windows_lead_survivors": _windows("disjoint", survivor_lead_days=windows.LEAD_DAYS),
         "event_dates": event_dates,
         "last_event_date": last_event_date,
@@ -472,6 +488,7 @@ def queries() -> dict[str, Query]:
         "feature_avg_tfidf": feature_avg_tfidf,
         "feature_vocabulary_size": feature_vocabulary_size,
         "feature_index": feature_index,
+        "feature_index_common": feature_index_common,
         "sparse_rows": sparse_rows,
         "feature_vectors": feature_vectors,
         "entity_word_count": entity_word_count,

@@ -210,6 +210,12 @@ SELECT event_id, value AS as_double, CAST(user_id AS INTEGER) AS as_int,
 FROM events""",
         "normalize_text": f"WITH {NOTES} SELECT note_id, array_to_string({STRIPPED}, ' ') AS text FROM notes",
         "tokenize": f"WITH {TOKENS} SELECT note_id, word FROM tokens",
+        "tokenize_endings": f"""
+WITH {TOKENS},
+ends AS (SELECT note_id, word, len(word) > 4 AND word LIKE '%tion' AS cut FROM tokens),
+pieces AS (
+  SELECT note_id, unnest(CASE WHEN cut THEN [left(word, len(word) - 4), 'tion'] ELSE [word] END) AS word FROM ends)
+SELECT * FROM pieces""",
         "lemmatize": f"WITH {CLEAN} SELECT note_id, word FROM lemmatised",
         "remove_stopwords": f"WITH {CLEAN} SELECT note_id, word FROM clean",
         "note_word_count": f"""
@@ -253,6 +259,14 @@ WHERE code IN {_list(catalog.WANTED_LABS)} GROUP BY ALL""",
 WITH {EVENTS}, {COHORT}
 SELECT * FROM events_all WHERE subject_id IN (SELECT subject_id FROM cohort)""",
         "windows_lead_survivors": f"WITH {EVENTS}, {_windows(lead=30)} SELECT * FROM windows",
+        "windows_with_notes": f"""
+WITH {EVENTS}, {_windows()}, {NOTES},
+alive AS (SELECT subject_id, event_date FROM events_all UNION ALL SELECT subject_id, event_date FROM notes),
+last AS (
+  SELECT subject_id, max(event_date) AS day FROM alive
+  {ENTITIES_WITH_LAST_WINDOW["disjoint"]} GROUP BY subject_id HAVING max(event_date) IS NOT NULL)
+SELECT w.* FROM windows w WHERE subject_id IN (SELECT subject_id FROM admissions WHERE hospital_expire_flag = '1')
+UNION ALL SELECT subject_id, day - 2000, day FROM last""",
         "event_dates": f"WITH {EVENTS} SELECT DISTINCT subject_id, event_date FROM events_all",
         "last_event_date": f"""
 WITH {EVENTS} SELECT subject_id, max(event_date) AS last_date FROM events_all GROUP BY ALL""",
@@ -275,6 +289,10 @@ SELECT subject_id, word AS feature, round(avg(tfidf), 6) AS value FROM scores GR
 WITH {_pipeline("wordcount")}
 SELECT count(*) AS n_features FROM (SELECT DISTINCT source, feature FROM tuples)""",
         "feature_index": f"WITH {_pipeline('wordcount')}, {INDEX} SELECT source, feature, idx FROM feature_idx",
+        "feature_index_common": f"""
+WITH {_pipeline("wordcount")},
+names AS (SELECT source, feature FROM tuples GROUP BY ALL HAVING count(DISTINCT subject_id) >= {catalog.MIN_ENTITIES})
+SELECT source, feature, CAST(row_number() OVER (ORDER BY source, feature) - 1 AS INTEGER) AS idx FROM names""",
         "sparse_rows": f"""
 WITH {_pipeline("wordcount")}, {INDEX}
 SELECT subject_id, idx, round(value, 6) AS value,

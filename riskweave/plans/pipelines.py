@@ -29,22 +29,37 @@ class Tables:
 
 @dataclass(frozen=True)
 class Settings:
+    """Choices of a pipeline; the defaults keep every event inside its window and every feature.
+
+    ``filter_notes=False`` uses notes of any date.  ``notes_extend_windows``
+    lets a note be the last event of its entity.  ``min_entities`` drops rare
+    features before the vectors are built, for models whose memory grows with
+    their width.
+    """
+
     policy: str = "disjoint"
     lead_days: int = windows.LEAD_DAYS
     length_days: int = windows.LENGTH_DAYS
     survivor_lead_days: int = 0
     closed: str = "neither"
     filter_notes: bool = True
+    notes_extend_windows: bool = False
     lemmas: DataFrame | None = None
     stop_words: DataFrame | Iterable[str] | None = tuple(ENGLISH_STOP_WORDS)
+    word_separator: str | None = None
     tfidf_norm: str = "distinct_terms"
+    min_entities: int = 1
     model_parameters: Mapping[str, Mapping] | None = None
 
 
 def pipeline_windows(tables: Tables, settings: Settings) -> DataFrame:
+    dated = tables.events
+    if settings.notes_extend_windows:
+        days = ["subject_id", "event_date"]
+        dated = dated.select(days).unionByName(tables.notes.select(days))
     return windows.observation_windows(
         tables.admissions,
-        tables.events,
+        dated,
         settings.policy,
         settings.lead_days,
         settings.length_days,
@@ -73,7 +88,9 @@ def windowed_notes(tables: Tables, settings: Settings = Settings()) -> DataFrame
 
 def entity_words(tables: Tables, settings: Settings = Settings()) -> DataFrame:
     """(subject_id, word, cnt) of the notes inside the windows."""
-    return words.entity_bags(windowed_notes(tables, settings), settings.lemmas, settings.stop_words)
+    return words.entity_bags(
+        windowed_notes(tables, settings), settings.lemmas, settings.stop_words, settings.word_separator
+    )
 
 
 def word_count_tuples(tables: Tables, settings: Settings = Settings()) -> DataFrame:
@@ -111,7 +128,7 @@ def feature_tuples(variant: str, tables: Tables, settings: Settings = Settings()
 def examples(variant: str, tables: Tables, settings: Settings = Settings()) -> DataFrame:
     """Stored (subject_id, features, label, split)."""
     tuples = stored(feature_tuples(variant, tables, settings))
-    index = features.feature_index(features.feature_names(tuples))
+    index = features.feature_index(features.feature_names(tuples, settings.min_entities))
     rows = features.sparse_rows(features.indexed_tuples(tuples, index))
     return learning.stored_examples(
         splits.hash_split(rows), index, labels.entity_labels(tables.admissions), "split"

@@ -126,6 +126,11 @@ def test_word_features(spark):
     assert as_map(features.mean_word_features(scores)) == {("p", "a"): 0.75}
 
 
+def test_rare_names(spark):
+    tuples = spark.createDataFrame([("WORD", f) for f in "aaabbc"], "source string, feature string")
+    assert {r["feature"] for r in features.feature_names(tuples, 2).collect()} == {"a", "b"}
+
+
 NOTES = [
     ("n1", "p1", "The cats was here, cats!"),
     ("n2", "p1", "A cat has 2 mice"),

@@ -99,6 +99,12 @@ def test_tokens_of_normalized_text(spark):
     assert twice.filter("a <> b").count() == 0
 
 
+def test_separator(spark):
+    frame = spark.createDataFrame([("The patient's wife can't, b/p 120/80",)], "text string")
+    cut = frame.select(tokens("text", separator=r"\s+|(?='s\b)|(?=n't\b)").alias("t")).first()["t"]
+    assert cut == ["the", "patient", "'s", "wife", "ca", "n't", "b/p"]
+
+
 @settings(max_examples=15, deadline=None)
 @given(st.lists(st.text(alphabet="aB é9.,-'\"\n\t x_", max_size=60), min_size=1, max_size=20))
 def test_any_text(spark, texts):
