@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from riskweave.functions import codes
 from riskweave.operators.events import stack_sources
-from riskweave.operators.runtime import spread_scan
+from riskweave.operators.runtime import hot_keys, spread_join, spread_scan
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -27,22 +27,20 @@ def admissions(spark: SparkSession, folder: str) -> DataFrame:
     policies differ.
     """
     orders = table(spark, folder, "orders").select("o_custkey", "o_orderkey", "o_orderdate")
-    customers = table(spark, folder, "customer").select("c_custkey", (F.col("c_acctbal") < 0).alias("in_debt"))
-    last = orders.groupBy("o_custkey").agg(
-        F.max(F.struct("o_orderdate", "o_orderkey"))["o_orderkey"].alias("last_order")
+    customers = table(spark, folder, "customer").select(
+        F.col("c_custkey").alias("o_custkey"), (F.col("c_acctbal") < 0).alias("in_debt")
     )
-    debtors = customers.join(last, customers["c_custkey"] == last["o_custkey"]).select(
-        "c_custkey", "in_debt", "last_order"
+    last = orders.groupBy("o_custkey").agg(
+        F.max(F.struct("o_orderdate", "o_orderkey"))["o_orderkey"].alias("last_order"),
+        F.count(F.lit(1)).alias("n_orders"),
     )
     fatal = F.col("in_debt") & (F.col("o_orderkey") == F.col("last_order"))
-    return (
-        orders.join(debtors, orders["o_custkey"] == debtors["c_custkey"])
-        .filter(~F.col("in_debt") | (F.col("o_custkey") % 2 == 0) | fatal)
-        .select(
-            F.col("o_custkey").alias("subject_id"),
-            F.when(fatal, F.col("o_orderdate").cast("date")).alias("deathtime"),
-            F.when(fatal, F.lit("1")).otherwise(F.lit("0")).alias("hospital_expire_flag"),
-        )
+    hot = hot_keys(last, "o_custkey", "n_orders")
+    owned = spread_join(orders, customers.join(last, "o_custkey"), "o_custkey", hot, F.xxhash64("o_orderkey"))
+    return owned.filter(~F.col("in_debt") | (F.col("o_custkey") % 2 == 0) | fatal).select(
+        F.col("o_custkey").alias("subject_id"),
+        F.when(fatal, F.col("o_orderdate").cast("date")).alias("deathtime"),
+        F.when(fatal, F.lit("1")).otherwise(F.lit("0")).alias("hospital_expire_flag"),
     )
 
 
