@@ -5,8 +5,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from riskweave.llm import chat, records, url_rules
+from riskweave.llm import byte_bpe, chat, records, toxicity, url_rules
 from riskweave.llm.common import new_folder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,6 +37,18 @@ def op1_token_records(spark, folder):
     )
 
 
+def op2_byte_bpe(spark, folder):
+    """Every text encoded and decoded again, as digests."""
+    vocabulary = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    encoded = byte_bpe.encode(table(spark, folder, "documents"), *vocabulary)
+    return byte_bpe.decode(encoded, *vocabulary).select(
+        "doc_id",
+        "n_tokens",
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def op3_url_rules(spark, folder):
     """Verdict of the longest rule for every page."""
     return url_rules.judge(table(spark, folder, "pages"), url_rules.rule_table(spark, RULES))
@@ -48,8 +61,19 @@ def op6_chat_format(spark, folder):
     return chat.summarize(turns.unionByName(extra))
 
 
+def op8_toxicity(spark, folder):
+    """Toxicity of every document, learnt from four fifths of the labelled ones."""
+    documents = table(spark, folder, "documents")
+    fold = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5))
+    model = toxicity.fit(documents, table(spark, folder, "labels"), fold != 0)
+    return toxicity.score(documents, model).select(
+        "doc_id", F.coalesce(fold == 0, F.lit(False)).alias("held_out"), "score", "predicted"
+    )
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_token_records, op3_url_rules, op6_chat_format)}
+    found = (op1_token_records, op2_byte_bpe, op3_url_rules, op6_chat_format, op8_toxicity)
+    return {f.__name__: f for f in found}
 
 
 # Tables of fixed rules are written out, and the parts of a url are taken by the same patterns.
