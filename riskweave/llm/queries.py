@@ -7,8 +7,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskweave.llm import byte_bpe, chat, records, toxicity, url_rules
+from riskweave.llm import byte_bpe, chat, records, secrets, toxicity, url_rules
 from riskweave.llm.common import new_folder, table
+from riskweave.operators.runtime import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -71,8 +72,17 @@ def op8_toxicity(spark, folder):
     )
 
 
+def op10_secrets(spark, folder):
+    """Secrets in every text: what the patterns match, and what the network adds."""
+    found = stored(secrets.findings(table(spark, folder, "documents")))
+    spans = secrets.scan(found, secrets.fit(found))
+    return spans.select(
+        "doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans", "n_model"
+    )
+
+
 def queries() -> dict[str, Query]:
-    found = (op1_token_records, op2_byte_bpe, op3_url_rules, op6_chat_format, op8_toxicity)
+    found = (op1_token_records, op2_byte_bpe, op3_url_rules, op6_chat_format, op8_toxicity, op10_secrets)
     return {f.__name__: f for f in found}
 
 

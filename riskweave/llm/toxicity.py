@@ -46,7 +46,7 @@ LEET = {
 SEPARATORS = " ._*-"
 JUNK = ".,!?:;#$%&*|\"'()[]{}<>-_"
 # Costs of the channel, in nats.
-STANDS_FOR, REPEATED, JOINED, BROKEN = 1.0, 0.5, 0.3, 1.0
+STANDS_FOR, DOUBLED, REPEATED, JOINED, BROKEN = 1.0, 2.0, 0.5, 0.3, 1.0
 
 _TRIPLED = re.compile(r"(.)\1\1")
 _LEETED = re.compile(r"[^\W\d_][^\s]*[0-9@$!|+(€][^\s]*[^\W\d_]|[0-9@$!|+(€][^\W\d_]{2}|[^\W\d_]{2}[0-9@$]$")
@@ -123,16 +123,18 @@ def character_costs(counts: DataFrame) -> np.ndarray:
 def options(observed: str) -> Iterator[list[tuple[int | None, float]]]:
     """For each character the symbols it may stand for, None for nothing, with costs."""
     last = ""
-    for c in observed:
+    for at, c in enumerate(observed):
         letter = folded(c)
+        # A doubled letter is usual, a tripled one is not.
+        again = REPEATED if c * 3 in observed[max(0, at - 2) : at + 3] else DOUBLED
         if letter:
             found = [(letter, 0.0)]
             if c == last:
-                found.append((None, REPEATED))
+                found.append((None, again))
         elif c in LEET:
             found = [(ord(x) - 96, STANDS_FOR) for x in LEET[c]] + [(0, STANDS_FOR + BROKEN)]
             if c == last:
-                found.append((None, REPEATED))
+                found.append((None, again))
         elif c in SEPARATORS:
             found = [(0, BROKEN), (None, JOINED)]
         else:
