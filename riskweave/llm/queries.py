@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskweave.llm import byte_bpe, chat, records, secrets, toxicity, url_rules
+from riskweave.llm import byte_bpe, chat, decontaminate, records, secrets, toxicity, url_rules
 from riskweave.llm.common import new_folder, table
 from riskweave.operators.runtime import stored
 
@@ -72,6 +72,11 @@ def op8_toxicity(spark, folder):
     )
 
 
+def op9_decontaminate(spark, folder):
+    """Benchmark items in documents, one row for each document and item."""
+    return decontaminate.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def op10_secrets(spark, folder):
     """Secrets in every text: what the patterns match, and what the network adds."""
     found = stored(secrets.findings(table(spark, folder, "documents")))
@@ -82,7 +87,7 @@ def op10_secrets(spark, folder):
 
 
 def queries() -> dict[str, Query]:
-    found = (op1_token_records, op2_byte_bpe, op3_url_rules, op6_chat_format, op8_toxicity, op10_secrets)
+    found = (op1_token_records, op2_byte_bpe, op3_url_rules, op6_chat_format, op8_toxicity, op9_decontaminate, op10_secrets)
     return {f.__name__: f for f in found}
 
 
