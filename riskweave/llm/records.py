@@ -19,8 +19,10 @@ position, n_tokens); position counts the ids before the record in its shard.
 
 import os
 import struct
+import sys
 import uuid
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -37,8 +39,9 @@ HEAD, ID = struct.Struct("<QI"), struct.Struct("<Bq")
 TAIL = struct.Struct("<I")
 
 # Word parts kept with their ids in each worker; beyond it the store starts anew.
-KEPT_PARTS = 500_000
+KEPT_PARTS = 800_000
 LONGEST_KEPT = 64
+MARKS = ".,;:!?#$%&*"
 
 INDEX = "shard int, file string, doc_id long, offset long, length long, position long, n_tokens long"
 
@@ -80,7 +83,8 @@ class Encoder:
 
     The vocabulary's pre-tokens never hold white space, so the parts of a text
     between blanks and line ends are encoded by themselves, and each part that
-    comes again is looked up.
+    comes again is looked up.  Letters and the marks behind them are different
+    pre-tokens, and case is folded, so words differ less than parts do.
     """
 
     def __init__(self, path: str):
@@ -90,23 +94,48 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        self.known: dict[str, bytes] = {}
+        self.kind = "H" if self.width == 2 else "I"
+        self.parts: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > KEPT_PARTS:
-            self.known = {}
-        parts = [text.replace("\n", " ").split(" ") for text in texts]
-        known = self.known
-        fresh = [p for p in set().union(*parts) if p not in known] if parts else []
-        kind = f"<u{self.width}"
-        for part, found in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)):
-            known[part] = np.array(found.ids, dtype=kind).tobytes()
-        encoded = [b"".join(map(known.__getitem__, part)) for part in parts]
-        for part in fresh:
+        if len(self.parts) > KEPT_PARTS:
+            self.parts = {}
+        if len(self.words) > KEPT_PARTS:
+            self.words = {}
+        split = [text.replace("\n", " ").split(" ") for text in texts]
+        known, long = self.parts, []
+        pieces = {part: pieces_of(part) for part in set().union(*split) if part not in known}
+        self._learn({word for own in pieces.values() for word in own})
+        for part, own in pieces.items():
+            known[part] = b"".join(map(self.words.__getitem__, own))
             if len(part) > LONGEST_KEPT:
-                del known[part]
+                long.append((part, own))
+        encoded = [b"".join(map(known.__getitem__, part)) for part in split]
+        for part, own in long:
+            del known[part]
+            for word in own:
+                self.words.pop(word, None)
         return encoded
 
+    def _learn(self, words: set[str]) -> None:
+        fresh = [w for w in words if w not in self.words]
+        for word, found in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)):
+            ids = array(self.kind, found.ids)
+            if sys.byteorder == "big":
+                ids.byteswap()
+            self.words[word] = ids.tobytes()
+
+
+def pieces_of(part: str) -> tuple[str, ...]:
+    """A word and the marks behind it, or the part as it is."""
+    word = part.rstrip(MARKS)
+    if not word.isalpha():
+        return (part,)
+    if word.isascii():
+        word = word.lower()
+    return (word, part[len(word) :]) if len(word) < len(part) else (word,)
+
 
 _encoders: dict[str, Encoder] = {}
 
