@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskweave.llm import byte_bpe, chat, decontaminate, records, secrets, toxicity, url_rules
+from riskweave.llm import byte_bpe, chat, decontaminate, jaccard, records, secrets, toxicity, url_rules
 from riskweave.llm.common import new_folder, table
 from riskweave.operators.runtime import stored
 
@@ -55,6 +55,11 @@ def op3_url_rules(spark, folder):
     return url_rules.judge(table(spark, folder, "pages"), url_rules.rule_table(spark, RULES))
 
 
+def op5_jaccard_join(spark, folder):
+    """Class of every document under links of at least 0.9 between sets of three-word shingles."""
+    return jaccard.components(table(spark, folder, "documents"), size=3, num=90, den=100)
+
+
 def op6_chat_format(spark, folder):
     """Digests of every formatted conversation, read back from its segments."""
     turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
@@ -87,7 +92,16 @@ def op10_secrets(spark, folder):
 
 
 def queries() -> dict[str, Query]:
-    found = (op1_token_records, op2_byte_bpe, op3_url_rules, op6_chat_format, op8_toxicity, op9_decontaminate, op10_secrets)
+    found = (
+        op1_token_records,
+        op2_byte_bpe,
+        op3_url_rules,
+        op5_jaccard_join,
+        op6_chat_format,
+        op8_toxicity,
+        op9_decontaminate,
+        op10_secrets,
+    )
     return {f.__name__: f for f in found}
 
 
