@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskweave.llm import byte_bpe, chat, decontaminate, jaccard, records, secrets, toxicity, url_rules
+from riskweave.llm import byte_bpe, chat, decontaminate, forest, jaccard, records, secrets, toxicity, url_rules
 from riskweave.llm.common import new_folder, table
 from riskweave.operators.runtime import stored
 
@@ -55,6 +55,11 @@ def op3_url_rules(spark, folder):
     return url_rules.judge(table(spark, folder, "pages"), url_rules.rule_table(spark, RULES))
 
 
+def op4_embedding_forest(spark, folder):
+    """Links and components of embeddings with one label and a cosine of at least 0.93."""
+    return forest.near_duplicates(table(spark, folder, "embeddings"), cosine=0.93)
+
+
 def op5_jaccard_join(spark, folder):
     """Class of every document under links of at least 0.9 between sets of three-word shingles."""
     return jaccard.components(table(spark, folder, "documents"), size=3, num=90, den=100)
@@ -96,6 +101,7 @@ def queries() -> dict[str, Query]:
         op1_token_records,
         op2_byte_bpe,
         op3_url_rules,
+        op4_embedding_forest,
         op5_jaccard_join,
         op6_chat_format,
         op8_toxicity,
