@@ -51,6 +51,7 @@ _ARROW = {
     "binary": pa.binary(),
     "array<long>": pa.list_(pa.int64()),
     "array<int>": pa.list_(pa.int32()),
+    "array<binary>": pa.list_(pa.binary()),
     "array<string>": pa.list_(pa.string()),
     "array<float>": pa.list_(pa.float32()),
 }

@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskweave.llm import byte_bpe, chat, decontaminate, forest, jaccard, records, secrets, toxicity, url_rules
+from riskweave.llm import byte_bpe, chat, decontaminate, forest, jaccard, language_model, records, secrets, toxicity, url_rules
 from riskweave.llm.common import new_folder, table
 from riskweave.operators.runtime import stored
 
@@ -72,6 +72,22 @@ def op6_chat_format(spark, folder):
     return chat.summarize(turns.unionByName(extra))
 
 
+def op7_language_model(spark, folder):
+    """Scores of every text, learnt from four fifths of them."""
+    documents = table(spark, folder, "documents")
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 1
+    model, counts = language_model.fit(documents, held_out, public_tokenizers.path("word_bpe_49k.json"))
+    return language_model.score(documents, model, counts).select(
+        "doc_id",
+        F.coalesce(held_out, F.lit(False)).alias("held_out"),
+        "n_tokens",
+        "n_known",
+        "train_tokens",
+        "base_score",
+        "score",
+    )
+
+
 def op8_toxicity(spark, folder):
     """Toxicity of every document, learnt from four fifths of the labelled ones."""
     documents = table(spark, folder, "documents")
@@ -104,6 +120,7 @@ def queries() -> dict[str, Query]:
         op4_embedding_forest,
         op5_jaccard_join,
         op6_chat_format,
+        op7_language_model,
         op8_toxicity,
         op9_decontaminate,
         op10_secrets,
