@@ -77,3 +77,25 @@ def map_rows(
                 yield pa.RecordBatch.from_arrays(arrays, schema=schema)
 
     return frame.mapInArrow(run, columns)
+
+
+def map_column(
+    frame: DataFrame, column: str, start: Callable[[], Callable[[list], list]], keep: bool = False
+) -> DataFrame:
+    """``frame`` with the values of a column replaced, or, with ``keep``, the rows for which they become true.
+
+    ``start`` is called once in each task and gives what is applied to the
+    values of a batch; all other columns pass through as they are.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        function = start()
+        for batch in batches:
+            place = batch.schema.get_field_index(column)
+            values = function(batch.column(place).to_pylist())
+            if keep:
+                yield batch.filter(pa.array(values, pa.bool_()))
+            else:
+                yield batch.set_column(place, batch.schema.field(place), pa.array(values, batch.schema.field(place).type))
+
+    return frame.mapInArrow(run, frame.schema)

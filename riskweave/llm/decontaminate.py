@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskweave.llm.common import map_rows
+from riskweave.llm.common import map_column, map_rows
 
 K1, B = 1.2, 0.75
 # Share of an item's own score that a passage must reach, and the shares of
@@ -297,3 +297,20 @@ def _searching(index, threshold: float):
             yield [(doc_id, *hit) for doc_id, text in batch for hit in searcher.hits(text)]
 
     return run
+
+
+def clean(documents: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``documents`` in which no item is found, with all their columns."""
+    for index in shards(items):
+        documents = map_column(
+            documents, "text", _clean(documents.sparkSession.sparkContext.broadcast(index), threshold), keep=True
+        )
+    return documents
+
+
+def _clean(index, threshold: float):
+    def start():
+        searcher = Searcher(index.value, threshold)
+        return lambda texts: [not text or not searcher.hits(text) for text in texts]
+
+    return start

@@ -343,3 +343,18 @@ def components(documents: DataFrame, size: int = 3, num: int = 90, den: int = 10
     join = Join(documents, size, num, den)
     join.run()
     return join.result()
+
+
+def keep_one(documents: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """``documents`` with one row of each component, that of the smallest doc_id, and all rows without a doc_id.
+
+    Of several rows with one doc_id the one with the smallest text stays.
+    """
+    found = components(documents, size, num, den).filter("doc_id IS NOT NULL")
+    gone = found.filter("component_id != doc_id").select("doc_id").distinct()
+    repeated = found.groupBy("doc_id").agg(F.count("*").alias("rows")).filter("rows > 1").select("doc_id")
+    marked = gone.unionByName(repeated).distinct()
+    alone = documents.join(marked, "doc_id", "left_anti")
+    several = documents.join(repeated, "doc_id", "left_semi").join(gone, "doc_id", "left_anti")
+    first = several.groupBy("doc_id").agg(F.min_by(F.struct(*documents.columns), F.coalesce("text", F.lit(""))).alias("row"))
+    return alone.unionByName(first.select("row.*"))

@@ -12,7 +12,7 @@ over the highest word scores of a document gives its score.
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from math import exp, log
 
@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskweave.llm.common import map_rows
+from riskweave.llm.common import map_column, map_rows
 from riskweave.operators.runtime import stored
 
 # Labelled rows the word scores and the logistic model are fitted on.
@@ -363,15 +363,31 @@ def score(documents: DataFrame, model: Model) -> DataFrame:
     share = documents.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[list[tuple]]) -> Iterator[list[tuple]]:
-        own = share.value
-        scores = Scores(Reader(own.costs), own.odds)
-        weights = own.weights.tolist()
+        chance = chances(share.value)
         for batch in batches:
-            rows = []
-            for doc_id, text in batch:
-                value = sum(w * f for w, f in zip(weights, scores.features(text)))
-                chance = 1 / (1 + exp(-max(-700.0, min(700.0, value))))
-                rows.append((doc_id, chance, int(chance >= 0.5)))
-            yield rows
+            found = [(doc_id, chance(text)) for doc_id, text in batch]
+            yield [(doc_id, value, int(value >= 0.5)) for doc_id, value in found]
 
     return map_rows(documents.select("doc_id", "text"), run, "doc_id long, score double, predicted int")
+
+
+def chances(model: Model) -> Callable[[str | None], float]:
+    scores = Scores(Reader(model.costs), model.odds)
+    weights = model.weights.tolist()
+
+    def chance(text: str | None) -> float:
+        value = sum(w * f for w, f in zip(weights, scores.features(text)))
+        return 1 / (1 + exp(-max(-700.0, min(700.0, value))))
+
+    return chance
+
+
+def accepted(documents: DataFrame, model: Model) -> DataFrame:
+    """The rows of ``documents`` whose text is not predicted to be toxic, with all their columns."""
+    share = documents.sparkSession.sparkContext.broadcast(model)
+
+    def start():
+        chance = chances(share.value)
+        return lambda texts: [chance(text) < 0.5 for text in texts]
+
+    return map_column(documents, "text", start, keep=True)
