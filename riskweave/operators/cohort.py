@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskweave.functions.codes import DIAGNOSIS
-from riskweave.operators.runtime import keep_listed
+from riskweave.operators.runtime import HOT_MIN_ROWS, LISTED_ROWS, keep_listed
 
 # The code range of the cohort, codes stored without the dot.
 COHORT_LOW, COHORT_HIGH, COHORT_DIGITS = "2500", "2590", 4
@@ -23,9 +23,11 @@ def select_cohort(
     return diagnoses.filter(F.col("code").startswith(prefix) & bare.between(low, high)).select("subject_id").distinct()
 
 
-def restrict(frame: DataFrame, cohort: DataFrame) -> DataFrame:
+def restrict(
+    frame: DataFrame, cohort: DataFrame, min_rows: int = HOT_MIN_ROWS, listed_rows: int = LISTED_ROWS
+) -> DataFrame:
     """Rows of the cohort."""
-    return keep_listed(frame, cohort, "subject_id")
+    return keep_listed(frame, cohort, "subject_id", min_rows, listed_rows)
 
 
 def cohort_stats(

@@ -60,6 +60,10 @@ def survived(admissions: DataFrame) -> DataFrame:
     return admissions.filter(F.col("hospital_expire_flag") == "0")
 
 
+def undetermined(admissions: DataFrame) -> DataFrame:
+    return admissions.filter(F.col("hospital_expire_flag").isNull())
+
+
 def keep_codes(frame: DataFrame, wanted: DataFrame | Iterable[str], column: str = "code") -> DataFrame:
     """Rows whose code is in a list, or in the first column of a table."""
     if isinstance(wanted, DataFrame):

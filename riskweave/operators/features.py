@@ -3,13 +3,12 @@
 from collections.abc import Iterable
 from functools import reduce
 
-from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskweave.functions import codes
 from riskweave.operators.events import keep_codes
-from riskweave.operators.runtime import stored
+from riskweave.operators.runtime import HOT_MIN_ROWS, hot_keys, spread_join, stored
 
 TUPLE_COLUMNS = ["subject_id", "source", "feature", "value"]
 
@@ -105,14 +104,17 @@ def feature_index(names: DataFrame) -> DataFrame:
     )
 
 
-def indexed_tuples(tuples: DataFrame, index: DataFrame) -> DataFrame:
+def indexed_tuples(tuples: DataFrame, index: DataFrame, min_rows: int = HOT_MIN_ROWS) -> DataFrame:
     """(subject_id, idx, value): the sparse matrix in long form.
 
-    Spark broadcasts the index while it is small by its own size check; beyond
-    that both sides are shuffled on the name, with AQE splitting names that most
-    entities have.
+    Names that more than one in ``HOT_SHARES`` tuples has are cut into parts.
     """
-    return tuples.join(index, ["source", "feature"]).select("subject_id", "idx", "value")
+    named = tuples.withColumn("name", F.concat_ws("\x00", "source", "feature"))
+    sizes = named.groupBy("name").agg(F.count(F.lit(1)).alias("n"))
+    places = index.select(F.concat_ws("\x00", "source", "feature").alias("name"), "idx")
+    hot = hot_keys(sizes, "name", "n", min_rows)
+    joined = spread_join(named, places, "name", hot, F.xxhash64("subject_id"))
+    return joined.select("subject_id", "idx", "value")
 
 
 def sparse_rows(indexed: DataFrame) -> DataFrame:
@@ -128,17 +130,6 @@ def sparse_rows(indexed: DataFrame) -> DataFrame:
     )
 
 
-def _sparse(size, indices, values):
-    return Vectors.sparse(size, indices, values)
-
-
-def feature_vectors(rows: DataFrame, index: DataFrame) -> DataFrame:
-    """(subject_id, features) with ``features`` a sparse vector as wide as the index."""
-    size = index.agg(F.count(F.lit(1)).cast("int")).scalar()
-    vector = F.udf(_sparse, VectorUDT(), useArrow=True)
-    return rows.select("subject_id", vector(size, "indices", "values").alias("features"))
-
-
 def vector_struct(size, indices="indices", values="values") -> Column:
     """The stored layout of a sparse vector.
 

@@ -1,11 +1,10 @@
-"""Classifiers and principal components on stored feature tables."""
+"""Classifiers on stored feature tables."""
 
 import uuid
 
 from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LogisticRegression
-from pyspark.ml.feature import PCA
 from pyspark.ml.linalg import VectorUDT
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,26 +14,45 @@ from riskweave.operators.runtime import checkpoint_folder
 MODELS = ("logistic", "tree", "gbt")
 
 
-def stored_examples(rows: DataFrame, index: DataFrame, labels: DataFrame, *extra: str) -> DataFrame:
-    """(subject_id, features, label, extra columns of ``rows``), written once and read as a table.
+def write_examples(rows: DataFrame, index: DataFrame, labels: DataFrame, *extra: str) -> str:
+    """Folder with (subject_id, features, label, extra columns of ``rows``) in the stored layout of vectors.
 
     Fitting passes over the examples many times, so they are written to the
     checkpoint folder: a lost executor costs a re-read, not the whole pipeline.
     """
-    spark = rows.sparkSession
     size = index.agg(F.count(F.lit(1)).cast("int")).scalar()
     examples = rows.join(labels, "subject_id").select(
         "subject_id", vector_struct(size).alias("features"), "label", *extra
     )
-    path = f"{checkpoint_folder(spark)}/riskweave-{uuid.uuid4().hex}"
+    path = f"{checkpoint_folder(rows.sparkSession)}/riskweave-{uuid.uuid4().hex}"
     examples.write.parquet(path)
+    return path
+
+
+def read_examples(spark: SparkSession, path: str) -> DataFrame:
+    """Examples with a vector column, built by Spark's reader."""
     fields = [
         T.StructField(f.name, VectorUDT() if f.name == "features" else f.dataType)
-        for f in examples.schema.fields
+        for f in spark.read.parquet(path).schema.fields
     ]
     return spark.read.schema(T.StructType(fields)).parquet(path)
 
 
+def stored_examples(rows: DataFrame, index: DataFrame, labels: DataFrame, *extra: str) -> DataFrame:
+    """:func:`write_examples`, read back."""
+    return read_examples(rows.sparkSession, write_examples(rows, index, labels, *extra))
+
+
+def example_entries(spark: SparkSession, path: str) -> DataFrame:
+    """Written examples entry by entry: the size of the vector, and place and value of what is not zero."""
+    raw = spark.read.parquet(path)
+    others = [c for c in raw.columns if c != "features"]
+    entry = F.explode(F.arrays_zip("features.indices", "features.values")).alias("entry")
+    return raw.select(*others, F.col("features.size").alias("size"), entry).select(
+        *others, "size", F.col("entry.indices").alias("idx"), F.col("entry.values").alias("value")
+    )
+
+
 def logistic(reg_param: float = 0.0, fit_intercept: bool = False, max_iter: int = 100) -> LogisticRegression:
     return LogisticRegression(
         regParam=reg_param, fitIntercept=fit_intercept, maxIter=max_iter, family="binomial"
@@ -70,28 +88,3 @@ def predict(model, examples: DataFrame) -> DataFrame:
     """(subject_id, prediction, label) with hard classes."""
     return model.transform(examples).select("subject_id", "prediction", "label")
 
-
-# Spark's PCA keeps a dense covariance of the columns on the driver.
-PCA_MAX_COLUMNS = 65_535
-
-
-def fit_pca(train: DataFrame, components: int = 50):
-    """PCA model fitted on the training examples; apply it to both sets.
-
-    The covariance grows with the square of the number of columns: choose the
-    columns with :func:`frequent_features` first.
-    """
-    return PCA(k=components, inputCol="features", outputCol="components").fit(train)
-
-
-def frequent_features(tuples: DataFrame, columns: int) -> DataFrame:
-    """The ``columns`` features that most entities have, ties by name."""
-    if columns > PCA_MAX_COLUMNS:
-        raise ValueError(f"at most {PCA_MAX_COLUMNS} columns")
-    return (
-        tuples.groupBy("source", "feature")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .orderBy(F.desc("n"), "source", "feature")
-        .limit(columns)
-        .select("source", "feature")
-    )

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 HOT_SHARES = 1000
 # Below this many rows a key is never worth splitting.
 HOT_MIN_ROWS = 1_000_000
+# A list of keys up to this long is sent to every task, after it has been counted.
+LISTED_ROWS = 100_000
 
 SALT = "_salt"
 
@@ -40,28 +42,18 @@ def stored(frame: DataFrame) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
-def spread_scan(scan: DataFrame, key: str) -> DataFrame:
-    """More tasks for a scan with fewer splits than half the cluster has cores.
-
-    Only for plain scans in front of heavy per-row work such as tokenising.  A
-    large table has more splits than cores and is returned as it is.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    splits = scan.rdd.getNumPartitions()
-    return scan.repartition(cores, key) if 2 * splits <= cores else scan
-
-
 def hot_keys(
     sizes: DataFrame, key: str, rows: str, min_rows: int = HOT_MIN_ROWS, shares: int = HOT_SHARES
 ) -> Column:
     """Map from keys with too many rows for one task to the number of parts to cut them into.
 
-    ``sizes`` has one row per key and its number of rows.  A hot key has more
+    ``sizes`` has one row per key and its number of rows; a null key joins with nothing and is never hot.  A hot key has more
     than one part in ``shares`` of all rows, so the map has fewer than
     ``shares`` entries by construction, at any scale.  It is a scalar subquery:
     nothing runs before the query that uses it, and no join is needed to look
     a key up.
     """
+    sizes = sizes.filter(F.col(key).isNotNull())
     total = sizes.agg(F.sum(rows)).scalar()
     limit = F.greatest(F.lit(float(min_rows)), total / F.lit(float(shares)))
     parts = F.ceil(F.col(rows) / limit).cast("int")
@@ -74,28 +66,35 @@ def spread_join(big: DataFrame, small: DataFrame, key: str, hot: Column, salt: C
 
     Rows of ``big`` with a hot key are dealt to its parts by ``salt``, and the
     rows of ``small`` with that key are repeated once per part; all other keys
-    have a single part.  Every pair comes out exactly once.
-
-    The hash table of a task holds its share of ``small``, which has few rows
-    per key, and the rows of ``big`` are neither sorted nor broadcast: Spark
-    takes a text for 20 bytes, so its own choice could be to broadcast notes.
+    have a single part.  Every pair comes out exactly once.  How the join is
+    done is left to Spark, which knows the sizes after the shuffles.
     """
     parts = F.coalesce(F.try_element_at(hot, F.col(key)), F.lit(1))
     dealt = big.withColumn(SALT, F.pmod(salt, parts).cast("int"))
     repeated = small.withColumn(SALT, F.explode(F.sequence(F.lit(0), parts - 1)))
-    return dealt.join(repeated.hint("shuffle_hash"), [key, SALT]).drop(SALT)
+    return dealt.join(repeated, [key, SALT]).drop(SALT)
 
 
-def keep_listed(frame: DataFrame, wanted: DataFrame, key: str, min_rows: int = HOT_MIN_ROWS) -> DataFrame:
-    """Rows of ``frame`` whose ``key`` is in the table ``wanted``, of any size, with hot keys cut into parts.
+def keep_listed(
+    frame: DataFrame,
+    wanted: DataFrame,
+    key: str,
+    min_rows: int = HOT_MIN_ROWS,
+    listed_rows: int = LISTED_ROWS,
+) -> DataFrame:
+    """Rows of ``frame`` whose ``key`` is in the table ``wanted``, of any size.
 
-    A plain semi-join would leave the rows of a key together, and a grouping
-    that follows would keep them so.
+    A list of at most ``LISTED_ROWS`` keys, which is counted first, goes to
+    every task, and ``frame`` is not shuffled.  With a longer one both sides
+    are shuffled and hot keys are cut into parts.
     """
+    listed = wanted.select(key).filter(F.col(key).isNotNull()).distinct()
+    if listed.limit(listed_rows + 1).count() <= listed_rows:
+        return frame.join(F.broadcast(listed), key, "left_semi").select(frame.columns)
     sizes = frame.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
     salt = row_salt(*[c for c in frame.columns if c != "text"])
     hot = hot_keys(sizes, key, "n", min_rows)
-    return spread_join(frame, wanted.select(key).distinct(), key, hot, salt).select(frame.columns)
+    return spread_join(frame, listed, key, hot, salt).select(frame.columns)
 
 
 def row_salt(*columns: str) -> Column:

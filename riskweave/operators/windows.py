@@ -27,16 +27,28 @@ def entity_activity(events: DataFrame) -> DataFrame:
 
 def last_event_dates(events: DataFrame) -> DataFrame:
     """Day of the last event per entity."""
+    return last_days(entity_activity(events))
+
+
+def last_days(activity: DataFrame) -> DataFrame:
+    """The same from (subject_id, last_date, n_events)."""
     # The test on the count changes nothing; it keeps the aggregation equal to
-    # the one in hot_entities, so that a plan with both runs it once.
-    busy = entity_activity(events).filter((F.col("n_events") > 0) & F.col("last_date").isNotNull())
-    return busy.select("subject_id", "last_date")
+    # the one in busy_entities, so that a plan with both runs it once.
+    return _busy(activity).select("subject_id", "last_date")
+
+
+def _busy(activity: DataFrame) -> DataFrame:
+    return activity.filter((F.col("n_events") > 0) & F.col("last_date").isNotNull())
 
 
 def hot_entities(events: DataFrame, min_rows: int = HOT_MIN_ROWS) -> Column:
     """The few entities whose events must be spread over several tasks, as a map to their parts."""
-    busy = entity_activity(events).filter((F.col("n_events") > 0) & F.col("last_date").isNotNull())
-    return hot_keys(busy, "subject_id", "n_events", min_rows)
+    return busy_entities(entity_activity(events), min_rows)
+
+
+def busy_entities(activity: DataFrame, min_rows: int = HOT_MIN_ROWS) -> Column:
+    """The same from (subject_id, last_date, n_events)."""
+    return hot_keys(_busy(activity), "subject_id", "n_events", min_rows)
 
 
 def _window_before(day: Column, lead_days: int, length_days: int) -> list[Column]:
@@ -46,18 +58,23 @@ def _window_before(day: Column, lead_days: int, length_days: int) -> list[Column
 
 def observation_windows(
     admissions: DataFrame,
-    events: DataFrame,
+    events: DataFrame | None,
     policy: str = "disjoint",
     lead_days: int = LEAD_DAYS,
     length_days: int = LENGTH_DAYS,
     survivor_lead_days: int = 0,
+    activity: DataFrame | None = None,
 ) -> DataFrame:
-    """(subject_id, start_date, end_date), one row per window; see ``POLICIES``."""
+    """(subject_id, start_date, end_date), one row per window; see ``POLICIES``.
+
+    ``activity`` is the :func:`entity_activity` of the events if the caller has
+    it already; ``events`` is then not read.
+    """
     if policy not in POLICIES:
         raise ValueError(f"policy must be one of {POLICIES}")
     dead = ev.fatal(admissions)
     before_death = dead.select("subject_id", *_window_before(F.col("deathtime"), lead_days, length_days))
-    last = last_event_dates(events)
+    last = last_days(entity_activity(events) if activity is None else activity)
     if policy == "disjoint":
         last = last.join(dead.select("subject_id"), "subject_id", "left_anti")
     elif policy == "survivor_rows":

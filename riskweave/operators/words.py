@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from riskweave.functions.scoring import tfidf
 from riskweave.functions.text import ENGLISH_STOP_WORDS, normalize_text, tokens, word_bag
-from riskweave.operators.runtime import hot_keys, spread_join
+from riskweave.operators.runtime import HOT_MIN_ROWS, hot_keys, spread_join
 
 
 def normalized_notes(notes: DataFrame) -> DataFrame:
@@ -43,9 +43,17 @@ def remove_stop_words(words: DataFrame, stop: DataFrame | Iterable[str] = ENGLIS
     return words.filter(~F.col("word").isin(list(stop)))
 
 
+def bagged(notes: DataFrame, separator: str | None = None) -> DataFrame:
+    """Notes with the counts of their words in place of the text, counted inside the row without a shuffle."""
+    return notes.withColumn("bag", word_bag(tokens("text", separator=separator))).drop("text")
+
+
 def _clean_bags(notes, lemmas, stop, separator, keep) -> DataFrame:
-    """Words with counts, lemmatised, then without stop words; lemmas may repeat in a note."""
-    words = notes.select(*keep, F.inline(word_bag(tokens("text", separator=separator))))
+    """Words with counts, lemmatised, then without stop words; lemmas may repeat in a note.
+
+    Notes that are :func:`bagged` already are taken as they are.
+    """
+    words = (notes if "bag" in notes.columns else bagged(notes, separator)).select(*keep, F.inline("bag"))
     if lemmas is not None:
         words = lemmatize(words, lemmas)
     if stop is not None:
@@ -110,7 +118,9 @@ def corpus_size(counts: DataFrame) -> DataFrame:
 NORMS = {"distinct_terms": "term_count", "total_tokens": "token_count"}
 
 
-def entity_tfidf(counts: DataFrame, norm: str = "distinct_terms") -> DataFrame:
+def entity_tfidf(
+    counts: DataFrame, norm: str = "distinct_terms", min_rows: int = HOT_MIN_ROWS
+) -> DataFrame:
     """(subject_id, word, cnt, term_count, doc_freq, tfidf) from counts per entity and word.
 
     ``counts`` is used four times here.  Every use keeps its ``cnt``, so the
@@ -120,8 +130,8 @@ def entity_tfidf(counts: DataFrame, norm: str = "distinct_terms") -> DataFrame:
     frequencies = document_frequencies(counts)
     documents = terms.agg(F.count_if(F.col("token_count") > 0)).scalar()
     salt = F.xxhash64("word", "subject_id")
-    joined = spread_join(counts, terms, "subject_id", hot_keys(terms, "subject_id", "term_count"), salt)
-    joined = spread_join(joined, frequencies, "word", hot_keys(frequencies, "word", "doc_freq"), salt)
+    joined = spread_join(counts, terms, "subject_id", hot_keys(terms, "subject_id", "term_count", min_rows), salt)
+    joined = spread_join(joined, frequencies, "word", hot_keys(frequencies, "word", "doc_freq", min_rows), salt)
     return joined.select(
         "subject_id",
         "word",

@@ -3,14 +3,14 @@
 from collections.abc import Callable
 from dataclasses import replace
 
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskweave.functions import codes
 from riskweave.functions.text import tokens
-from riskweave.operators import cohort, evaluation, features, labels, learning, splits, windows, words
+from riskweave.operators import cohort, evaluation, features, labels, learning, pca, splits, windows, words
 from riskweave.operators import events as ev
+from riskweave.operators.runtime import HOT_MIN_ROWS
 from riskweave.plans import pipelines
 from riskweave.plans.pipelines import Settings, Tables
 from riskweave.sources import star, tables
@@ -49,8 +49,9 @@ WORD_SEPARATOR = r"\s+|(?=tion(?:\s|$))"
 # Customers of these nations are the given training and test sets.
 TRAIN_NATIONS, TEST_NATIONS = (0, 11), (12, 19)
 
-PCA_COLUMNS = 1000
 PCA_COMPONENTS = 50
+# Rows from which keys are cut in the queries that show it.
+HOT_ROWS = 20
 
 
 def settings(spark: SparkSession, policy: str = "disjoint") -> Settings:
@@ -59,7 +60,10 @@ def settings(spark: SparkSession, policy: str = "disjoint") -> Settings:
 
 def event_tables(spark: SparkSession, folder: str) -> Tables:
     return Tables(
-        star.admissions(spark, folder), star.events(spark, folder), star.notes(spark, folder)
+        star.admissions(spark, folder),
+        star.events(spark, folder),
+        star.notes(spark, folder),
+        star.activity(spark, folder),
     )
 
 
@@ -140,6 +144,7 @@ def split_outcome(spark, folder):
         ev.fatal(admissions)
         .withColumn("outcome", F.lit("deceased"))
         .unionByName(ev.survived(admissions).withColumn("outcome", F.lit("survived")))
+        .unionByName(ev.undetermined(admissions).withColumn("outcome", F.lit("undetermined")))
     )
 
 
@@ -179,6 +184,11 @@ def cohort_events(spark, folder):
     return cohort.restrict(star.events(spark, folder), cohort_select(spark, folder))
 
 
+def cohort_events_hot(spark, folder):
+    """The cohort taken for a long list, and its busy entities cut."""
+    return cohort.restrict(star.events(spark, folder), cohort_select(spark, folder), HOT_ROWS, listed_rows=0)
+
+
 # Windows
 
 
@@ -190,11 +200,11 @@ def _windows(policy, **options) -> Query:
     return query
 
 
-def _in_window(load, policy="disjoint", closed="neither") -> Query:
+def _in_window(load, policy="disjoint", closed="neither", min_rows=HOT_MIN_ROWS) -> Query:
     def query(spark, folder):
         source = event_tables(spark, folder)
         spans = pipelines.pipeline_windows(source, settings(spark, policy))
-        hot = windows.hot_entities(source.events)
+        hot = windows.busy_entities(source.activity, min_rows)
         return windows.in_window(load(spark, folder), spans, closed, hot=hot)
 
     return query
@@ -213,6 +223,11 @@ def last_event_date(spark, folder):
     return windows.last_event_dates(star.events(spark, folder))
 
 
+def last_event_date_activity(spark, folder):
+    """The same from line items combined per order."""
+    return windows.last_days(star.activity(spark, folder))
+
+
 # Features
 
 
@@ -234,8 +249,16 @@ def feature_sum_word(spark, folder):
 
 
 def feature_avg_tfidf(spark, folder):
-    scores = features.mean_word_features(entity_scores(spark, folder))
-    return scores.withColumn("value", F.round("value", 6))
+    return note_score_means(spark, folder).withColumn("value", F.round("value", 6))
+
+
+def note_score_means(spark, folder):
+    """Mean over the notes of an entity of the scores that a word has with every note as a document."""
+    counts = pipelines.stored(note_word_count(spark, folder))
+    scores = words.entity_tfidf(counts.select(F.col("note_id").alias("subject_id"), "word", "cnt"))
+    owners = star.notes(spark, folder).select("note_id", F.col("subject_id").alias("owner"))
+    owned = scores.join(owners, scores["subject_id"] == owners["note_id"])
+    return features.mean_word_features(owned.select(F.col("owner").alias("subject_id"), "word", "tfidf"))
 
 
 def _tuples(variant, policy="disjoint", **options) -> Query:
@@ -255,7 +278,7 @@ def _unwindowed_tuples(variant) -> Query:
         if variant == "wordcount":
             text = features.sum_word_features(words.note_word_counts(star.notes(spark, folder)))
         elif variant == "tfidf":
-            text = features.mean_word_features(entity_scores(spark, folder))
+            text = note_score_means(spark, folder)
         else:
             return coded.withColumn("value", F.round("value", 6))
         tuples = features.union_tuples(coded, features.word_features(text))
@@ -293,15 +316,14 @@ def sparse_rows(spark, folder):
     )
 
 
-def feature_vectors(spark, folder):
-    """Sparse vectors of the numeric features, with their non-zeros read back from the vectors."""
-    tuples = pipelines.stored(pipelines.event_tuples(event_tables(spark, folder), settings(spark)))
-    index = features.feature_index(features.feature_names(tuples))
-    rows = features.sparse_rows(features.indexed_tuples(tuples, index))
-    vectors = features.feature_vectors(rows, index)
-    dense = F.posexplode(vector_to_array("features")).alias("idx", "value")
-    entries = vectors.select("subject_id", dense)
-    return entries.withColumn("value", F.round("value", 6))
+def _vectors(variant) -> Query:
+    """Labelled examples as they are written, entry by entry."""
+
+    def query(spark, folder):
+        path = pipelines.written_examples(variant, event_tables(spark, folder), settings(spark))
+        return learning.example_entries(spark, path).withColumn("value", F.round("value", 6))
+
+    return query
 
 
 # Words of entities
@@ -335,6 +357,20 @@ def entity_tfidf(spark, folder):
     return entity_scores(spark, folder).withColumn("tfidf", F.round("tfidf", 6))
 
 
+def entity_tfidf_hot(spark, folder):
+    """Words and entities cut from a few rows on."""
+    scores = words.entity_tfidf(pipelines.stored(entity_bags(spark, folder)), min_rows=HOT_ROWS)
+    return scores.withColumn("tfidf", F.round("tfidf", 6))
+
+
+def sparse_rows_hot(spark, folder):
+    """Names cut from a few rows on, in the long form."""
+    tuples = pipelines.stored(wordcount_tuples(spark, folder))
+    index = features.feature_index(features.feature_names(tuples))
+    long = features.indexed_tuples(tuples, index, HOT_ROWS)
+    return long.withColumn("value", F.round("value", 6))
+
+
 def entity_tfidf_total_tokens(spark, folder):
     return entity_scores(spark, folder, "total_tokens").withColumn("tfidf", F.round("tfidf", 6))
 
@@ -431,18 +467,26 @@ def _fit_predict(model) -> Query:
 
 
 def pca_features(spark, folder):
-    """Principal components of the most frequent features, fitted on the training set."""
+    """Principal components of all features, fitted on the training set."""
     source = event_tables(spark, folder)
     tuples = pipelines.stored(pipelines.feature_tuples("wordcount", source, settings(spark)))
-    chosen = features.feature_index(learning.frequent_features(tuples, PCA_COLUMNS))
-    rows = features.sparse_rows(features.indexed_tuples(tuples, chosen))
-    data = learning.stored_examples(
-        splits.hash_split(rows), chosen, labels.entity_labels(source.admissions), "split"
-    )
-    model = learning.fit_pca(data.filter(F.col("split") == "train"), PCA_COMPONENTS)
-    return model.transform(data).select(
-        "subject_id", "split", "label", vector_to_array("components").alias("components")
+    index = pipelines.stored(features.feature_index(features.feature_names(tuples)))
+    matrix = pipelines.stored(features.indexed_tuples(tuples, index))
+    entities = splits.hash_split(tuples.select("subject_id").distinct())
+    entities = pipelines.stored(entities.join(labels.entity_labels(source.admissions), "subject_id"))
+    train = entities.filter(F.col("split") == "train")
+    fitted = pca.fit(
+        pipelines.stored(matrix.join(train.select("subject_id"), "subject_id", "left_semi")),
+        train.count(),
+        index.count(),
+        PCA_COMPONENTS,
     )
+    return entities.join(pca.project(matrix, entities, fitted), "subject_id")
+
+
+def test_examples(spark, folder):
+    """Entities and labels that predictions are made for: what does not depend on the model's numbers."""
+    return _fit_predict("logistic")(spark, folder).select("subject_id", "label")
 
 
 def _metrics(variant) -> Query:
@@ -472,15 +516,18 @@ def queries() -> dict[str, Query]:
         "events_in_window_lab": _in_window(star.labs),
         "events_in_window_note": events_in_window_note,
         "events_in_closed_window": _in_window(star.events, closed="both"),
+        "events_in_window_hot": _in_window(star.events, min_rows=HOT_ROWS),
         "feature_count_filtered": feature_count_filtered,
         "feature_avg_filtered": feature_avg_filtered,
         "feature_count_listed": feature_count_listed,
         "cohort_select": cohort_select,
         "cohort_events": cohort_events,
+        "cohort_events_hot": cohort_events_hot,
         "windows_with_notes": _windows("disjoint", notes_extend_windows=True),
         "windows_lead_survivors": _windows("disjoint", survivor_lead_days=windows.LEAD_DAYS),
         "event_dates": event_dates,
         "last_event_date": last_event_date,
+        "last_event_date_activity": last_event_date_activity,
         "feature_count_diag": feature_count_diag,
         "feature_count_med": feature_count_med,
         "feature_avg_lab": feature_avg_lab,
@@ -490,12 +537,15 @@ def queries() -> dict[str, Query]:
         "feature_index": feature_index,
         "feature_index_common": feature_index_common,
         "sparse_rows": sparse_rows,
-        "feature_vectors": feature_vectors,
+        "feature_vectors": _vectors("baseline"),
+        "feature_vectors_wordcount": _vectors("wordcount"),
+        "sparse_rows_hot": sparse_rows_hot,
         "entity_word_count": entity_word_count,
         "entity_term_count": entity_term_count,
         "document_frequency": document_frequency,
         "corpus_size": corpus_size,
         "entity_tfidf": entity_tfidf,
+        "entity_tfidf_hot": entity_tfidf_hot,
         "entity_tfidf_total_tokens": entity_tfidf_total_tokens,
         "entity_label": entity_label,
         "labeled_tuples": labeled_tuples,
@@ -510,6 +560,7 @@ def queries() -> dict[str, Query]:
         "eval_report": _evaluated(evaluation.report, "accuracy", "auroc_hard"),
         "pipeline_wordcount_all_notes_tuples": _tuples("wordcount", filter_notes=False),
         "pca_features": pca_features,
+        "test_examples": test_examples,
     }
     for policy in windows.POLICIES:
         found[f"windows_{policy}"] = _windows(policy)

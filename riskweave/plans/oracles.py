@@ -29,7 +29,7 @@ STRIPPED = (
 
 NOTES = """
 notes AS (
-  SELECT doc_id AS note_id, doc_id AS subject_id, text,
+  SELECT doc_id AS note_id, doc_id // 4 AS subject_id, text,
          CASE WHEN doc_id % 17 <> 0 THEN DATE '1995-01-01' + CAST((doc_id * 37) % 2400 AS INTEGER) END AS event_date
   FROM documents)"""
 
@@ -64,19 +64,25 @@ def _scores(bags: str, name: str, norm: str = "count(*)") -> str:
   CROSS JOIN (SELECT count(DISTINCT subject_id) AS n FROM {bags}) s)"""
 
 
+NOTE_SCORES = """
+note_bags AS (SELECT note_id AS subject_id, word, CAST(count(*) AS BIGINT) AS cnt FROM clean GROUP BY ALL),
+""" + _scores("note_bags", "raw_note_scores") + """,
+note_scores AS (SELECT subject_id AS note_id, word, tfidf FROM raw_note_scores)"""
+
+
 EVENTS = """
-admissions AS (
+admissions AS MATERIALIZED (
   SELECT o_custkey AS subject_id,
          CASE WHEN c_acctbal < 0 AND place = 1 THEN CAST(o_orderdate AS DATE) END AS deathtime,
-         CASE WHEN c_acctbal < 0 AND place = 1 THEN '1' ELSE '0' END AS hospital_expire_flag
+         CASE WHEN c_acctbal < 0 AND place = 1 THEN '1' WHEN c_acctbal >= 0 OR c_custkey % 2 = 0 THEN '0' END
+           AS hospital_expire_flag
   FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS place
         FROM orders) o
-  JOIN customer ON c_custkey = o_custkey
-  WHERE NOT (c_acctbal < 0 AND c_custkey % 2 = 1 AND place > 1)),
+  JOIN customer ON c_custkey = o_custkey),
 diagnoses AS (
   SELECT o_custkey AS subject_id, 'DIAG' || o_orderpriority AS code, CAST(o_orderdate AS DATE) AS event_date
   FROM orders),
-lines AS (
+lines AS MATERIALIZED (
   SELECT * FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey),
 medication AS (
   SELECT o_custkey AS subject_id, 'MED' || p_brand AS code, CAST(o_orderdate AS DATE) AS event_date FROM lines),
@@ -84,7 +90,7 @@ labs AS (
   SELECT o_custkey AS subject_id, 'LAB' || p_type AS code, l_quantity AS value,
          CAST(l_shipdate AS DATE) AS event_date
   FROM lines),
-events_all AS (
+events_all AS MATERIALIZED (
   SELECT subject_id, 'DIAG' AS source, code, CAST(1 AS DOUBLE) AS value, event_date FROM diagnoses
   UNION ALL SELECT subject_id, 'MED', code, 1.0, event_date FROM medication
   UNION ALL SELECT subject_id, 'LAB', code, value, event_date FROM labs),
@@ -101,7 +107,7 @@ ENTITIES_WITH_LAST_WINDOW = {
 
 def _windows(policy: str = "disjoint", lead: int = 0) -> str:
     return f"""
-windows AS (
+windows AS MATERIALIZED (
   SELECT subject_id, deathtime - 2030 AS start_date, deathtime - 30 AS end_date
   FROM admissions WHERE hospital_expire_flag = '1'
   UNION ALL
@@ -180,6 +186,22 @@ cohort AS (
   WHERE substr(code, 5) BETWEEN '{catalog.COHORT_LOW}' AND '{catalog.COHORT_HIGH}')"""
 
 
+SPLIT = """
+split AS (
+  SELECT c_custkey AS subject_id,
+         CASE WHEN CAST('0x' || substr(md5('6250:' || c_custkey), 1, 8) AS BIGINT) % 10 < 6
+              THEN 'train' ELSE 'test' END AS split
+  FROM customer)"""
+
+
+def _examples(variant: str) -> str:
+    return f"""
+WITH {_pipeline(variant)}, {INDEX}, {SPLIT}
+SELECT subject_id, label, split, CAST((SELECT count(*) FROM feature_idx) AS INTEGER) AS size, idx,
+       round(value, 6) AS value
+FROM tuples JOIN feature_idx USING (source, feature) JOIN labels_all USING (subject_id) JOIN split USING (subject_id)"""
+
+
 def _unwindowed(variant: str) -> str:
     head = f"WITH {EVENTS}, coded AS ({TUPLES_OF.format(events='events_all')})"
     if variant == "baseline":
@@ -188,8 +210,8 @@ def _unwindowed(variant: str) -> str:
         head += f", {TOKENS}, {UNLEMMATISED_BAGS}"
         text = "SELECT subject_id, 'WORD', word, CAST(cnt AS DOUBLE) FROM word_sums"
     else:
-        head += f", {CLEAN}, {_scores('bags', 'scores')}"
-        text = "SELECT subject_id, 'WORD', word, tfidf FROM scores"
+        head += f", {CLEAN}, {NOTE_SCORES}"
+        text = "SELECT note_id // 4, 'WORD', word, avg(tfidf) FROM note_scores GROUP BY ALL"
     return f"{head}, tuples AS (SELECT * FROM coded UNION ALL {text}) {ROUNDED} tuples"
 
 
@@ -226,7 +248,7 @@ WITH {TOKENS}
 SELECT note_id, subject_id, event_date, word, CAST(count(*) AS BIGINT) AS cnt FROM tokens GROUP BY ALL""",
         "split_outcome": f"""
 WITH {EVENTS}
-SELECT *, CASE hospital_expire_flag WHEN '1' THEN 'deceased' ELSE 'survived' END AS outcome FROM admissions""",
+SELECT *, CASE hospital_expire_flag WHEN '1' THEN 'deceased' WHEN '0' THEN 'survived' ELSE 'undetermined' END AS outcome FROM admissions""",
         "drop_incomplete": f"WITH {EVENTS} SELECT * FROM labs WHERE value <> 1",
         "drop_nan_time": f"""
 WITH {NOTES}
@@ -237,6 +259,7 @@ SELECT note_id, strftime(event_date, '%Y-%m-%d') AS charttime FROM notes WHERE e
         "events_in_window_note": f"""
 WITH {EVENTS}, {_windows()}, {NOTES}
 SELECT note_id, subject_id, event_date FROM notes JOIN windows USING (subject_id) WHERE {INSIDE}""",
+        "events_in_window_hot": _kept("events_all", "subject_id, source, code, value, event_date"),
         "events_in_closed_window": _kept(
             "events_all",
             "subject_id, source, code, value, event_date",
@@ -254,6 +277,42 @@ WHERE code IN (SELECT 'MED' || p_brand FROM part WHERE p_size >= {catalog.BIG_PA
 WITH {EVENTS}
 SELECT subject_id, code AS feature, avg(value) AS value FROM labs
 WHERE code IN {_list(catalog.WANTED_LABS)} GROUP BY ALL""",
+        "cohort_events_hot": f"""
+WITH {EVENTS}, {COHORT}
+SELECT * FROM events_all WHERE subject_id IN (SELECT subject_id FROM cohort)""",
+        "csv_admissions": f"""
+WITH {EVENTS}
+SELECT CAST(subject_id AS VARCHAR) AS subject_id, deathtime, hospital_expire_flag FROM admissions""",
+        "csv_events": """
+WITH lines AS (
+  SELECT * FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey
+  WHERE l_orderkey % 7 <> 0)
+SELECT CAST(o_custkey AS VARCHAR) AS subject_id, 'DIAG' AS source, 'DIAG' || o_orderpriority AS code,
+       CAST(1 AS DOUBLE) AS value, CAST(o_orderdate AS DATE) AS event_date
+FROM orders WHERE o_orderkey % 7 <> 0
+UNION ALL
+SELECT CAST(o_custkey AS VARCHAR), 'MED', 'MED' || p_brand, 1.0, CAST(o_orderdate AS DATE) FROM lines
+UNION ALL
+SELECT CAST(o_custkey AS VARCHAR), 'LAB', 'LAB' || p_type, l_quantity, CAST(l_shipdate AS DATE)
+FROM lines WHERE l_linenumber <> 3""",
+        "csv_view": """
+SELECT CAST(n_regionkey AS VARCHAR) AS region, count(*) AS n FROM nation GROUP BY ALL""",
+        "csv_notes": f"""
+WITH {NOTES}
+SELECT CAST(subject_id AS VARCHAR) AS subject_id, event_date, '"note"' || chr(10) || text AS text FROM notes""",
+        "table_notes": f"WITH {NOTES} SELECT note_id, subject_id, event_date, text FROM notes",
+        "csv_word_counts": f"""
+WITH {CLEAN}
+SELECT CAST(subject_id AS VARCHAR) AS subject_id, word, CAST(count(*) AS BIGINT) AS cnt, event_date
+FROM clean WHERE event_date IS NOT NULL GROUP BY note_id, subject_id, word, event_date""",
+        "csv_tfidf": f"""
+WITH {CLEAN}, {_scores("bags", "scores")}
+SELECT CAST(subject_id AS VARCHAR) AS subject_id, word, round(tfidf, 6) AS tfidf FROM scores""",
+        "metrics_lines": f"""
+WITH {PREDICTIONS}
+SELECT variant, model, round(CAST(value AS DOUBLE), 6) AS value
+FROM (SELECT variant, model, unnest([(c00 + c11) / (c00 + c01 + c10 + c11), (recall_0 + recall_1) / 2,
+                                     c00, c01, c10, c11]) AS value FROM rates)""",
         "cohort_select": f"WITH {EVENTS}, {COHORT} SELECT subject_id FROM cohort",
         "cohort_events": f"""
 WITH {EVENTS}, {COHORT}
@@ -268,6 +327,8 @@ last AS (
 SELECT w.* FROM windows w WHERE subject_id IN (SELECT subject_id FROM admissions WHERE hospital_expire_flag = '1')
 UNION ALL SELECT subject_id, day - 2000, day FROM last""",
         "event_dates": f"WITH {EVENTS} SELECT DISTINCT subject_id, event_date FROM events_all",
+        "last_event_date_activity": f"""
+WITH {EVENTS} SELECT subject_id, max(event_date) AS last_date FROM events_all GROUP BY ALL""",
         "last_event_date": f"""
 WITH {EVENTS} SELECT subject_id, max(event_date) AS last_date FROM events_all GROUP BY ALL""",
         "feature_count_diag": f"""
@@ -283,8 +344,8 @@ SELECT subject_id, code AS feature, round(avg(value), 6) AS value FROM labs GROU
 WITH {TOKENS}, {UNLEMMATISED_BAGS}
 SELECT subject_id, word AS feature, CAST(cnt AS DOUBLE) AS value FROM word_sums""",
         "feature_avg_tfidf": f"""
-WITH {CLEAN}, {_scores("bags", "scores")}
-SELECT subject_id, word AS feature, round(avg(tfidf), 6) AS value FROM scores GROUP BY ALL""",
+WITH {CLEAN}, {NOTE_SCORES}
+SELECT note_id // 4 AS subject_id, word AS feature, round(avg(tfidf), 6) AS value FROM note_scores GROUP BY ALL""",
         "feature_vocabulary_size": f"""
 WITH {_pipeline("wordcount")}
 SELECT count(*) AS n_features FROM (SELECT DISTINCT source, feature FROM tuples)""",
@@ -298,11 +359,15 @@ WITH {_pipeline("wordcount")}, {INDEX}
 SELECT subject_id, idx, round(value, 6) AS value,
        CAST(row_number() OVER (PARTITION BY subject_id ORDER BY idx) - 1 AS INTEGER) AS position
 FROM tuples JOIN feature_idx USING (source, feature)""",
-        "feature_vectors": f"""
-WITH {_pipeline("baseline")}, {INDEX}
-SELECT s.subject_id, i.idx, coalesce(round(t.value, 6), 0.0) AS value
-FROM (SELECT DISTINCT subject_id FROM tuples) s CROSS JOIN feature_idx i
-LEFT JOIN tuples t ON t.subject_id = s.subject_id AND t.source = i.source AND t.feature = i.feature""",
+        "sparse_rows_hot": f"""
+WITH {_pipeline("wordcount")}, {INDEX}
+SELECT subject_id, idx, round(value, 6) AS value FROM tuples JOIN feature_idx USING (source, feature)""",
+        "feature_vectors": _examples("baseline"),
+        "feature_vectors_wordcount": _examples("wordcount"),
+        "test_examples": f"""
+WITH {_pipeline("baseline")}, {SPLIT}
+SELECT subject_id, label FROM (SELECT DISTINCT subject_id FROM tuples) JOIN labels_all USING (subject_id)
+JOIN split USING (subject_id) WHERE split = 'test'""",
         "entity_word_count": f"WITH {CLEAN} SELECT subject_id, word, cnt FROM bags",
         "entity_term_count": f"""
 WITH {CLEAN}
@@ -313,6 +378,9 @@ WITH {CLEAN}
 SELECT count(DISTINCT subject_id) AS n_entities, count(DISTINCT word) AS n_words FROM bags""",
         "entity_tfidf": f"""
 WITH {CLEAN}, {_scores("bags", "scores")}
+SELECT subject_id, word, cnt, term_count, doc_freq, round(tfidf, 6) AS tfidf FROM scores""",
+        "entity_tfidf_hot": f"""
+WITH {CLEAN}, {_scores("bags", "scores")}
 SELECT subject_id, word, cnt, term_count, doc_freq, round(tfidf, 6) AS tfidf FROM scores""",
         "entity_tfidf_total_tokens": f"""
 WITH {CLEAN}, {_scores("bags", "scores", "sum(cnt)")}
@@ -321,11 +389,7 @@ SELECT subject_id, word, cnt, term_count, doc_freq, round(tfidf, 6) AS tfidf FRO
         "labeled_tuples": f"""
 WITH {_pipeline("baseline")}
 SELECT subject_id, source, feature, round(value, 6) AS value, label FROM tuples JOIN labels_all USING (subject_id)""",
-        "hash_split": """
-SELECT c_custkey AS subject_id,
-       CASE WHEN CAST('0x' || substr(md5('6250:' || c_custkey), 1, 8) AS BIGINT) % 10 < 6
-            THEN 'train' ELSE 'test' END AS split
-FROM customer""",
+        "hash_split": f"WITH {SPLIT} SELECT * FROM split",
         "split_by_ids": f"""
 WITH {EVENTS}
 SELECT subject_id, label, 'train' AS split FROM labels_all
@@ -367,6 +431,8 @@ SELECT variant, model, round((c00 + c11) / (c00 + c01 + c10 + c11), 6) AS accura
 FROM rates""",
         "pipeline_wordcount_all_notes_tuples": f"WITH {_pipeline('wordcount', filter_notes=False)} {ROUNDED} tuples",
     }
+    found["csv_id_split"] = f"SELECT CAST(subject_id AS VARCHAR) AS subject_id, label, split FROM ({found['split_by_ids']})"
+    found["metrics_table"] = found["eval_report"]
     for policy in ENTITIES_WITH_LAST_WINDOW:
         found[f"windows_{policy}"] = f"WITH {EVENTS}, {_windows(policy)} SELECT * FROM windows"
         if policy != "disjoint":

@@ -1,7 +1,7 @@
 """From event tables to feature tuples, labelled examples, models and a report."""
 
 from collections.abc import Iterable, Mapping
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -9,22 +9,23 @@ from pyspark.sql import functions as F
 
 from riskweave.functions.text import ENGLISH_STOP_WORDS
 from riskweave.operators import evaluation, features, labels, learning, splits, windows, words
-from riskweave.operators.runtime import stored
+from riskweave.operators.runtime import HOT_MIN_ROWS, stored
 from riskweave.sources import sinks
 
 VARIANTS = ("baseline", "wordcount", "tfidf")
 
-# Notes are large, so an entity with fewer of them is already worth splitting.
-HOT_MIN_NOTES = 10_000
-
-
 @dataclass(frozen=True)
 class Tables:
-    """What a pipeline reads: admissions, the stacked coded events, and notes for the text variants."""
+    """What a pipeline reads: admissions, the stacked coded events, and notes for the text variants.
+
+    ``activity`` has the last day and the number of events per entity if there
+    is a cheaper way to them than counting ``events``.
+    """
 
     admissions: DataFrame
     events: DataFrame
     notes: DataFrame | None = None
+    activity: DataFrame | None = None
 
 
 @dataclass(frozen=True)
@@ -34,7 +35,9 @@ class Settings:
     ``filter_notes=False`` uses notes of any date.  ``notes_extend_windows``
     lets a note be the last event of its entity.  ``min_entities`` drops rare
     features before the vectors are built, for models whose memory grows with
-    their width.
+    their width; ``fit_entities`` bounds the entities that models are fitted on,
+    chosen by a hash (predictions are made for all).  ``hot_min_rows`` is the
+    number of rows from which a key may be cut into parts.
     """
 
     policy: str = "disjoint"
@@ -50,58 +53,77 @@ class Settings:
     tfidf_norm: str = "distinct_terms"
     min_entities: int = 1
     model_parameters: Mapping[str, Mapping] | None = None
+    hot_min_rows: int = HOT_MIN_ROWS
+    fit_entities: int | None = None
 
 
 def pipeline_windows(tables: Tables, settings: Settings) -> DataFrame:
-    dated = tables.events
+    activity = entity_activity(tables)
     if settings.notes_extend_windows:
-        days = ["subject_id", "event_date"]
-        dated = dated.select(days).unionByName(tables.notes.select(days))
+        both = activity.unionByName(windows.entity_activity(tables.notes))
+        activity = both.groupBy("subject_id").agg(
+            F.max("last_date").alias("last_date"), F.sum("n_events").alias("n_events")
+        )
     return windows.observation_windows(
         tables.admissions,
-        dated,
+        None,
         settings.policy,
         settings.lead_days,
         settings.length_days,
         settings.survivor_lead_days,
+        activity=activity,
     )
 
 
-def event_tuples(tables: Tables, settings: Settings = Settings()) -> DataFrame:
-    """Tuples of diagnoses, medication and labs inside the windows."""
-    spans = pipeline_windows(tables, settings)
-    return features.event_features(windows.in_window(tables.events, spans, settings.closed))
+def entity_activity(tables: Tables) -> DataFrame:
+    return windows.entity_activity(tables.events) if tables.activity is None else tables.activity
+
+
+def event_tuples(
+    tables: Tables, settings: Settings = Settings(), spans: DataFrame | None = None
+) -> DataFrame:
+    """Tuples of diagnoses, medication and labs inside the windows ``spans``, if they are known already."""
+    spans = pipeline_windows(tables, settings) if spans is None else spans
+    hot = windows.busy_entities(entity_activity(tables), settings.hot_min_rows)
+    return features.event_features(windows.in_window(tables.events, spans, settings.closed, hot=hot))
 
 
-def windowed_notes(tables: Tables, settings: Settings = Settings()) -> DataFrame:
-    """Notes inside the windows: whole texts are dropped before they are tokenised."""
+def windowed_notes(
+    tables: Tables, settings: Settings = Settings(), spans: DataFrame | None = None
+) -> DataFrame:
+    """Bags of the notes inside the windows: words are counted in the row, and no text is shuffled."""
+    notes = words.bagged(tables.notes, settings.word_separator)
     if not settings.filter_notes:
-        return tables.notes
+        return notes
     return windows.in_window(
-        tables.notes,
-        pipeline_windows(tables, settings),
+        notes,
+        pipeline_windows(tables, settings) if spans is None else spans,
         settings.closed,
-        hot=windows.hot_entities(tables.notes, HOT_MIN_NOTES),
+        hot=windows.hot_entities(tables.notes, settings.hot_min_rows),
         salt_on=("note_id",),
     )
 
 
-def entity_words(tables: Tables, settings: Settings = Settings()) -> DataFrame:
+def entity_words(
+    tables: Tables, settings: Settings = Settings(), spans: DataFrame | None = None
+) -> DataFrame:
     """(subject_id, word, cnt) of the notes inside the windows."""
-    return words.entity_bags(
-        windowed_notes(tables, settings), settings.lemmas, settings.stop_words, settings.word_separator
-    )
+    return words.entity_bags(windowed_notes(tables, settings, spans), settings.lemmas, settings.stop_words)
 
 
-def word_count_tuples(tables: Tables, settings: Settings = Settings()) -> DataFrame:
+def word_count_tuples(
+    tables: Tables, settings: Settings = Settings(), spans: DataFrame | None = None
+) -> DataFrame:
     """Total count per entity and word, which :func:`entity_words` has summed already."""
-    counts = entity_words(tables, settings)
+    counts = entity_words(tables, settings, spans)
     return features.word_features(
         counts.select("subject_id", F.col("word").alias("feature"), F.col("cnt").cast("double").alias("value"))
     )
 
 
-def tfidf_tuples(tables: Tables, settings: Settings = Settings()) -> DataFrame:
+def tfidf_tuples(
+    tables: Tables, settings: Settings = Settings(), spans: DataFrame | None = None
+) -> DataFrame:
     """Scores from the counts inside the windows.
 
     The counts are needed for the scores, per entity and per word.  They are
@@ -109,8 +131,8 @@ def tfidf_tuples(tables: Tables, settings: Settings = Settings()) -> DataFrame:
     columns.  There is one score per entity and word, so the mean per entity
     and word (:func:`features.mean_word_features`) is the score itself.
     """
-    counts = stored(entity_words(tables, settings))
-    scores = words.entity_tfidf(counts, settings.tfidf_norm)
+    counts = stored(entity_words(tables, settings, spans))
+    scores = words.entity_tfidf(counts, settings.tfidf_norm, settings.hot_min_rows)
     return features.word_features(
         scores.select("subject_id", F.col("word").alias("feature"), F.col("tfidf").alias("value"))
     )
@@ -118,26 +140,44 @@ def tfidf_tuples(tables: Tables, settings: Settings = Settings()) -> DataFrame:
 
 def feature_tuples(variant: str, tables: Tables, settings: Settings = Settings()) -> DataFrame:
     """(subject_id, source, feature, value) of a variant in ``VARIANTS``."""
-    coded = event_tuples(tables, settings)
     if variant == "baseline":
-        return coded
-    text = {"wordcount": word_count_tuples, "tfidf": tfidf_tuples}[variant](tables, settings)
+        return event_tuples(tables, settings)
+    # Both sides meet the same windows, which are worked out once.
+    spans = stored(pipeline_windows(tables, settings))
+    coded = event_tuples(tables, settings, spans)
+    text = {"wordcount": word_count_tuples, "tfidf": tfidf_tuples}[variant](tables, settings, spans)
     return features.union_tuples(coded, text)
 
 
 def examples(variant: str, tables: Tables, settings: Settings = Settings()) -> DataFrame:
     """Stored (subject_id, features, label, split)."""
+    path = written_examples(variant, tables, settings)
+    return learning.read_examples(tables.events.sparkSession, path)
+
+
+def written_examples(variant: str, tables: Tables, settings: Settings = Settings()) -> str:
+    """Folder of the examples of a variant."""
     tuples = stored(feature_tuples(variant, tables, settings))
     index = features.feature_index(features.feature_names(tuples, settings.min_entities))
-    rows = features.sparse_rows(features.indexed_tuples(tuples, index))
-    return learning.stored_examples(
+    rows = features.sparse_rows(features.indexed_tuples(tuples, index, settings.hot_min_rows))
+    return learning.write_examples(
         splits.hash_split(rows), index, labels.entity_labels(tables.admissions), "split"
     )
 
 
-def fit_predict(model: str, data: DataFrame, folder: str | None = None, **parameters) -> DataFrame:
-    """Predictions on the test set of a model fitted on the training set."""
-    fitted = learning.estimator(model, **parameters).fit(data.filter(F.col("split") == "train"))
+def fit_predict(
+    model: str, data: DataFrame, folder: str | None = None, fit_entities: int | None = None, **parameters
+) -> DataFrame:
+    """Predictions on the test set of a model fitted on the training set.
+
+    ``fit_entities`` bounds the entities of the training set that are used, the
+    first by a hash of the entity.  Tree models hold dense rows, so a wide
+    vocabulary may need it; by default all are used.
+    """
+    train = data.filter(F.col("split") == "train")
+    if fit_entities is not None:
+        train = train.orderBy(F.xxhash64("subject_id"), "subject_id").limit(fit_entities)
+    fitted = learning.estimator(model, **parameters).fit(train)
     if folder is not None:
         sinks.write_model(fitted, folder)
     return learning.predict(fitted, data.filter(F.col("split") == "test"))
@@ -160,6 +200,7 @@ def run(
                 model,
                 data,
                 f"{folder}/{variant}_{model}" if folder else None,
+                settings.fit_entities,
                 **parameters.get(model, {}),
             ).select(F.lit(variant).alias("variant"), F.lit(model).alias("model"), "*")
             for model in models
@@ -169,7 +210,3 @@ def run(
     if folder is not None:
         sinks.write_metrics(report, f"{folder}/{variant}_result")
     return report
-
-
-def with_policy(policy: str, settings: Settings = Settings()) -> Settings:
-    return replace(settings, policy=policy)

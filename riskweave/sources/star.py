@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 
 from riskweave.functions import codes
 from riskweave.operators.events import stack_sources
-from riskweave.operators.runtime import hot_keys, spread_join, spread_scan
+from riskweave.operators.runtime import hot_keys, spread_join
+
+
+NOTES_PER_ENTITY = 4
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -23,8 +26,8 @@ def entities(spark: SparkSession, folder: str) -> DataFrame:
 def admissions(spark: SparkSession, folder: str) -> DataFrame:
     """One row per order; the last order of a customer in debt is the fatal one.
 
-    Debtors with an odd key keep only that last order, so that the window
-    policies differ.
+    The earlier orders of debtors with an odd key have no flag, so that the
+    window policies differ.
     """
     orders = table(spark, folder, "orders").select("o_custkey", "o_orderkey", "o_orderdate")
     customers = table(spark, folder, "customer").select(
@@ -37,10 +40,11 @@ def admissions(spark: SparkSession, folder: str) -> DataFrame:
     fatal = F.col("in_debt") & (F.col("o_orderkey") == F.col("last_order"))
     hot = hot_keys(last, "o_custkey", "n_orders")
     owned = spread_join(orders, customers.join(last, "o_custkey"), "o_custkey", hot, F.xxhash64("o_orderkey"))
-    return owned.filter(~F.col("in_debt") | (F.col("o_custkey") % 2 == 0) | fatal).select(
+    unknown = F.col("in_debt") & (F.col("o_custkey") % 2 != 0)
+    return owned.select(
         F.col("o_custkey").alias("subject_id"),
         F.when(fatal, F.col("o_orderdate").cast("date")).alias("deathtime"),
-        F.when(fatal, F.lit("1")).otherwise(F.lit("0")).alias("hospital_expire_flag"),
+        F.when(fatal, F.lit("1")).when(~unknown, F.lit("0")).alias("hospital_expire_flag"),
     )
 
 
@@ -53,7 +57,7 @@ def diagnoses(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _lines(spark, folder) -> DataFrame:
-    lines = spread_scan(table(spark, folder, "lineitem"), "l_orderkey")
+    lines = table(spark, folder, "lineitem")
     orders = table(spark, folder, "orders")
     parts = table(spark, folder, "part")
     return lines.join(orders, lines["l_orderkey"] == orders["o_orderkey"]).join(
@@ -107,14 +111,29 @@ def events(spark: SparkSession, folder: str) -> DataFrame:
     return coded.unionByName(both)
 
 
+def activity(spark: SparkSession, folder: str) -> DataFrame:
+    """Last day and number of :func:`events` per entity.
+
+    Line items are combined per order first, and parts are not needed.
+    """
+    shipped = table(spark, folder, "lineitem").groupBy("l_orderkey").agg(
+        F.max(F.col("l_shipdate").cast("date")).alias("shipped"), F.count(F.lit(1)).alias("lines")
+    )
+    orders = table(spark, folder, "orders")
+    joined = orders.join(shipped, orders["o_orderkey"] == shipped["l_orderkey"], "left")
+    return joined.groupBy(F.col("o_custkey").alias("subject_id")).agg(
+        F.max(F.greatest(F.col("o_orderdate").cast("date"), "shipped")).alias("last_date"),
+        F.sum(1 + 2 * F.coalesce("lines", F.lit(0))).alias("n_events"),
+    )
+
+
 def notes(spark: SparkSession, folder: str) -> DataFrame:
-    """One note per document; every seventeenth one has no date."""
+    """One note per document; four documents in a row belong to one entity, every seventeenth has no date."""
     documents = table(spark, folder, "documents").select("doc_id", "text")
-    documents = spread_scan(documents, "doc_id")
     day = F.date_add(F.lit("1995-01-01").cast("date"), ((F.col("doc_id") * 37) % 2400).cast("int"))
     return documents.select(
         F.col("doc_id").alias("note_id"),
-        F.col("doc_id").alias("subject_id"),
+        F.floor(F.col("doc_id") / NOTES_PER_ENTITY).alias("subject_id"),
         F.when(F.col("doc_id") % 17 != 0, day).alias("event_date"),
         "text",
     )

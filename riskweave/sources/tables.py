@@ -106,7 +106,23 @@ def read_notes(spark: SparkSession, path) -> DataFrame:
     return raw.select(
         F.sha2(F.to_json(F.struct("subject_id", "charttime", "text")), 256).alias("note_id"),
         "subject_id",
-        F.to_date("charttime").alias("event_date"),
+        F.to_date(F.nullif("charttime", F.lit("nan"))).alias("event_date"),
+        "text",
+    )
+
+
+def read_note_table(spark: SparkSession, path, note_id: str | None = None) -> DataFrame:
+    """Notes from a columnar table with subject_id, charttime and text, read in as many tasks as it has splits.
+
+    ``note_id`` names a column that identifies them; without it they get an
+    identifier from their content, as in :func:`read_notes`.
+    """
+    raw = spark.read.parquet(path)
+    made = F.sha2(F.to_json(F.struct("subject_id", "charttime", "text")), 256)
+    return raw.select(
+        (made if note_id is None else F.col(note_id)).alias("note_id"),
+        "subject_id",
+        F.to_date(F.nullif(F.col("charttime").cast("string"), F.lit("nan"))).alias("event_date"),
         "text",
     )
 
