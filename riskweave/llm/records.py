@@ -20,6 +20,7 @@ position, n_tokens); position counts the ids before the record in its shard.
 import os
 import struct
 import sys
+import unicodedata
 import uuid
 import zlib
 from array import array
@@ -130,7 +131,8 @@ class Encoder:
 def pieces_of(part: str) -> tuple[str, ...]:
     """A word and the marks behind it, or the part as it is."""
     word = part.rstrip(MARKS)
-    if not word.isalpha():
+    # Some letters fold to a letter and a mark, which would join the marks behind it.
+    if not word.isalpha() or not word.isascii() and not unicodedata.normalize("NFC", word).lower().isalpha():
         return (part,)
     if word.isascii():
         word = word.lower()
