@@ -1,5 +1,6 @@
 import os
 import sys
+import tempfile
 
 import pytest
 from pyspark.sql import SparkSession
@@ -17,6 +18,9 @@ def spark():
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "8g")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="riskweave-tests-"))
+        # The tables are single small files: smaller splits keep all cores at work.
+        .config("spark.sql.files.maxPartitionBytes", "2m")
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")

@@ -5,7 +5,7 @@ import pytest
 from pyspark.ml.linalg import SparseVector
 from pyspark.sql import functions as F
 
-from riskweave.operators import cohort, features, labels, splits, words
+from riskweave.operators import cohort, features, labels, learning, splits, words
 from riskweave.operators import events as ev
 
 
@@ -27,13 +27,10 @@ def as_map(frame):
 @pytest.mark.parametrize(
     "given, wanted, expected",
     [
-        (["code1"], None, {"code1": 1.0}),
-        (["code1", "code2"], None, {"code1": 1.0, "code2": 1.0}),
-        (["code1", "code1"], None, {"code1": 2.0}),
-        (["code1", "code1", "code2"], None, {"code1": 2.0, "code2": 1.0}),
-        (["code1", "code1", "code2"], ["code2"], {"code2": 1.0}),
-        (["code1", "code1", "code2"], ["code1"], {"code1": 2.0}),
-        (["code1", "code2", "code2"], ["code2"], {"code2": 2.0}),
+        (["rash"], None, {"rash": 1.0}),
+        (["rash", "gout", "rash", "rash"], None, {"rash": 3.0, "gout": 1.0}),
+        (["rash", "gout", "rash"], ["gout", "croup"], {"gout": 1.0}),
+        (["rash", "gout", "rash"], ["rash"], {"rash": 2.0}),
         ([], None, {}),
     ],
 )
@@ -42,18 +39,16 @@ def test_counts(spark, given, wanted, expected):
     assert got == {("p1", c): v for c, v in expected.items()}
 
 
-MANY = [("code1", 42), ("code1", 24), ("code2", 7475)]
+READINGS = [("iron", 8), ("iron", 11), ("zinc", 250.5)]
 
 
 @pytest.mark.parametrize(
     "given, wanted, expected",
     [
-        ([("code1", 42)], None, {"code1": 42.0}),
-        ([("code1", 42), ("code2", 24)], None, {"code1": 42.0, "code2": 24.0}),
-        ([("code1", 42), ("code1", 24)], None, {"code1": 33.0}),
-        (MANY, None, {"code1": 33.0, "code2": 7475.0}),
-        (MANY, ["code2"], {"code2": 7475.0}),
-        (MANY, ["code1"], {"code1": 33.0}),
+        ([("iron", 8)], None, {"iron": 8.0}),
+        (READINGS, None, {"iron": 9.5, "zinc": 250.5}),
+        (READINGS, ["zinc"], {"zinc": 250.5}),
+        (READINGS, ["iron", "lead"], {"iron": 9.5}),
     ],
 )
 def test_means(spark, given, wanted, expected):
@@ -62,8 +57,8 @@ def test_means(spark, given, wanted, expected):
 
 
 def test_code_table(spark):
-    wanted = spark.createDataFrame([("code2",)], "c string")
-    assert as_map(features.count_features(coded(spark, "code1", "code2"), wanted)) == {("p1", "code2"): 1.0}
+    wanted = spark.createDataFrame([("gout",)], "c string")
+    assert as_map(features.count_features(coded(spark, "rash", "gout"), wanted)) == {("p1", "gout"): 1.0}
 
 
 def test_all_sources_at_once(spark):
@@ -82,17 +77,27 @@ def vectors_of(spark, rows):
     )
     index = features.feature_index(features.feature_names(tuples))
     table = features.sparse_rows(features.indexed_tuples(tuples, index))
-    return {r["subject_id"]: r["features"] for r in features.feature_vectors(table, index).collect()}
+    outcome = tuples.select("subject_id").distinct().withColumn("label", F.lit(1.0))
+    path = learning.write_examples(table, index, outcome)
+    entries = {(r["subject_id"], r["idx"]): r["value"] for r in learning.example_entries(spark, path).collect()}
+    vectors = {r["subject_id"]: r["features"] for r in learning.read_examples(spark, path).collect()}
+    assert entries == {(who, int(k)): v for who, x in vectors.items() for k, v in zip(x.indices, x.values)}
+    return vectors
 
 
-def test_vector_in_name_order(spark):
-    got = vectors_of(spark, [("p1", "code2", 42.0), ("p1", "code1", 24.0)])
-    assert got["p1"].toArray().tolist() == [24.0, 42.0]
+def test_vectors_in_name_order(spark):
+    got = vectors_of(spark, [("p1", "wheeze", 7.0), ("p1", "cough", 5.0), ("p2", "fever", 3.0)])
+    assert got == {"p1": SparseVector(3, {0: 5.0, 2: 7.0}), "p2": SparseVector(3, {1: 3.0})}
+    assert got["p1"].toArray().tolist() == [5.0, 0.0, 7.0]
 
 
-def test_sparse_vectors(spark):
-    got = vectors_of(spark, [("p1", "code0", 42.0), ("p1", "code2", 24.0), ("p2", "code1", 12.0)])
-    assert got == {"p1": SparseVector(3, {0: 42.0, 2: 24.0}), "p2": SparseVector(3, {1: 12.0})}
+def test_names_that_most_entities_have_are_cut(spark):
+    rows = [(f"p{i}", "WORD", name, float(i)) for i in range(200) for name in ("all", f"own{i}")]
+    tuples = spark.createDataFrame(rows, "subject_id string, source string, feature string, value double")
+    index = features.feature_index(features.feature_names(tuples))
+    plain = sorted(tuple(r) for r in features.indexed_tuples(tuples, index).collect())
+    assert sorted(tuple(r) for r in features.indexed_tuples(tuples, index, 10).collect()) == plain
+    assert len(plain) == 400
 
 
 def test_index_has_no_gaps(spark):
@@ -189,16 +194,14 @@ def test_tfidf_by_hand(spark):
     assert (size["n_entities"], size["n_words"]) == (2, 4)
 
 
-def test_tfidf_with_hot_words_and_entities(spark, monkeypatch):
+def test_tfidf_with_hot_words_and_entities(spark):
     random.seed(3)
     rows = {("hot", f"w{i}"): random.randrange(1, 9) for i in range(600)}
     rows.update({(f"p{i}", "hot"): random.randrange(1, 9) for i in range(600)})
     rows.update({(f"p{i}", f"w{random.randrange(600)}"): 1 for i in range(600)})
     counts = spark.createDataFrame([(a, b, n) for (a, b), n in rows.items()], "subject_id string, word string, cnt long")
     plain = {(r["subject_id"], r["word"]): r["tfidf"] for r in words.entity_tfidf(counts).collect()}
-    real = words.hot_keys
-    monkeypatch.setattr(words, "hot_keys", lambda *a: real(*a, min_rows=50))
-    cut = {(r["subject_id"], r["word"]): r["tfidf"] for r in words.entity_tfidf(counts).collect()}
+    cut = {(r["subject_id"], r["word"]): r["tfidf"] for r in words.entity_tfidf(counts, min_rows=50).collect()}
     terms, found = {}, {}
     for (who, word), n in rows.items():
         terms[who] = terms.get(who, 0) + 1
@@ -212,7 +215,7 @@ def test_tfidf_with_hot_words_and_entities(spark, monkeypatch):
 
 def test_labels(spark):
     admissions = spark.createDataFrame(
-        [("a", "0"), ("a", "1"), ("b", "0"), ("b", "0"), ("c", "1"), ("c", "1")],
+        [("a", "0"), ("a", "1"), ("b", "0"), ("b", None), ("c", "1"), ("c", None)],
         "subject_id string, hospital_expire_flag string",
     )
     got = {r["subject_id"]: r["label"] for r in labels.entity_labels(admissions).collect()}

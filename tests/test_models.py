@@ -2,10 +2,11 @@ import numpy as np
 import pytest
 from pyspark.ml.classification import GBTClassificationModel, LogisticRegressionModel
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
+from pyspark.ml.feature import PCA
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from riskweave.operators import evaluation, features, learning
+from riskweave.operators import evaluation, features, learning, pca
 from riskweave.plans import catalog, pipelines
 from riskweave.sources import sinks
 
@@ -19,6 +20,7 @@ def predicted(spark, c00, c01, c10, c11):
     )
 
 
+# The published confusion matrix, and the measures published with it.
 def test_published_cells(spark):
     row = evaluation.report(predicted(spark, 3768, 51, 185, 555)).first()
     assert row["accuracy"] == pytest.approx(0.9482342618995394, abs=1e-12)
@@ -43,6 +45,7 @@ def test_missing_class(spark):
     assert row["auroc_hard"] is None and row["accuracy"] == pytest.approx(5 / 6)
 
 
+# Cluster sizes and purities that must match.
 @pytest.mark.parametrize(
     "counts, expected",
     [
@@ -99,26 +102,37 @@ def test_defaults():
 
 def test_pca_against_numpy(spark):
     rng = np.random.default_rng(5)
-    matrix = rng.normal(size=(60, 6)) * [5, 4, 3, 2, 1, 0.5]
-    tuples = spark.createDataFrame(
-        [(f"p{i:02d}", "LAB", f"f{j}", float(v)) for i, line in enumerate(matrix) for j, v in enumerate(line)],
-        "subject_id string, source string, feature string, value double",
-    )
-    index = features.feature_index(learning.frequent_features(tuples, 6))
-    rows = features.sparse_rows(features.indexed_tuples(tuples, index))
-    vectors = features.feature_vectors(rows, index)
-    model = learning.fit_pca(vectors, 3)
-    got = model.transform(vectors).orderBy("subject_id").select(vector_to_array("components").alias("c")).collect()
-    _, _, axes = np.linalg.svd(matrix - matrix.mean(axis=0))
-    expected = matrix @ axes[:3].T
-    assert np.allclose(np.abs([r["c"] for r in got]), np.abs(expected))
-
-
-def test_frequent_features(spark):
-    tuples = spark.createDataFrame([("DIAG", f) for f in "aabbbc"], "source string, feature string")
-    assert {r["feature"] for r in learning.frequent_features(tuples, 2).collect()} == {"a", "b"}
-    with pytest.raises(ValueError):
-        learning.frequent_features(tuples, 70_000)
+    matrix = rng.normal(size=(60, 8)) * [9, 6, 4, 2, 0.5, 0.2, 0.1, 0.1]
+    matrix[rng.random(matrix.shape) < 0.3] = 0
+    entries = [(f"p{i:02d}", j, float(v)) for i, line in enumerate(matrix) for j, v in enumerate(line) if v]
+    long = spark.createDataFrame(entries, "subject_id string, idx int, value double")
+    fitted = pca.fit(long, 60, 8, 3)
+    ids = spark.createDataFrame([(f"p{i:02d}",) for i in range(60)], "subject_id string")
+    got = pca.project(long, ids, fitted).orderBy("subject_id").collect()
+    centred = matrix - matrix.mean(axis=0)
+    _, sizes, axes = np.linalg.svd(centred)
+    assert np.allclose(fitted.variance, sizes[:3] ** 2 / 59)
+    assert np.allclose(np.abs([r["components"] for r in got]), np.abs(centred @ axes[:3].T), atol=1e-6)
+
+
+def test_pca_of_all_numeric_features(spark, small):
+    """As Spark's own, which holds the whole covariance."""
+    source = catalog.event_tables(spark, small)
+    tuples = pipelines.stored(pipelines.event_tuples(source, catalog.settings(spark)))
+    index = features.feature_index(features.feature_names(tuples))
+    long = pipelines.stored(features.indexed_tuples(tuples, index))
+    every = pca.fit(long, 150, 36, 36)
+    data = pipelines.examples("baseline", source, catalog.settings(spark))
+    theirs = PCA(k=5, inputCol="features", outputCol="c").fit(data)
+    assert np.allclose(every.variance[:5] / every.variance.sum(), theirs.explainedVariance, atol=1e-6)
+    few = pca.fit(long, 150, 36, 5)
+    assert np.allclose(few.variance, every.variance[:5], rtol=1e-3)
+
+
+def test_bounded_fit(spark, examples):
+    few = pipelines.fit_predict("tree", examples, fit_entities=20)
+    every = pipelines.fit_predict("tree", examples)
+    assert {r["subject_id"] for r in few.collect()} == {r["subject_id"] for r in every.collect()}
 
 
 def test_run_writes_models_and_report(spark, small, tmp_path):

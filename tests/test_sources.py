@@ -40,10 +40,10 @@ def test_views(spark, tmp_path):
 
 def test_event_tables(spark, tmp_path):
     admissions = write(
-        tmp_path, "admissions.csv", "subject_id,deathtime,hospital_expire_flag", "1,2120-02-15 11:39:00,1", "2,,0"
+        tmp_path, "admissions.csv", "subject_id,deathtime,hospital_expire_flag", "1,2084-07-03 06:20:00,1", "2,,0"
     )
     got = {tuple(r) for r in tables.read_admissions(spark, admissions).collect()}
-    assert got == {("1", datetime.date(2120, 2, 15), "1"), ("2", None, "0")}
+    assert got == {("1", datetime.date(2084, 7, 3), "1"), ("2", None, "0")}
 
     coded = write(tmp_path, "diagnoses.csv", "s,h,c,t", "1,9,25000,2120-01-01 23:00:00", "2,9,,2120-01-02 00:00:00")
     got = {tuple(r) for r in tables.read_diagnoses(spark, coded).collect()}
@@ -70,7 +70,7 @@ def test_id_list(spark, tmp_path):
 
 NOTES = [
     "subject_id,charttime,text",
-    '1,2120-02-15 11:39:00,"First line,',
+    '1,2084-07-03 06:20:00,"First line,',
     "second ""line"" line",
     'last"',
     "2,,plain words plain",
@@ -82,7 +82,7 @@ def test_notes_and_word_tables(spark, tmp_path):
     notes = tables.read_notes(spark, path)
     rows = {r["subject_id"]: r for r in notes.collect()}
     assert set(rows) == {"1", "2"}
-    assert "\n" in rows["1"]["text"] and rows["1"]["event_date"] == datetime.date(2120, 2, 15)
+    assert "\n" in rows["1"]["text"] and rows["1"]["event_date"] == datetime.date(2084, 7, 3)
     assert rows["2"]["event_date"] is None
 
     counts = words.note_word_counts(notes, stop=None)
@@ -91,10 +91,10 @@ def test_notes_and_word_tables(spark, tmp_path):
     back = {(r["subject_id"], r["word"]): (r["cnt"], r["event_date"]) for r in tables.read_word_counts(spark, folder).collect()}
     # The note without a time is written, and left out when read.
     assert back == {
-        ("1", "first"): (1, datetime.date(2120, 2, 15)),
-        ("1", "line"): (3, datetime.date(2120, 2, 15)),
-        ("1", "second"): (1, datetime.date(2120, 2, 15)),
-        ("1", "last"): (1, datetime.date(2120, 2, 15)),
+        ("1", "first"): (1, datetime.date(2084, 7, 3)),
+        ("1", "line"): (3, datetime.date(2084, 7, 3)),
+        ("1", "second"): (1, datetime.date(2084, 7, 3)),
+        ("1", "last"): (1, datetime.date(2084, 7, 3)),
     }
     assert tables.read_table(spark, folder).filter("charttime = 'nan'").count() == 2
     sinks.write_word_counts(counts, folder)
@@ -151,13 +151,6 @@ def test_checkpoint_folder(master):
         assert folder and runtime.checkpoint_folder(Session) == folder == Session.sparkContext.folder
 
 
-def test_spread_scan(spark, small):
-    scan = spark.read.parquet(f"{small}/documents.parquet")
-    assert runtime.spread_scan(scan, "doc_id").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-    wide = spark.range(0, 100, 1, 16)
-    assert runtime.spread_scan(wide, "id") is wide
-
-
 def test_stream_of_notes(spark, tmp_path):
     """Notes that arrive in two batches are counted like all at once, each once."""
     incoming, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
@@ -175,3 +168,13 @@ def test_stream_of_notes(spark, tmp_path):
     columns = ["note_id", "subject_id", "event_date", "word", "cnt"]
     got = sorted(tuple(r) for r in spark.read.parquet(out).select(columns).collect())
     assert got == sorted(tuple(r) for r in words.note_word_counts(notes).select(columns).collect())
+
+
+def test_notes_without_time(spark, tmp_path):
+    path = write(tmp_path, "undated.csv", "subject_id,charttime,text", "1,nan,a", "2,,b", "3,2084-07-03,c")
+    got = {r["subject_id"]: r["event_date"] for r in tables.read_notes(spark, path).collect()}
+    assert got == {"1": None, "2": None, "3": datetime.date(2084, 7, 3)}
+    spark.read.option("header", True).csv(path).write.parquet(str(tmp_path / "notes"))
+    again = tables.read_note_table(spark, str(tmp_path / "notes"))
+    assert {r["subject_id"]: r["event_date"] for r in again.collect()} == got
+    assert again.select("note_id").distinct().count() == 3
