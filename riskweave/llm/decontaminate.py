@@ -64,11 +64,9 @@ def parts_of(text: str) -> tuple[list[str], list[str]]:
     return question, answer
 
 
-def runs(ids: list[int]) -> set[tuple[int, ...]]:
-    """All runs of five words; fewer words are one run."""
-    if not ids:
-        return set()
-    return {tuple(ids[k : k + RUN]) for k in range(max(1, len(ids) - RUN + 1))}
+def runs(ids: list[int], size: int) -> set[tuple[int, ...]]:
+    """All runs of ``size`` words."""
+    return set(zip(*(ids[k:] for k in range(size))))
 
 
 @dataclass
@@ -81,7 +79,8 @@ class Index:
     shares: list[list[float]] = field(default_factory=list)
     most: np.ndarray | None = None
     blocks: np.ndarray | None = None
-    questions: list[set[tuple[int, ...]]] = field(default_factory=list)
+    # Length of the runs, which is that of the question if it is shorter, and the runs.
+    questions: list[tuple[int, set[tuple[int, ...]]]] = field(default_factory=list)
     answers: list[set[int]] = field(default_factory=list)
     longest: int = 0
 
@@ -117,7 +116,8 @@ def build(items: list[tuple[int, str]]) -> Index:
             index.shares[t].append(float(gain / whole))
             index.blocks[t, at // BLOCK] = max(index.blocks[t, at // BLOCK], gain / whole)
         index.items.append(item_id)
-        index.questions.append(runs([index.terms[w] for w in question]))
+        size = min(RUN, len(question))
+        index.questions.append((size, runs([index.terms[w] for w in question], size)))
         index.answers.append({index.terms[w] for w in answer})
         index.longest = max(index.longest, len(words))
     # A little above, for sums in single precision.
@@ -234,8 +234,8 @@ class Searcher:
             for item, score in wand(self.index, terms, self.threshold).items():
                 first, last = max(0, start - self.step), min(len(ids), end + self.step)
                 around = ids[first:last].tolist()
-                questions, answers = self.index.questions[item], self.index.answers[item]
-                question = len(questions & runs(around)) / len(questions)
+                (size, questions), answers = self.index.questions[item], self.index.answers[item]
+                question = len(questions & runs(around, size)) / len(questions)
                 answer = len(answers.intersection(around)) / len(answers)
                 if question < QUESTION or answer < ANSWER:
                     continue

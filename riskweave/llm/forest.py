@@ -41,13 +41,14 @@ _CUTS = "tree int, node long, cuts binary"
 def packed(values: list[float]) -> bytes:
     """A vector as bytes: single precision if that holds it, else double, with a letter in front."""
     x = np.array(values, dtype=np.float64)
-    single = x.astype(np.float32)
+    with np.errstate(over="ignore"):
+        single = x.astype(np.float32)
     return b"f" + single.tobytes() if (single == x).all() else b"d" + x.tobytes()
 
 
 def unit(vector: bytes) -> np.ndarray:
     """The vector of length one, in double precision."""
-    x = np.frombuffer(vector, dtype=vector[:1].decode() + ("4" if vector[:1] == b"f" else "8"), offset=1)
+    x = np.frombuffer(vector, dtype="<f4" if vector[:1] == b"f" else "<f8", offset=1)
     # Scaled first, so that the squares of very large and small numbers stay numbers.
     x = x.astype(np.float64)
     x /= np.abs(x).max()
@@ -91,8 +92,11 @@ def _fit(leaf: int):
                 continue
             p = x[own] @ ways[cut]
             low, high = np.quantile(p, [0.5 - OVERLAP / 2, 0.5 + OVERLAP / 2])
-            cuts[cut] = low, high
-            at[2 * cut + 1], at[2 * cut + 2] = own[p <= high], own[p >= low]
+            left, right = own[p <= high], own[p >= low]
+            # Equal projections cannot be parted; such a node stays whole.
+            if max(len(left), len(right)) <= (1 - LEAST_LOSS) * len(own):
+                cuts[cut] = low, high
+                at[2 * cut + 1], at[2 * cut + 2] = left, right
         return pd.DataFrame({"tree": [tree], "node": [node], "cuts": [cuts.tobytes()]})
 
     return fit
