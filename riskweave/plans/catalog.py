@@ -316,11 +316,12 @@ def sparse_rows(spark, folder):
     )
 
 
-def _vectors(variant) -> Query:
+def _vectors(variant, **options) -> Query:
     """Labelled examples as they are written, entry by entry."""
 
     def query(spark, folder):
-        path = pipelines.written_examples(variant, event_tables(spark, folder), settings(spark))
+        chosen = replace(settings(spark), **options)
+        path = pipelines.written_examples(variant, event_tables(spark, folder), chosen)
         return learning.example_entries(spark, path).withColumn("value", F.round("value", 6))
 
     return query
@@ -539,6 +540,7 @@ def queries() -> dict[str, Query]:
         "sparse_rows": sparse_rows,
         "feature_vectors": _vectors("baseline"),
         "feature_vectors_wordcount": _vectors("wordcount"),
+        "feature_vectors_common": _vectors("wordcount", min_entities=MIN_ENTITIES),
         "sparse_rows_hot": sparse_rows_hot,
         "entity_word_count": entity_word_count,
         "entity_term_count": entity_term_count,

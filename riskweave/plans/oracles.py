@@ -194,9 +194,16 @@ split AS (
   FROM customer)"""
 
 
-def _examples(variant: str) -> str:
+COMMON_INDEX = f"""
+names AS (
+  SELECT source, feature FROM tuples GROUP BY ALL HAVING count(DISTINCT subject_id) >= {catalog.MIN_ENTITIES}),
+feature_idx AS (
+  SELECT source, feature, CAST(row_number() OVER (ORDER BY source, feature) - 1 AS INTEGER) AS idx FROM names)"""
+
+
+def _examples(variant: str, index: str = INDEX) -> str:
     return f"""
-WITH {_pipeline(variant)}, {INDEX}, {SPLIT}
+WITH {_pipeline(variant)}, {index}, {SPLIT}
 SELECT subject_id, label, split, CAST((SELECT count(*) FROM feature_idx) AS INTEGER) AS size, idx,
        round(value, 6) AS value
 FROM tuples JOIN feature_idx USING (source, feature) JOIN labels_all USING (subject_id) JOIN split USING (subject_id)"""
@@ -364,6 +371,7 @@ WITH {_pipeline("wordcount")}, {INDEX}
 SELECT subject_id, idx, round(value, 6) AS value FROM tuples JOIN feature_idx USING (source, feature)""",
         "feature_vectors": _examples("baseline"),
         "feature_vectors_wordcount": _examples("wordcount"),
+        "feature_vectors_common": _examples("wordcount", COMMON_INDEX),
         "test_examples": f"""
 WITH {_pipeline("baseline")}, {SPLIT}
 SELECT subject_id, label FROM (SELECT DISTINCT subject_id FROM tuples) JOIN labels_all USING (subject_id)

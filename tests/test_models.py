@@ -129,6 +129,16 @@ def test_pca_of_all_numeric_features(spark, small):
     assert np.allclose(few.variance, every.variance[:5], rtol=1e-3)
 
 
+def test_word_separator_in_a_pipeline(spark, small):
+    tables = catalog.event_tables(spark, small)
+    chosen = pipelines.Settings(word_separator=catalog.WORD_SEPARATOR, stop_words=None, filter_notes=False)
+    cut = pipelines.word_count_tuples(tables, chosen).filter("feature = 'tion'").agg(F.sum("value")).first()[0]
+    plain = pipelines.word_count_tuples(tables, pipelines.Settings(stop_words=None, filter_notes=False))
+    ends = plain.filter("feature LIKE '%tion'").agg(F.sum("value")).first()[0]
+    twice = plain.filter("feature = 'tiontion'").agg(F.sum("value")).first()[0] or 0.0
+    assert cut == ends + twice and ends > 0
+
+
 def test_bounded_fit(spark, examples):
     few = pipelines.fit_predict("tree", examples, fit_entities=20)
     every = pipelines.fit_predict("tree", examples)
