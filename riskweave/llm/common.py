@@ -37,6 +37,11 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def small(frame: DataFrame, rows: int = 1_000_000) -> DataFrame:
+    """A stored table of a few numbers per row, to be broadcast if it has been counted to be small."""
+    return F.broadcast(frame) if frame.limit(rows + 1).count() <= rows else frame
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

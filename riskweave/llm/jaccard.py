@@ -4,11 +4,15 @@ A text is the set of its word shingles, as 64-bit hashes.  Sets of similar
 size form a band.  In a band, two sets that link differ in at most H hashes,
 so of H + 1 segments of the hash range at least one is equal in both; a
 signature is the sum over a segment.  Sets of neighbouring bands meet in the
-signatures of the larger band.
-
-Signatures with few sets give all their pairs.  Long lists give only pairs
-with a pivot: copies of one text are linked through it.  If the sets of a long
-list are still in several components after some pivots, their segments are
+signatures of the larger band.  Empty segments say little, so a band has some
+segments to spare, and a set with no more empty ones than that has signatures
+of the others only.
+
+The sets with one signature are a list.  First every set is held against the
+smallest one it shares a list with, so that copies of one text hang together.
+Lists whose sets are then still in several components give more pairs of
+different components: short ones all, long ones those with a pivot.  If a long
+list is in several components even then, the segments of its sets are
 allocated anew by cost: a segment may count for nothing (level 0), be looked
 up as it is (1), or be looked up with its one-deletion neighbourhood (2, it
 may then differ in one hash).  Levels that sum up to H + 1 find every link,
@@ -19,7 +23,8 @@ one class from the start.
 """
 
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
+from math import ceil, exp, sqrt
 
 import numpy as np
 import pandas as pd
@@ -27,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskweave.llm.common import map_rows
+from riskweave.llm.common import map_rows, small
 from riskweave.llm.components import connected
 from riskweave.operators.runtime import stored
 
@@ -35,7 +40,7 @@ from riskweave.operators.runtime import stored
 KEPT_WORDS = 400_000
 # Lists up to this length give all pairs.
 SHORT_LIST = 8
-PIVOT_ROUNDS = 3
+PIVOT_ROUNDS = 1
 # Sizes of a band grow by this factor.
 BAND = 1.5
 
@@ -95,11 +100,23 @@ class Bands:
         """The largest set that one of ``n`` hashes can link with."""
         return n * self.den // self.num
 
-    def segments(self, band: int) -> int:
+    def needed(self, band: int) -> int:
         """One more than the most hashes in which two sets of a band, or of it and the one below, can differ."""
         largest = self.starts[band + 1] - 1
         return 2 * largest * (self.den - self.num) // (self.den + self.num) + 1
 
+    def spare(self, band: int) -> int:
+        """Segments beyond the needed ones: about as many as the emptiest sets of the band have empty, if that is not many."""
+        needed = self.needed(band)
+        found = 0
+        for _ in range(6):
+            empty = (needed + found) * exp(-self.starts[band] / (needed + found))
+            found = min(needed // 2, ceil(empty + 4 * sqrt(empty)))
+        return found
+
+    def segments(self, band: int) -> int:
+        return self.needed(band) + self.spare(band)
+
     def groups(self, n: int) -> list[int]:
         """Bands in which a set is looked for: its own, and the next one if a link may reach it."""
         own = self.band(n)
@@ -131,6 +148,19 @@ def _signed(values: np.ndarray) -> list[int]:
     return values.astype(np.uint64).view(np.int64).tolist()
 
 
+def signatures(hashes: np.ndarray, band: int, bands: Bands) -> list[int]:
+    """Keys of a set's segments; of the empty ones only if there are more than the band has to spare.
+
+    Two sets that link have more equal segments than are spare, so an equal one
+    that is not empty, unless both have more empty ones than that.
+    """
+    sums, places = segment_sums(hashes, bands.segments(band))
+    keys, filled = segment_keys(sums, band), np.diff(places) > 0
+    if len(keys) - filled.sum() <= bands.spare(band):
+        keys = keys[filled]
+    return _signed(keys)
+
+
 def set_rows(documents: DataFrame, size: int, num: int, den: int) -> DataFrame:
     """Size, two checksums that name the class, and signatures of every row's set."""
 
@@ -143,8 +173,7 @@ def set_rows(documents: DataFrame, size: int, num: int, den: int) -> DataFrame:
                 found: list[int] = []
                 if len(hashes):
                     for band in bands.groups(len(hashes)):
-                        sums, _ = segment_sums(hashes, bands.segments(band))
-                        found += _signed(segment_keys(sums, band))
+                        found += signatures(hashes, band, bands)
                 marks = np.array(
                     [hashes.sum(dtype=np.uint64), mixed(hashes ^ _ODD[0]).sum(dtype=np.uint64)], dtype=np.uint64
                 )
@@ -165,14 +194,15 @@ class Join:
         self.copies = stored(classes.filter("rows > 1").drop("rows"))
         heads = named.join(self.copies, ["n", "c1", "c2"], "left").filter("rep IS NULL OR rep = doc_id")
         rows = heads.select("doc_id", "n", F.explode("signatures").alias("key"))
-        long = rows.groupBy("key").agg(F.count("*").alias("length")).filter("length > 1")
-        self.lists = stored(rows.join(long, "key"))
+        shared = stored(rows.groupBy("key").agg(F.count("*").alias("length")).filter("length > 1"))
+        # Most signatures belong to one set; what is left of them is often small enough to spare a shuffle of all.
+        self.lists = stored(rows.join(small(shared), "key"))
         self.links: DataFrame | None = None
         self.checked: DataFrame | None = None
 
     def members(self) -> DataFrame:
         """(doc_id, n, hashes) of the sets that are in some list."""
-        wanted = self.lists.select("doc_id").distinct()
+        wanted = small(stored(self.lists.select("doc_id").distinct()))
         texts = self.documents.select("doc_id", "text").join(wanted, "doc_id", "left_semi")
         size = self.size
 
@@ -193,7 +223,9 @@ class Join:
             self.all_members = stored(self.members())
         one = self.all_members.select(F.col("doc_id").alias("a"), F.col("hashes").alias("left"))
         two = self.all_members.select(F.col("doc_id").alias("b"), F.col("hashes").alias("right"))
-        both = pairs.join(one, "a").join(two, "b")
+        # Only one set of each pair travels, and the first ones once.
+        firsts = small(stored(pairs.select("a").distinct()))
+        both = two.join(small(pairs), "b").join(one.join(firsts, "a", "left_semi"), "a")
         shared = F.size(F.array_intersect("left", "right"))
         union = F.size("left") + F.size("right") - shared
         found = stored(both.filter(self.den * shared >= self.num * union).select("a", "b").distinct())
@@ -204,31 +236,36 @@ class Join:
         return f"x.n * {self.num} <= y.n * {self.den} AND y.n * {self.num} <= x.n * {self.den}"
 
     def first_pairs(self) -> DataFrame:
-        """All pairs of short lists, and of long ones the pairs with the smallest member."""
-        short = self.lists.filter(F.col("length") <= SHORT_LIST)
-        pairs = short.alias("x").join(short.alias("y"), F.expr(f"x.key = y.key AND x.doc_id < y.doc_id AND {self.fits()}"))
-        pairs = pairs.selectExpr("x.doc_id AS a", "y.doc_id AS b")
-        long = self.lists.filter(F.col("length") > SHORT_LIST)
-        pivots = long.groupBy("key").agg(F.min(F.struct("doc_id", "n")).alias("pivot"))
-        stars = long.alias("x").join(pivots.selectExpr("key", "pivot.doc_id", "pivot.n").alias("y"), "key")
-        stars = stars.filter(f"x.doc_id != y.doc_id AND {self.fits()}").selectExpr("x.doc_id AS a", "y.doc_id AS b")
-        return pairs.unionByName(stars).distinct()
+        """Every set with the smallest one that it shares a list with."""
+        least = self.lists.groupBy("key").agg(F.min(F.struct("doc_id", "n")).alias("least"))
+        met = self.lists.alias("x").join(least.selectExpr("key", "least.doc_id", "least.n").alias("y"), "key")
+        met = met.filter(f"x.doc_id != y.doc_id AND {self.fits()}")
+        return met.groupBy(F.col("x.doc_id").alias("b")).agg(F.min("y.doc_id").alias("a")).select("a", "b")
 
     def open_lists(self) -> DataFrame:
-        """(key, doc_id, n, component) of the long lists with sets of several components."""
-        known = connected(self.links)
-        long = self.lists.filter(F.col("length") > SHORT_LIST).join(
-            known, F.col("doc_id") == F.col("node"), "left"
+        """(key, doc_id, n, length, component) of the lists with sets of several components."""
+        known = small(stored(connected(self.links)))
+        named = self.lists.join(known, F.col("doc_id") == F.col("node"), "left")
+        named = named.select("key", "doc_id", "n", "length", F.coalesce("component", "doc_id").alias("component"))
+        several = named.groupBy("key").agg(F.min("component").alias("first"), F.max("component").alias("last"))
+        several = small(stored(several.filter("first != last").select("key")))
+        return stored(named.join(several, "key"))
+
+    def short_pairs(self, lists: DataFrame) -> DataFrame:
+        """All pairs of different components in short lists."""
+        short = lists.filter(F.col("length") <= SHORT_LIST)
+        pairs = short.alias("x").join(
+            short.alias("y"),
+            F.expr(f"x.key = y.key AND x.doc_id < y.doc_id AND x.component != y.component AND {self.fits()}"),
         )
-        long = long.select("key", "doc_id", "n", F.coalesce("component", "doc_id").alias("component"))
-        several = long.groupBy("key").agg(F.min("component").alias("first"), F.max("component").alias("last"))
-        return stored(long.join(several.filter("first != last").select("key"), "key"))
+        return pairs.selectExpr("x.doc_id AS a", "y.doc_id AS b").distinct()
 
     def pivot_pairs(self, lists: DataFrame, salt: int) -> DataFrame:
-        """Pairs of a pivot that a hash chooses with the members of its list in other components."""
+        """Pairs of a pivot that a hash chooses with the members of its long list in other components."""
+        lists = lists.filter(F.col("length") > SHORT_LIST)
         order = F.struct(F.xxhash64("doc_id", F.lit(salt)), "doc_id")
         chosen = lists.groupBy("key").agg(F.min_by(F.struct("doc_id", "n", "component"), order).alias("p"))
-        chosen = chosen.selectExpr("key", "p.doc_id", "p.n", "p.component")
+        chosen = chosen.selectExpr("key", "p.*")
         pairs = lists.alias("x").join(chosen.alias("y"), "key").filter(f"x.component != y.component AND {self.fits()}")
         return pairs.selectExpr("x.doc_id AS a", "y.doc_id AS b").distinct()
 
@@ -242,7 +279,7 @@ class Join:
         def run(batches: Iterator[list[tuple]]) -> Iterator[list[tuple]]:
             bands = Bands(num, den)
             for batch in batches:
-                for doc_id, n, component, hashes in batch:
+                for *facts, hashes in batch:
                     values = np.array(hashes, dtype=np.int64).view(np.uint64)
                     one = mixed(values + _ODD[1])
                     rows = []
@@ -251,14 +288,14 @@ class Join:
                         at = np.repeat(np.arange(len(sums)), np.diff(places))
                         keys = _signed(segment_keys(sums, band))
                         less = _signed(segment_keys(sums[at] - one, band, at))
-                        rows += [(doc_id, n, component, band, s, 0, k) for s, k in enumerate(keys)]
-                        rows += [(doc_id, n, component, band, s, 1, k) for s, k in zip(at.tolist(), less)]
+                        rows += [(*facts, band, s, 0, k) for s, k in enumerate(keys)]
+                        rows += [(*facts, band, s, 1, k) for s, k in zip(at.tolist(), less)]
                     yield rows
 
-        open_ones = lists.select("doc_id", "n", "component").distinct()
-        rows = self.all_members.select("doc_id", "hashes").join(open_ones, "doc_id")
+        facts = ["doc_id", "n", "component"]
+        rows = self.all_members.select("doc_id", "hashes").join(lists.select(*facts).distinct(), "doc_id")
         columns = "doc_id long, n int, component long, band int, segment int, kind int, key long"
-        return map_rows(rows.select("doc_id", "n", "component", "hashes"), run, columns)
+        return map_rows(rows.select(*facts, "hashes"), run, columns)
 
     def allocated_pairs(self, lists: DataFrame) -> DataFrame:
         """Pairs of different components that the allocation by cost finds."""
@@ -273,11 +310,9 @@ class Join:
             F.sum(F.when(F.col("kind") == 0, F.col("whole") - 1 + F.col("less")).otherwise(F.col("whole"))).alias("price2"),
         )
         chosen = priced.groupBy("doc_id", "band").applyInPandas(
-            _allocate, "doc_id long, band int, segment int, level int"
+            _allocation(self.num, self.den), "doc_id long, band int, segment int, level int"
         )
-        probes = index.drop("n", "component").join(chosen, ["doc_id", "band", "segment"]).filter("level = 2 OR kind = 0")
-        facts = index.select("doc_id", "n", "component").distinct()
-        probes = probes.join(facts, "doc_id")
+        probes = index.join(chosen, ["doc_id", "band", "segment"]).filter("level = 2 OR kind = 0")
         pairs = probes.alias("x").join(
             index.alias("y"),
             F.expr(
@@ -289,12 +324,14 @@ class Join:
 
     def run(self) -> None:
         self.verify(self.first_pairs())
-        for salt in range(PIVOT_ROUNDS):
-            lists = self.open_lists()
+        lists = self.open_lists()
+        for salt in range(max(1, PIVOT_ROUNDS)):
             if lists.isEmpty():
                 return
-            self.verify(self.pivot_pairs(lists, salt))
-        lists = self.open_lists()
+            pairs = [self.pivot_pairs(lists, salt)] * (PIVOT_ROUNDS > 0) + [self.short_pairs(lists)] * (salt == 0)
+            self.verify(reduce(DataFrame.unionByName, pairs))
+            # All pairs of the short lists have been seen.
+            lists = self.open_lists().filter(F.col("length") > SHORT_LIST)
         if not lists.isEmpty():
             self.verify(self.allocated_pairs(lists))
 
@@ -311,21 +348,31 @@ class Join:
         return joined.select("doc_id", "n_shingles", component.alias("component_id"))
 
 
-def _allocate(prices: pd.DataFrame) -> pd.DataFrame:
-    """Levels of one set's segments whose sum is the number of segments, at the lowest price.
+def _allocation(num: int, den: int):
+    def allocate(prices: pd.DataFrame) -> pd.DataFrame:
+        bands = Bands(num, den)
+        band = int(prices["band"].iloc[0])
+        while len(bands.starts) <= band + 1:
+            bands.band(bands.starts[-1])
+        levels = levels_of(prices["price1"].to_numpy(float), prices["price2"].to_numpy(float), bands.needed(band))
+        found = prices[["doc_id", "band", "segment"]].assign(level=levels)
+        return found[found["level"] > 0]
+
+    return allocate
+
+
+def levels_of(price1: np.ndarray, price2: np.ndarray, needed: int) -> np.ndarray:
+    """Levels of a set's segments whose sum is ``needed``, at the lowest price.
 
     Every step from level 0 to 1 or from 1 to 2 has its price; a step to 2 that
     costs less than the one before shares both.  The cheapest steps win.
     """
-    m = len(prices)
-    first = prices["price1"].to_numpy(dtype=float)
-    second = prices["price2"].to_numpy(dtype=float) - first
+    m = len(price1)
+    first, second = price1, price2 - price1
     even = second < first
     first, second = np.where(even, (first + second) / 2, first), np.where(even, (first + second) / 2, second)
     order = np.lexsort((np.tile(np.arange(m), 2), np.repeat([0, 1], m), np.concatenate([first, second])))
-    levels = np.bincount(order[:m] % m, minlength=m)
-    found = prices[["doc_id", "band", "segment"]].assign(level=levels)
-    return found[found["level"] > 0]
+    return np.bincount(order[:needed] % m, minlength=m)
 
 
 def components(documents: DataFrame, size: int = 3, num: int = 90, den: int = 100) -> DataFrame:
@@ -353,8 +400,9 @@ def keep_one(documents: DataFrame, size: int = 5, num: int = 80, den: int = 100)
     found = components(documents, size, num, den).filter("doc_id IS NOT NULL")
     gone = found.filter("component_id != doc_id").select("doc_id").distinct()
     repeated = found.groupBy("doc_id").agg(F.count("*").alias("rows")).filter("rows > 1").select("doc_id")
-    marked = gone.unionByName(repeated).distinct()
-    alone = documents.join(marked, "doc_id", "left_anti")
+    gone, repeated = stored(gone), stored(repeated)
+    alone = documents.join(small(stored(gone.unionByName(repeated).distinct())), "doc_id", "left_anti")
+    repeated, gone = small(repeated), small(gone)
     several = documents.join(repeated, "doc_id", "left_semi").join(gone, "doc_id", "left_anti")
     first = several.groupBy("doc_id").agg(F.min_by(F.struct(*documents.columns), F.coalesce("text", F.lit(""))).alias("row"))
     return alone.unionByName(first.select("row.*"))

@@ -1,7 +1,6 @@
 import random
 
 import numpy as np
-import pandas as pd
 import pytest
 
 from riskweave.llm import jaccard, queries
@@ -98,8 +97,7 @@ def test_segments_find_every_link():
             for values in (one, two):
                 own = set()
                 for band in bands.groups(len(values)):
-                    sums, _ = jaccard.segment_sums(values, bands.segments(band))
-                    own |= set(jaccard.segment_keys(sums, band).tolist())
+                    own |= set(jaccard.signatures(values, band, bands))
                 keys.append(own)
             assert keys[0] & keys[1]
 
@@ -107,10 +105,9 @@ def test_segments_find_every_link():
 def test_levels_sum_up():
     r = np.random.default_rng(9)
     for m in (1, 2, 5, 40):
-        prices = pd.DataFrame({"doc_id": 1, "band": 0, "segment": range(m)})
-        prices["price1"] = r.integers(0, 50, m)
-        prices["price2"] = prices["price1"] + r.integers(0, 50, m)
-        assert jaccard._allocate(prices)["level"].sum() == m
+        one = r.integers(0, 50, m).astype(float)
+        levels = jaccard.levels_of(one, one + r.integers(0, 50, m), max(1, m - 1))
+        assert levels.sum() == max(1, m - 1) and levels.max() <= 2
 
 
 def test_keep_one(spark):
