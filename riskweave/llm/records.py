@@ -79,6 +79,16 @@ def file_system(folder: str) -> tuple[arrow_fs.FileSystem, str]:
     return arrow_fs.FileSystem.from_uri(folder)
 
 
+def load_tokenizer(path: str):
+    """The tokenizer of a file, for one thread; strings of special tokens are ordinary text."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.encode_special_tokens = True
+    return tokenizer
+
+
 class Encoder:
     """Ids of whole texts by the tokenizers library, as little-endian bytes.
 
@@ -89,11 +99,7 @@ class Encoder:
     """
 
     def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer = load_tokenizer(path)
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.kind = "H" if self.width == 2 else "I"
         self.parts: dict[str, bytes] = {}
