@@ -18,7 +18,8 @@ up as it is (1), or be looked up with its one-deletion neighbourhood (2, it
 may then differ in one hash).  Levels that sum up to H + 1 find every link,
 and each set takes the levels that meet the fewest others.
 
-Candidates are verified on the whole sets.  Copies, sets that are equal, are
+Candidates whose sizes or bit parities rule a link out are left; the others are
+verified on the whole sets.  Copies, sets that are equal, are
 one class from the start.
 """
 
@@ -84,6 +85,16 @@ def shingles(text: str | None, size: int) -> np.ndarray:
     return np.unique(mixed(total))
 
 
+def parities(hashes: np.ndarray) -> list[int]:
+    """128 bits, each the parity of the hashes that fall on it.
+
+    A hash that one of two sets has turns one bit, so the sets differ in at
+    least as many hashes as their bits.
+    """
+    counts = np.bincount((mixed(hashes + _ODD[0]) & np.uint64(127)).astype(np.int64), minlength=128) & 1
+    return _signed(np.packbits(counts.astype(np.uint8)).view(np.uint64))
+
+
 class Bands:
     """Size bands and numbers of segments for links with ``den * intersection >= num * union``."""
 
@@ -201,7 +212,7 @@ class Join:
         self.checked: DataFrame | None = None
 
     def members(self) -> DataFrame:
-        """(doc_id, n, hashes) of the sets that are in some list."""
+        """(doc_id, n, p0, p1, hashes) of the sets that are in some list."""
         wanted = small(stored(self.lists.select("doc_id").distinct()))
         texts = self.documents.select("doc_id", "text").join(wanted, "doc_id", "left_semi")
         size = self.size
@@ -209,9 +220,9 @@ class Join:
         def run(batches: Iterator[list[tuple]]) -> Iterator[list[tuple]]:
             for batch in batches:
                 sets = [(doc_id, shingles(text, size)) for doc_id, text in batch]
-                yield [(doc_id, len(s), _signed(s)) for doc_id, s in sets]
+                yield [(doc_id, len(s), *parities(s), _signed(s)) for doc_id, s in sets]
 
-        return map_rows(texts, run, "doc_id long, n int, hashes array<long>")
+        return map_rows(texts, run, "doc_id long, n int, p0 long, p1 long, hashes array<long>")
 
     def verify(self, pairs: DataFrame) -> None:
         """Adds those of ``pairs`` (a, b) to the links that link; no pair is held against each other twice."""
@@ -235,6 +246,11 @@ class Join:
     def fits(self) -> str:
         return f"x.n * {self.num} <= y.n * {self.den} AND y.n * {self.num} <= x.n * {self.den}"
 
+    def near(self) -> str:
+        """What pairs that link satisfy by their sizes and parities."""
+        differ = "bit_count(x.p0 ^ y.p0) + bit_count(x.p1 ^ y.p1)"
+        return f"{self.fits()} AND ({differ}) * {self.den + self.num} <= (x.n + y.n) * {self.den - self.num}"
+
     def first_pairs(self) -> DataFrame:
         """Every set with the smallest one that it shares a list with."""
         least = self.lists.groupBy("key").agg(F.min(F.struct("doc_id", "n")).alias("least"))
@@ -243,20 +259,21 @@ class Join:
         return met.groupBy(F.col("x.doc_id").alias("b")).agg(F.min("y.doc_id").alias("a")).select("a", "b")
 
     def open_lists(self) -> DataFrame:
-        """(key, doc_id, n, length, component) of the lists with sets of several components."""
+        """(key, doc_id, n, p0, p1, length, component) of the lists with sets of several components."""
         known = small(stored(connected(self.links)))
         named = self.lists.join(known, F.col("doc_id") == F.col("node"), "left")
         named = named.select("key", "doc_id", "n", "length", F.coalesce("component", "doc_id").alias("component"))
         several = named.groupBy("key").agg(F.min("component").alias("first"), F.max("component").alias("last"))
         several = small(stored(several.filter("first != last").select("key")))
-        return stored(named.join(several, "key"))
+        facts = self.all_members.select("doc_id", "p0", "p1").distinct()
+        return stored(named.join(several, "key").join(facts, "doc_id"))
 
     def short_pairs(self, lists: DataFrame) -> DataFrame:
         """All pairs of different components in short lists."""
         short = lists.filter(F.col("length") <= SHORT_LIST)
         pairs = short.alias("x").join(
             short.alias("y"),
-            F.expr(f"x.key = y.key AND x.doc_id < y.doc_id AND x.component != y.component AND {self.fits()}"),
+            F.expr(f"x.key = y.key AND x.doc_id < y.doc_id AND x.component != y.component AND {self.near()}"),
         )
         return pairs.selectExpr("x.doc_id AS a", "y.doc_id AS b").distinct()
 
@@ -264,13 +281,15 @@ class Join:
         """Pairs of a pivot that a hash chooses with the members of its long list in other components."""
         lists = lists.filter(F.col("length") > SHORT_LIST)
         order = F.struct(F.xxhash64("doc_id", F.lit(salt)), "doc_id")
-        chosen = lists.groupBy("key").agg(F.min_by(F.struct("doc_id", "n", "component"), order).alias("p"))
+        chosen = lists.groupBy("key").agg(
+            F.min_by(F.struct("doc_id", "n", "component", "p0", "p1"), order).alias("p")
+        )
         chosen = chosen.selectExpr("key", "p.*")
-        pairs = lists.alias("x").join(chosen.alias("y"), "key").filter(f"x.component != y.component AND {self.fits()}")
+        pairs = lists.alias("x").join(chosen.alias("y"), "key").filter(f"x.component != y.component AND {self.near()}")
         return pairs.selectExpr("x.doc_id AS a", "y.doc_id AS b").distinct()
 
     def neighbourhoods(self, lists: DataFrame) -> DataFrame:
-        """(doc_id, n, component, band, segment, kind, key) of all segments of the members of open lists.
+        """(doc_id, n, component, p0, p1, band, segment, kind, key) of all segments of the members of open lists.
 
         kind 0 is a segment as it is, 1 a segment without one hash.
         """
@@ -292,9 +311,9 @@ class Join:
                         rows += [(*facts, band, s, 1, k) for s, k in zip(at.tolist(), less)]
                     yield rows
 
-        facts = ["doc_id", "n", "component"]
+        facts = ["doc_id", "n", "component", "p0", "p1"]
         rows = self.all_members.select("doc_id", "hashes").join(lists.select(*facts).distinct(), "doc_id")
-        columns = "doc_id long, n int, component long, band int, segment int, kind int, key long"
+        columns = "doc_id long, n int, component long, p0 long, p1 long, band int, segment int, kind int, key long"
         return map_rows(rows.select(*facts, "hashes"), run, columns)
 
     def allocated_pairs(self, lists: DataFrame) -> DataFrame:
@@ -316,7 +335,7 @@ class Join:
         pairs = probes.alias("x").join(
             index.alias("y"),
             F.expr(
-                f"x.key = y.key AND x.component != y.component AND {self.fits()}"
+                f"x.key = y.key AND x.component != y.component AND {self.near()}"
                 " AND (y.kind = 0 OR x.kind = 0 AND x.level = 2)"
             ),
         )
