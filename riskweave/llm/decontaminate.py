@@ -208,8 +208,10 @@ class Searcher:
         Passages overlap by half, and the last one ends with the text.
         """
         starts = np.arange(0, max(1, len(ids) - self.step), self.step)
-        for at in range(0, len(starts), WORDS_AT_ONCE // self.step):
-            part = starts[at : at + WORDS_AT_ONCE // self.step]
+        # One passage at least, however long the items are.
+        many = max(1, WORDS_AT_ONCE // self.step)
+        for at in range(0, len(starts), many):
+            part = starts[at : at + many]
             ends = np.minimum(part + self.size, len(ids))
             low = int(part[0])
             own = ids[low : int(ends[-1])]

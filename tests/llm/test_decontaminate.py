@@ -73,6 +73,17 @@ def test_shards_and_classes(spark):
     assert {(h.doc_id, h.item_id) for h in decontaminate.search(documents, table).collect()} == {(k, k) for k in range(6)}
 
 
+def test_one_very_long_item(spark):
+    r = random.Random(6)
+    item = prose(r, 20_000) + ". " + prose(r, 8)
+    documents = spark.createDataFrame(
+        [(1, f"{prose(r, 300)} {item} {prose(r, 9000)}"), (2, prose(r, 25_000)), (3, prose(r, 40))], "doc_id long, text string"
+    )
+    table = spark.createDataFrame([(1, item), (2, prose(r, 20) + ". " + prose(r, 8))], "item_id long, text string")
+    assert [(h.doc_id, h.item_id) for h in decontaminate.search(documents, table).collect()] == [(1, 1)]
+    assert {x.doc_id for x in decontaminate.clean(documents, table).collect()} == {2, 3}
+
+
 def test_one_item_twice(spark):
     documents = spark.createDataFrame([(1, "well same words here again then"), (None, "same words here again"), (1, None)], "doc_id long, text string")
     table = spark.createDataFrame([(7, "Same words here again."), (8, "Same words here again.")], "item_id long, text string")
