@@ -9,19 +9,26 @@ and blocks that cannot reach it.  What it finds is verified: enough of the
 item's question and of its answer must stand in the passage.
 
 Items are dealt to size classes, so that a passage is as long as the items it
-is held against, and to shards of a fixed number of items.  The index of one
-shard at a time is broadcast, and the documents are read once for each shard.
+is held against, and to shards that are bounded in items and words.  Tasks
+build the indexes, one for each shard, and they are stored.  One at a time is
+read and broadcast; the documents are searched with it and the hits written
+before the next, so the documents are read once for each shard.
 """
 
+import pickle
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import reduce
+from hashlib import sha256
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskweave.llm.common import map_column, map_rows
+from riskweave.llm.common import map_rows, small
+from riskweave.operators.runtime import stored
 
 K1, B = 1.2, 0.75
 # Share of an item's own score that a passage must reach, and the shares of
@@ -30,7 +37,8 @@ THRESHOLD = 0.5
 QUESTION, ANSWER = 0.5, 0.5
 RUN = 5
 BLOCK = 4
-SHARD_ITEMS = 2048
+# A shard holds at most so many items and words; an item with more words has one of its own.
+SHARD_ITEMS, SHARD_WORDS = 2048, 1 << 17
 SHORTEST_PASSAGE = 64
 KEPT_WORDS = 400_000
 # Words of a document that are handled at once.
@@ -45,6 +53,7 @@ HITS = (
     "doc_id long, item_id long, passages long, score double, question double, answer double, "
     "first_word long, last_word long"
 )
+_INDEXES = "shard int, data binary"
 
 
 def words_of(text: str) -> list[str]:
@@ -84,6 +93,24 @@ class Index:
     answers: list[set[int]] = field(default_factory=list)
     longest: int = 0
 
+    def bound(self) -> None:
+        """The highest share of each term in each block, and in all."""
+        self.blocks = np.zeros((len(self.terms), (len(self.items) + BLOCK - 1) // BLOCK), dtype=np.float32)
+        for t, (postings, shares) in enumerate(zip(self.postings, self.shares)):
+            for at, share in zip(postings, shares):
+                self.blocks[t, at // BLOCK] = max(self.blocks[t, at // BLOCK], share)
+        # A little above, for sums in single precision.
+        self.blocks *= np.float32(1.0001)
+        self.most = self.blocks.max(axis=1)
+
+    # The dense bounds are made anew where the index is read.
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"blocks": None, "most": None}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self.bound()
+
 
 def build(items: list[tuple[int, str]]) -> Index:
     """Index of items (id, text) that have words."""
@@ -106,7 +133,6 @@ def build(items: list[tuple[int, str]]) -> Index:
     idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
     index.postings = [[] for _ in index.terms]
     index.shares = [[] for _ in index.terms]
-    index.blocks = np.zeros((len(index.terms), (n + BLOCK - 1) // BLOCK), dtype=np.float32)
     for at, ((item_id, words, (question, answer)), own) in enumerate(zip(texts, counts)):
         norm = K1 * (1 - B + B * len(words) / mean)
         gains = {t: idf[t] * c * (K1 + 1) / (c + norm) for t, c in own.items()}
@@ -114,15 +140,12 @@ def build(items: list[tuple[int, str]]) -> Index:
         for t, gain in gains.items():
             index.postings[t].append(at)
             index.shares[t].append(float(gain / whole))
-            index.blocks[t, at // BLOCK] = max(index.blocks[t, at // BLOCK], gain / whole)
         index.items.append(item_id)
         size = min(RUN, len(question))
         index.questions.append((size, runs([index.terms[w] for w in question], size)))
         index.answers.append({index.terms[w] for w in answer})
         index.longest = max(index.longest, len(words))
-    # A little above, for sums in single precision.
-    index.blocks *= np.float32(1.0001)
-    index.most = index.blocks.max(axis=1)
+    index.bound()
     return index
 
 
@@ -251,27 +274,72 @@ class Searcher:
         return [(self.index.items[item], *one) for item, one in sorted(best.items())]
 
 
-def shards(items: DataFrame, per_shard: int = SHARD_ITEMS) -> Iterator[Index]:
-    """Indexes of ``items`` (item_id, text), by size class and then by number.
+@dataclass(frozen=True)
+class Shards:
+    """Stored indexes (shard, data) of all items; one at a time is read."""
+
+    table: DataFrame
+    count: int
+
+    def __iter__(self) -> Iterator[Index]:
+        for shard in range(self.count):
+            yield pickle.loads(self.table.filter(F.col("shard") == shard).select("data").first().data)
 
-    The driver holds the items of one shard at a time.  Items without words,
-    and null ones, can be found nowhere and are left out; repeated ones stay.
+
+def shards(items: DataFrame, per_shard: int = SHARD_ITEMS, words: int = SHARD_WORDS) -> Shards:
+    """Indexes of ``items`` (item_id, text), by size class and then by number, each built in a task and stored.
+
+    A shard has at most ``per_shard`` items and ``words`` words, or one longer
+    item.  The driver sees how many items each range of the sorted items has of
+    each size class, and no item.  Items without words, and null ones, can be
+    found nowhere and are left out; repeated ones stay.
     """
-    rows = items.select("item_id", "text").filter("text IS NOT NULL AND item_id IS NOT NULL")
-    rows = rows.withColumn("size", F.size(F.split(F.trim("text"), r"\s+")))
-    rows = rows.withColumn("class", F.ceil(F.log2(F.greatest("size", F.lit(SHORTEST_PASSAGE)))))
-    held: list[tuple[int, str]] = []
-    at = None
-    for row in rows.orderBy("class", "item_id", "text").toLocalIterator():
-        if not words_of(row.text):
-            continue
-        if held and (row["class"] != at or len(held) == per_shard):
-            yield build(held)
-            held = []
-        at = row["class"]
-        held.append((row.item_id, row.text))
-    if held:
-        yield build(held)
+    spark = items.sparkSession
+
+    def sized(batches: Iterator[list[tuple]]) -> Iterator[list[tuple]]:
+        for batch in batches:
+            sizes = [(item_id, text, len(words_of(text))) for item_id, text in batch]
+            # An item of class c has at most 2 ** c words.
+            yield [(i, t, (max(n, SHORTEST_PASSAGE) - 1).bit_length()) for i, t, n in sizes if n]
+
+    rows = items.select(F.col("item_id").cast("long"), "text").filter("text IS NOT NULL AND item_id IS NOT NULL")
+    rows = map_rows(rows, sized, "item_id long, text string, class int")
+    rows = rows.repartitionByRange("class", "item_id", "text").withColumn("range", F.spark_partition_id())
+    rows = stored(rows)
+    places, begin, last = [], 0, None
+    for row in sorted(rows.groupBy("class", "range").count().collect()):
+        size = row["class"]
+        if size != last:
+            if last is not None:
+                begin += -(-before // most)
+            before, last, most = 0, size, max(1, min(per_shard, words >> size))
+        places.append((size, row["range"], before, most, begin))
+        before += row["count"]
+    if not places:
+        return Shards(spark.createDataFrame([], _INDEXES), 0)
+    count = begin - (-before // most)
+    where = spark.createDataFrame(places, "class int, range int, before long, most long, begin long")
+    order = Window.partitionBy("class", "range").orderBy("item_id", "text")
+    rows = rows.withColumn("at", F.row_number().over(order)).join(F.broadcast(where), ["class", "range"])
+    shard = F.col("begin") + F.floor((F.col("before") + F.col("at") - 1) / F.col("most"))
+    rows = rows.select(shard.cast("int").alias("shard"), "item_id", "text")
+    return Shards(stored(rows.groupBy("shard").applyInArrow(_indexed, _INDEXES)), count)
+
+
+def _indexed(rows: pa.Table) -> pa.Table:
+    """The index of one shard."""
+    held = sorted(zip(rows["item_id"].to_pylist(), rows["text"].to_pylist()))
+    data = pickle.dumps(build(held), protocol=pickle.HIGHEST_PROTOCOL)
+    return pa.table({"shard": rows["shard"][:1].cast(pa.int32()), "data": pa.array([data], pa.binary())})
+
+
+def _each_shard(texts: DataFrame, items: DataFrame, columns: str, function: Callable) -> Iterator[DataFrame]:
+    """What ``function`` makes of the texts under every index: written, and the index given up, before the next is read."""
+    for index in shards(items):
+        share = texts.sparkSession.sparkContext.broadcast(index)
+        found = stored(map_rows(texts, function(share), columns))
+        share.destroy()
+        yield found
 
 
 def search(documents: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -283,13 +351,9 @@ def search(documents: DataFrame, items: DataFrame, threshold: float = THRESHOLD)
     and empty texts have no hits; null ids and repeated rows keep theirs;
     further columns are ignored.  Without items there are no rows.
     """
-    spark = documents.sparkSession
     texts = documents.select("doc_id", "text").filter("text IS NOT NULL AND text != ''")
-    result = None
-    for index in shards(items):
-        part = map_rows(texts, _searching(spark.sparkContext.broadcast(index), threshold), HITS)
-        result = part if result is None else result.unionByName(part)
-    return spark.createDataFrame([], HITS) if result is None else result
+    hits = _each_shard(texts, items, HITS, lambda index: _searching(index, threshold))
+    return reduce(DataFrame.unionByName, hits, documents.sparkSession.createDataFrame([], HITS))
 
 
 def _searching(index, threshold: float):
@@ -302,17 +366,22 @@ def _searching(index, threshold: float):
 
 
 def clean(documents: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``documents`` in which no item is found, with all their columns."""
-    for index in shards(items):
-        documents = map_column(
-            documents, "text", _clean(documents.sparkSession.sparkContext.broadcast(index), threshold), keep=True
-        )
-    return documents
+    """The rows of ``documents`` in which no item is found, with all their columns.
+
+    Texts with an item are known by their digests, so rows with null or
+    repeated ids are told apart.
+    """
+    texts = documents.select("text").filter("text IS NOT NULL AND text != ''")
+    digests = _each_shard(texts, items, "_digest string", lambda index: _digests(index, threshold))
+    found = reduce(DataFrame.unionByName, digests, documents.sparkSession.createDataFrame([], "_digest string"))
+    found = small(stored(found.distinct()))
+    return documents.join(found, F.sha2("text", 256) == F.col("_digest"), "left_anti")
 
 
-def _clean(index, threshold: float):
-    def start():
+def _digests(index, threshold: float):
+    def run(batches: Iterator[list[tuple]]) -> Iterator[list[tuple]]:
         searcher = Searcher(index.value, threshold)
-        return lambda texts: [not text or not searcher.hits(text) for text in texts]
+        for batch in batches:
+            yield [(sha256(text.encode()).hexdigest(),) for (text,) in batch if searcher.hits(text)]
 
-    return start
+    return run

@@ -84,6 +84,32 @@ def test_one_very_long_item(spark):
     assert {x.doc_id for x in decontaminate.clean(documents, table).collect()} == {2, 3}
 
 
+def test_shards_are_bounded_in_words(spark):
+    r = random.Random(7)
+    sizes = [2000] * 80 + [30] * 50 + [150_000]
+    table = spark.createDataFrame([(k, prose(r, n)) for k, n in enumerate(sizes)], "item_id long, text string").repartition(4)
+    indexes = [x.items for x in decontaminate.shards(table)]
+    assert sorted(i for x in indexes for i in x) == list(range(131))
+    assert all(len(x) == 1 or sum(sizes[i] for i in x) <= 1 << 17 for x in indexes)
+    assert len(indexes) == 4
+
+
+def test_one_shard_at_a_time(spark):
+    """Nothing of an index is left when the hits are there, and rows with the same id or none are told apart."""
+    r = random.Random(8)
+    items = [(k, prose(r, n) + ". " + prose(r, 8)) for k, n in enumerate([20, 200, 400])]
+    table = spark.createDataFrame(items, "item_id long, text string")
+    clean = [(1, prose(r, 90)), (None, prose(r, 90)), (4, None), (4, "")]
+    rows = clean + [(1, f"{prose(r, 50)} {items[0][1]}"), (None, items[1][1]), (None, items[1][1]), (3, f"{items[2][1]} {prose(r, 900)}")]
+    documents = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = decontaminate.clean(documents, table)
+    hits = decontaminate.search(documents, table)
+    for frame in (kept, hits):
+        assert "Arrow" not in frame._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, kept.collect()), key=repr) == sorted(clean, key=repr)
+    assert sorted(((h.doc_id, h.item_id) for h in hits.collect()), key=repr) == [(1, 0), (3, 2), (None, 1), (None, 1)]
+
+
 def test_one_item_twice(spark):
     documents = spark.createDataFrame([(1, "well same words here again then"), (None, "same words here again"), (1, None)], "doc_id long, text string")
     table = spark.createDataFrame([(7, "Same words here again."), (8, "Same words here again.")], "item_id long, text string")
