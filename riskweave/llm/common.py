@@ -13,6 +13,9 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 # The same for Python's str.translate.
 ASCII_LOWER = str.maketrans(UPPER, LOWER)
 
+# What parts words where only ASCII white space does.
+ASCII_SPACE = r"[\x20\x09-\x0D]+"
+
 # Rows in one Arrow batch: texts may be long, so few of them travel at once.
 BATCH_ROWS = 256
 

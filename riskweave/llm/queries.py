@@ -7,7 +7,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskweave.llm import byte_bpe, chat, decontaminate, forest, jaccard, language_model, records, secrets, toxicity, url_rules
+from riskweave.llm import (
+    byte_bpe,
+    chat,
+    decontaminate,
+    filter_audit,
+    forest,
+    jaccard,
+    language_model,
+    records,
+    secrets,
+    toxicity,
+    url_rules,
+)
 from riskweave.llm.common import new_folder, table
 from riskweave.operators.runtime import stored
 
@@ -112,6 +124,12 @@ def op10_secrets(spark, folder):
     )
 
 
+def op13_filter_audit(spark, folder):
+    """Interactions of five filters by source, over the files of documents as a stream."""
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    return filter_audit.audit(spark, f"{folder}/documents.parquet", labels)
+
+
 def queries() -> dict[str, Query]:
     found = (
         op1_token_records,
@@ -124,6 +142,7 @@ def queries() -> dict[str, Query]:
         op8_toxicity,
         op9_decontaminate,
         op10_secrets,
+        op13_filter_audit,
     )
     return {f.__name__: f for f in found}
 
@@ -147,6 +166,52 @@ FROM parts LEFT JOIN (SELECT host, path, rule, v FROM fits WHERE place = 1) USIN
 """
 
 
+# Rows of one text, part and mask are counted first; then every order of the filters is walked step by step.
+_FILTER_AUDIT = r"""
+WITH texts AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words
+  FROM documents),
+marked AS (
+  SELECT part,
+    len(words) < 200 AS a,
+    100 * len(list_distinct(words)) < 50 * len(words) AS b,
+    100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 2 * length(text) AS c,
+    regexp_matches(text, '[#$%&*|]') AS d,
+    coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), false) AS e,
+    coalesce(l.good, false) AS good, coalesce(l.bad, false) AS bad
+  FROM texts LEFT JOIN (
+    SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS bad FROM labels GROUP BY doc_id) l USING (doc_id)),
+cells AS (
+  SELECT part, MAP {'A': a, 'B': b, 'C': c, 'D': d, 'E': e} AS fails, good, bad, count(*) AS n
+  FROM marked GROUP BY ALL),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+orders AS (
+  SELECT p.x || q.x || r.x || s.x || t.x AS filter_order
+  FROM letters p JOIN letters q ON q.x <> p.x JOIN letters r ON r.x NOT IN (p.x, q.x)
+    JOIN letters s ON s.x NOT IN (p.x, q.x, r.x) JOIN letters t ON t.x NOT IN (p.x, q.x, r.x, s.x)),
+steps AS (SELECT filter_order, unnest(range(1, 6)) AS step FROM orders),
+walked AS (
+  SELECT part, filter_order, CAST(step AS INTEGER) AS step, filter_order[step] AS letter, good, bad, n,
+    fails[filter_order[step]] AS failed,
+    list_bool_or([fails[filter_order[k]] FOR k IN range(1, step)]) IS TRUE AS gone,
+    len([f FOR f IN map_values(fails) IF f]) AS failures
+  FROM cells, steps),
+counted AS (
+  SELECT part, filter_order, step, letter,
+    CAST(coalesce(sum(n) FILTER (NOT failed AND NOT gone), 0) AS BIGINT) AS kept,
+    CAST(coalesce(sum(n) FILTER (failed AND NOT gone), 0) AS BIGINT) AS removed,
+    CAST(coalesce(sum(n) FILTER (failed AND gone), 0) AS BIGINT) AS redundant,
+    CAST(coalesce(sum(n) FILTER (failed AND failures = 1), 0) AS BIGINT) AS unique_fails,
+    CAST(coalesce(sum(n) FILTER (failed AND NOT gone AND good), 0) AS BIGINT) AS good_lost,
+    CAST(coalesce(sum(n) FILTER (failed AND NOT gone AND bad), 0) AS BIGINT) AS toxic_lost
+  FROM walked GROUP BY part, filter_order, step, letter)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+  CAST(sum(removed) OVER (PARTITION BY part, letter) AS BIGINT) AS shapley
+FROM counted
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     rules = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in RULES)
-    return {"op3_url_rules": _URL_RULES.format(rules=rules)}
+    return {"op3_url_rules": _URL_RULES.format(rules=rules), "op13_filter_audit": _FILTER_AUDIT}
