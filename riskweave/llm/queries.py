@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskweave.llm import (
+    bpe_automaton,
     byte_bpe,
     chat,
     decontaminate,
@@ -124,6 +125,18 @@ def op10_secrets(spark, folder):
     )
 
 
+def op12_bpe_automaton(spark, folder):
+    """Every text encoded by the automaton and decoded again, as digests."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    encoded = bpe_automaton.encode(table(spark, folder, "documents"), path)
+    return bpe_automaton.decode(encoded, path).select(
+        "doc_id",
+        "n_tokens",
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("text", 256).alias("decoded_sha256"),
+    )
+
+
 def op13_filter_audit(spark, folder):
     """Interactions of five filters by source, over the files of documents as a stream."""
     labels = spark.read.parquet(f"{folder}/labels.parquet")
@@ -142,6 +155,7 @@ def queries() -> dict[str, Query]:
         op8_toxicity,
         op9_decontaminate,
         op10_secrets,
+        op12_bpe_automaton,
         op13_filter_audit,
     )
     return {f.__name__: f for f in found}
