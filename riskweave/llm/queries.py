@@ -20,6 +20,7 @@ from riskweave.llm import (
     secrets,
     toxicity,
     url_rules,
+    whitening,
 )
 from riskweave.llm.common import new_folder, table
 from riskweave.operators.runtime import stored
@@ -125,6 +126,12 @@ def op10_secrets(spark, folder):
     )
 
 
+def op11_whitening(spark, folder):
+    """Embeddings whitened along 16 components that distinct vectors are fitted by."""
+    found = whitening.whiten(table(spark, folder, "embeddings"))
+    return found.withColumn("deviation", F.col("deviation").cast("long"))
+
+
 def op12_bpe_automaton(spark, folder):
     """Every text encoded by the automaton and decoded again, as digests."""
     path = public_tokenizers.path("byte_bpe_50k.json")
@@ -155,6 +162,7 @@ def queries() -> dict[str, Query]:
         op8_toxicity,
         op9_decontaminate,
         op10_secrets,
+        op11_whitening,
         op12_bpe_automaton,
         op13_filter_audit,
     )
