@@ -6,7 +6,8 @@ rows that may not have come yet: a document that is the first of its text now
 fails it once a smaller id arrives.
 
 All files are read as micro-batches, up to the last one that is there.  Per
-text, a keyed state holds the smallest doc_id so far and the masks of its rows.
+text, a keyed state holds the smallest doc_id so far and the masks of its rows;
+some hundred texts, by their digests, share a key, as every key has its cost.
 When a smaller id arrives, these masks are taken back from the counters of
 their parts (-1) and come again with the fifth filter failed (+1).  Counters
 are sums of such changes by part and mask, so they are right after every batch,
@@ -19,7 +20,8 @@ all rows have is therefore a few rows per task.  All orders of the filters
 follow from the counters by one product with a fixed matrix.
 """
 
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from itertools import permutations
 
@@ -42,10 +44,14 @@ CODES = 4 << len(FILTERS)
 HELD_TEXTS = 100_000
 # Micro-batches over the files that are there.
 BATCHES = 4
-NULL_SALTS = 1024
-
-_CHANGES = "key binary, doc_id long, part string, code int, n long"
-_STATE = "doc_id long, parts array<string>, codes array<int>, counts array<long>"
+# Texts of one key of the state, about; the number of keys is fixed when a folder is first used.
+TEXTS_PER_KEY = 256
+NULL_SALTS = COUNTER_KEYS = 1024
+DIGEST = 16
+
+_CHANGES = "key long, text binary, doc_id long, part string, code int, n long"
+# One entry of the lists for each text, part and code.
+_STATE = "texts binary, ids array<long>, parts array<string>, codes array<int>, counts array<long>"
 _COUNTERS = "part string, code int, n long"
 _NUMBERS = ("kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost", "shapley")
 _ORDERS = ["".join(p) for p in permutations(FILTERS)]
@@ -66,19 +72,19 @@ def own_mask(text: Column) -> Column:
 
 
 def facts(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """(key, doc_id, part, code, n) of every row; the key is a digest of the whole text."""
+    """(text, doc_id, part, code) of every row, with a digest in place of the text."""
     text = F.coalesce("text", F.lit(""))
     rows = documents.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce("source", F.lit("")).alias("part"),
-        F.unhex(F.sha2(text, 256)).alias("key"),
+        F.substring(F.unhex(F.sha2(text, 256)), 1, DIGEST).alias("digest"),
         own_mask(text).alias("mask"),
     )
     # Rows without an id have no label; they must not meet in one task of the join either.
-    salt = F.when(F.col("doc_id").isNull(), F.pmod(F.xxhash64("key"), F.lit(NULL_SALTS))).otherwise(F.lit(0))
+    salt = F.when(F.col("doc_id").isNull(), F.pmod(F.xxhash64("digest"), F.lit(NULL_SALTS))).otherwise(F.lit(0))
     joined = rows.withColumn("salt", salt).join(labels.withColumn("salt", F.lit(0).cast("long")), ["doc_id", "salt"], "left")
     marks = F.coalesce("marks", F.lit(0))
-    return joined.select("key", "doc_id", "part", (F.col("mask") + marks).cast("int").alias("code"), F.lit(1).cast("long").alias("n"))
+    return joined.select(F.col("digest").alias("text"), "doc_id", "part", (F.col("mask") + marks).cast("int").alias("code"))
 
 
 def label_marks(labels: DataFrame) -> DataFrame:
@@ -112,65 +118,111 @@ class _Least:
         return beaten
 
 
-def combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of a task with fewer rows per text: those of the smallest id, and counts of the others without a doc_id."""
-    schema = pa.schema([("key", pa.binary()), ("doc_id", pa.int64()), ("part", pa.string()), ("code", pa.int32()), ("n", pa.int64())])
-    texts: dict[bytes, _Least] = {}
-    certain: dict[tuple[str, int], int] = {}
+def combined(keys: int):
+    """Rows of a task with fewer rows per text: those of the smallest id, and counts of the others without a text.
 
-    def count(cells):
-        for part, code, n in cells:
-            certain[part, code] = certain.get((part, code), 0) + n
+    Texts have the keys from 0 to ``keys`` - 1, and counters that are certain have negative ones.
+    """
 
-    def flush():
-        rows = [(key, least.doc_id, part, code, n) for key, least in texts.items() for (part, code), n in least.cells.items()]
-        # Counters have keys of their own, so those of one part and code come from no more rows than there are tasks.
-        rows += [(f"{code} {part}".encode(), None, part, code, n) for (part, code), n in certain.items()]
-        texts.clear()
-        certain.clear()
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts: dict[bytes, _Least] = {}
+        certain: dict[tuple[str, int], int] = {}
+
+        def count(cells):
+            for part, code, n in cells:
+                certain[part, code] = certain.get((part, code), 0) + n
+
+        def flush():
+            rows = [
+                (int.from_bytes(text[:7], "little") % keys, text, least.doc_id, part, code, n)
+                for text, least in texts.items()
+                for (part, code), n in least.cells.items()
+            ]
+            # A counter comes from no more rows than there are tasks.
+            rows += [
+                (-1 - zlib.crc32(f"{code} {part}".encode()) % COUNTER_KEYS, None, None, part, code, n)
+                for (part, code), n in certain.items()
+            ]
+            texts.clear()
+            certain.clear()
+            if rows:
+                kinds = (pa.int64(), pa.binary(), pa.int64(), pa.string(), pa.int32(), pa.int64())
+                names = ["key", "text", "doc_id", "part", "code", "n"]
+                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows), kinds)], names)
 
-    for batch in batches:
-        for key, doc_id, part, code, n in zip(*(c.to_pylist() for c in batch.columns)):
-            if doc_id is None:
-                count([(part, code, n)])
-            else:
-                least = texts.get(key)
-                if least is None:
-                    least = texts[key] = _Least()
-                count(least.add(doc_id, [(part, code, n)]))
-        if len(texts) >= HELD_TEXTS:
-            yield from flush()
-    yield from flush()
+        for batch in batches:
+            for text, doc_id, part, code in zip(*(c.to_pylist() for c in batch.columns)):
+                if doc_id is None:
+                    count([(part, code, 1)])
+                else:
+                    least = texts.get(text)
+                    if least is None:
+                        least = texts[text] = _Least()
+                    count(least.add(doc_id, [(part, code, 1)]))
+            if len(texts) >= HELD_TEXTS:
+                yield from flush()
+        yield from flush()
+
+    return run
+
+
+def _unpacked(state: tuple) -> dict[bytes, _Least]:
+    texts, *lists = state
+    found: dict[bytes, _Least] = {}
+    for k, (doc_id, part, code, n) in enumerate(zip(*lists)):
+        text = texts[k * DIGEST : (k + 1) * DIGEST]
+        least = found.setdefault(text, _Least())
+        least.doc_id = int(doc_id)
+        least.cells[part, int(code)] = int(n)
+    return found
+
+
+def _packed(texts: dict[bytes, _Least]) -> tuple:
+    rows = [(text, least.doc_id, *cell, n) for text, least in texts.items() for cell, n in least.cells.items()]
+    digests, *lists = zip(*rows)
+    return b"".join(digests), *map(list, lists)
 
 
 def retract(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Changes to the counters from the rows of one text in a micro-batch, and from what its state held before.
+    """Changes to the counters from the rows of some texts in a micro-batch, and from what the state held before.
 
     Counters that are certain already pass through and leave no state.
     """
-    least, changes, fresh = _Least(), [], False
-    if state.exists:
-        doc_id, parts, codes, counts = state.get
-        least.doc_id = int(doc_id)
-        least.cells = {(p, int(c)): int(n) for p, c, n in zip(parts, codes, counts)}
-    before = dict(least.cells)
+    texts = _unpacked(state.get) if state.exists else {}
+    changes: dict[tuple[str, int], int] = {}
+    before: dict[bytes, dict] = {}
+
+    def change(part: str, code: int, n: int) -> None:
+        changes[part, code] = changes.get((part, code), 0) + n
+
     for frame in frames:
-        for doc_id, part, code, n in zip(*(frame[c].tolist() for c in ("doc_id", "part", "code", "n"))):
-            if doc_id is None or doc_id != doc_id:
-                changes.append((part, code, n))
-            else:
-                changes += least.add(int(doc_id), [(part, code, n)])
-                fresh = True
-    if fresh and least.cells != before:
-        # What stood for the first of this text is taken back, and what stands for it now comes instead.
-        changes += [(part, code, -n) for (part, code), n in before.items()]
-        changes += [(part, code, n) for (part, code), n in least.cells.items()]
-        parts, codes = zip(*least.cells)
-        state.update((least.doc_id, list(parts), list(codes), list(least.cells.values())))
-    if changes:
-        yield pd.DataFrame(changes, columns=["part", "code", "n"])
+        columns = (frame[c].tolist() for c in ("text", "doc_id", "part", "code", "n"))
+        for text, doc_id, part, code, n in zip(*columns):
+            if text is None:
+                change(part, code, n)
+                continue
+            least = texts.get(text)
+            if least is None:
+                least = texts[text] = _Least()
+            if text not in before:
+                before[text] = dict(least.cells)
+            for cell in least.add(int(doc_id), [(part, code, n)]):
+                change(*cell)
+    renewed = False
+    for text, cells in before.items():
+        now = texts[text].cells
+        if now != cells:
+            # What stood for the first of this text is taken back, and what stands for it now comes instead.
+            renewed = True
+            for (part, code), n in cells.items():
+                change(part, code, -n)
+            for (part, code), n in now.items():
+                change(part, code, n)
+    if renewed:
+        state.update(_packed(texts))
+    rows = [(part, code, n) for (part, code), n in changes.items() if n]
+    if rows:
+        yield pd.DataFrame(rows, columns=["part", "code", "n"])
 
 
 def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,6 +237,12 @@ def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(arrays, ["part", "code", "n"])
 
 
+def _kept_number(spark: SparkSession, path: str, make: Callable[[], int]) -> int:
+    """The number written at ``path``; the first call makes it."""
+    spark.range(1).select(F.lit(make()).cast("long").alias("number")).write.mode("ignore").parquet(path)
+    return spark.read.parquet(path).first().number
+
+
 @contextmanager
 def _settings(spark: SparkSession, **values: str):
     """Settings for the time in which a stream starts and runs."""
@@ -219,6 +277,8 @@ def counters(
     folder = folder or new_folder(spark, "filter-audit")
     table = spark.read.parquet(documents)
     files = len(table.inputFiles())
+    # Parquet knows its rows without reading them.
+    keys = _kept_number(spark, f"{folder}/keys", lambda: 1 + table.count() // TEXTS_PER_KEY)
     marks = stored(label_marks(labels))
     if files:
         with _settings(
@@ -227,13 +287,15 @@ def counters(
             spark__sql__streaming__stateStore__providerClass="org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
             spark__sql__streaming__stateStore__rocksdb__changelogCheckpointing__enabled="true",
             spark__sql__streaming__stateStore__rocksdb__boundedMemoryUsage="true",
+            # Else every store holds some megabytes of disk in advance.
+            spark__sql__streaming__stateStore__rocksdb__allowFAllocate="false",
         ):
             # As a pattern the path may also name a single file.
             pattern = f"{documents.rstrip('/')[:-1]}[{documents.rstrip('/')[-1]}]"
             stream = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", -(-files // batches)).parquet(pattern)
             changes = (
                 facts(stream, marks)
-                .mapInArrow(combined, _CHANGES)
+                .mapInArrow(combined(keys), _CHANGES)
                 .groupBy("key")
                 .applyInPandasWithState(retract, _COUNTERS, _STATE, "append", GroupStateTimeout.NoTimeout)
                 .mapInArrow(summed, _COUNTERS)

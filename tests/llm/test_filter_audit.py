@@ -127,3 +127,9 @@ def test_query(spark, small):
     docs = [tuple(x) for x in spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text", "source").collect()]
     labels = [(*x, "") for x in spark.read.parquet(f"{small}/labels.parquet").select("doc_id", "quality", "toxic").collect()]
     assert got(queries.op13_filter_audit(spark, small)) == brute(docs, labels)
+
+
+def test_many_texts_of_one_key(spark, tmp_path, monkeypatch, rows, labels):
+    monkeypatch.setattr(filter_audit, "TEXTS_PER_KEY", 10**6)
+    write(spark, str(tmp_path / "t"), rows, 6)
+    assert got(filter_audit.audit(spark, str(tmp_path / "t"), spark.createDataFrame(labels, LABELS), batches=6)) == brute(rows, labels)
