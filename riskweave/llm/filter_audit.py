@@ -287,6 +287,8 @@ def counters(
             spark__sql__streaming__stateStore__providerClass="org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
             spark__sql__streaming__stateStore__rocksdb__changelogCheckpointing__enabled="true",
             spark__sql__streaming__stateStore__rocksdb__boundedMemoryUsage="true",
+            # There are few batches: a store is closed after each, and takes no memory until the next.
+            spark__sql__streaming__stateStore__unloadOnCommit="true",
             # Else every store holds some megabytes of disk in advance.
             spark__sql__streaming__stateStore__rocksdb__allowFAllocate="false",
         ):
