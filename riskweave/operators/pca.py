@@ -1,13 +1,16 @@
-"""Principal components of a sparse matrix of any width, by subspace iteration on its long form."""
+"""Principal components of a sparse matrix of any width, by subspace iteration on its tiles."""
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from riskweave.operators import tiles as tl
 from riskweave.operators.runtime import stored
+from riskweave.operators.tiles import Tiles
 
 EXTRA = 10
 ITERATIONS = 4
@@ -15,88 +18,128 @@ ITERATIONS = 4
 
 @dataclass(frozen=True)
 class Components:
-    """``axes`` (idx, a0, a1, ...), what the mean row projects to, and the variance along each axis."""
+    """``axes`` (key, values by band), what the mean row projects to, the variance along each axis and in all."""
 
     axes: DataFrame
     centre: np.ndarray
     variance: np.ndarray
+    total_variance: float
+    mean_square: float
+    width: int
+    band_width: int
 
 
-def _columns(letter: str, n: int) -> list[str]:
-    return [f"{letter}{j}" for j in range(n)]
+def _mapped(parts: DataFrame, function: Callable[..., np.ndarray]) -> DataFrame:
+    """``function`` over the dense parts in the columns behind the key."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, *values in zip(*(c.to_pylist() for c in batch.columns)):
+                found = function(*(np.frombuffer(v, "<f8") for v in values))
+                row = [pa.array([key], pa.int32()), pa.array([np.ascontiguousarray(found).tobytes()], pa.binary())]
+                yield pa.RecordBatch.from_arrays(row, ["key", "values"])
 
-def _product(matrix: DataFrame, rows: DataFrame, on: str, to: str, letters: tuple[str, str], n: int) -> DataFrame:
-    """Sums of value times row by ``to``, for the rows that meet on ``on``."""
-    here, there = (_columns(x, n) for x in letters)
-    sums = [F.sum(F.col("value") * F.col(a)).alias(b) for a, b in zip(here, there)]
-    return matrix.join(rows, on).groupBy(to).agg(*sums)
+    return parts.mapInArrow(run, "key int, values binary")
 
 
-def _gram(rows: DataFrame, left: list[str], right: list[str]) -> np.ndarray:
-    """Product of two sets of columns; a task sends one matrix of their size."""
+def _gram(parts: DataFrame, function: Callable[..., np.ndarray], shape: tuple[int, int]) -> np.ndarray:
+    """Sum over all dense parts of a small matrix; a task sends one matrix."""
 
-    def part(batches):
-        total = np.zeros((len(left), len(right)))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(shape)
         for batch in batches:
-            total += batch[left].to_numpy().T @ batch[right].to_numpy()
-        yield pd.DataFrame({"part": [total.tobytes()]})
+            for _, *values in zip(*(c.to_pylist() for c in batch.columns)):
+                total += function(*(np.frombuffer(v, "<f8") for v in values))
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["part"])
 
-    parts = rows.mapInPandas(part, "part binary").toLocalIterator()
-    return sum(
-        (np.frombuffer(p.part).reshape(len(left), len(right)) for p in parts), np.zeros((len(left), len(right)))
-    )
+    total = np.zeros(shape)
+    for row in parts.mapInArrow(run, "part binary").toLocalIterator():
+        total = total + np.frombuffer(row.part).reshape(shape)
+    return total
 
 
-def _turned(rows: DataFrame, key: str, here: list[str], turn: np.ndarray, there: list[str], shift=None) -> DataFrame:
-    """The columns of ``rows`` times a small matrix, less ``shift``."""
+def _start(spark: SparkSession, cut: Tiles, n: int) -> DataFrame:
+    """Random columns that depend on the band alone."""
 
-    def run(batches):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = batch[here].to_numpy() @ turn
-            values = values if shift is None else values - shift
-            yield pd.DataFrame({key: batch[key].to_numpy()} | {c: values[:, j] for j, c in enumerate(there)})
+            for band in batch.column(0).to_pylist():
+                size = min(cut_width, width - band * cut_width)
+                values = np.random.default_rng(band).standard_normal((size, n))
+                row = [pa.array([band], pa.int32()), pa.array([values.tobytes()], pa.binary())]
+                yield pa.RecordBatch.from_arrays(row, ["key", "values"])
+
+    width, cut_width = cut.width, cut.band_width
+    return spark.range(cut.bands).mapInArrow(run, "key int, values binary")
+
 
-    kind = rows.schema[key].dataType.simpleString()
-    return rows.mapInPandas(run, ", ".join([f"{key} {kind}", *(f"{c} double" for c in there)]))
+def _beside(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(key, values of both): one row per band."""
+    return left.join(right.select("key", F.col("values").alias("others")), "key")
 
 
-def fit(matrix: DataFrame, n_rows: int, width: int, components: int = 50, iterations: int = ITERATIONS) -> Components:
-    """Leading components of ``matrix`` (subject_id, idx, value) with ``n_rows`` rows and ``width`` columns.
+def fit(
+    matrix: DataFrame,
+    n_rows: int,
+    width: int,
+    components: int = 50,
+    iterations: int = ITERATIONS,
+    block_entries: int = tl.BLOCK_ENTRIES,
+    band_width: int = tl.BAND_WIDTH,
+) -> Components:
+    """Leading components of ``matrix`` (subject_id, idx, value), a stored table with ``n_rows`` rows.
 
     Entities without entries are rows of zeros.  Nothing is as large as a
-    covariance: the tables have one row per entity or feature and a few more
-    columns than components, and the driver holds square matrices of that width.
+    covariance: dense sides have a few more columns than components and are cut
+    into parts, and the driver holds square matrices of that width.
     """
+    spark = matrix.sparkSession
     n = min(components + EXTRA, width)
     kept = min(components, n)
-    v, y, w = _columns("v", n), _columns("y", n), _columns("w", n)
-    means = stored(matrix.groupBy("idx").agg((F.sum("value") / n_rows).alias("mean")))
-    start = [(F.xxhash64("idx", F.lit(j)) / F.lit(float(1 << 63))).alias(c) for j, c in enumerate(v)]
-    now = stored(means.select("idx", *start))
-    for step in range(iterations + 1):
-        centre = _gram(now.join(means, "idx"), ["mean"], v)[0]
-        rows = _product(matrix, now, "idx", "subject_id", ("v", "y"), n)
-        back = _product(matrix, rows, "subject_id", "idx", ("y", "w"), n)
-        less = [(F.col(c) - F.col("mean") * float(n_rows * m)).alias(c) for c, m in zip(w, centre)]
-        back = stored(back.join(means, "idx").select("idx", *less))
-        if step == iterations:
-            break
-        # Orthonormal columns; directions without variance are left at length zero.
-        sizes, turns = np.linalg.eigh(_gram(back, w, w))
-        scale = np.where(sizes > sizes.max() * 1e-14, 1 / np.sqrt(np.maximum(sizes, 1e-300)), 0.0)
-        now = stored(_turned(back, "idx", w, turns * scale, v))
-    inner = _gram(now.join(back, "idx"), v, w)
-    sizes, turns = np.linalg.eigh((inner + inner.T) / 2)
-    order = np.argsort(-sizes)[:kept]
-    axes = _turned(now, "idx", v, turns[:, order], _columns("a", kept))
-    return Components(stored(axes), centre @ turns[:, order], np.maximum(sizes[order], 0) / max(1, n_rows - 1))
-
-
-def project(matrix: DataFrame, entities: DataFrame, fitted: Components) -> DataFrame:
+    cut = tl.tiled(matrix, width, block_entries, band_width)
+    with tl.large_rows(spark):
+        sums = tl.transposed_times(cut, tl.ones(cut), 1)
+        # A band in which no row has an entry has no sums, and no part in any product either.
+        means = stored(_mapped(sums, lambda v: v / n_rows))
+        mean_square = float(_gram(means, lambda m: np.array([[m @ m]]), (1, 1))[0, 0])
+        now = stored(_beside(_start(spark, cut, n), means).select("key", "values"))
+        for step in range(iterations + 1):
+            centre = _gram(_beside(now, means), lambda v, m: m[None, :] @ v.reshape(-1, n), (1, n))[0]
+            back = tl.transposed_times(cut, tl.times(cut, now, n), n)
+            less = stored(
+                _mapped(_beside(back, means), lambda w, m, c=centre: w.reshape(-1, n) - np.outer(m, n_rows * c))
+            )
+            if step == iterations:
+                break
+            # Orthonormal columns; directions without variance are left at length zero.
+            sizes, turns = np.linalg.eigh(_gram(less, lambda w: w.reshape(-1, n).T @ w.reshape(-1, n), (n, n)))
+            scale = np.where(sizes > sizes.max() * 1e-14, 1 / np.sqrt(np.maximum(sizes, 1e-300)), 0.0)
+            now = stored(_mapped(less, lambda w, t=turns * scale: w.reshape(-1, n) @ t))
+        inner = _gram(_beside(now, less), lambda v, w: v.reshape(-1, n).T @ w.reshape(-1, n), (n, n))
+        sizes, turns = np.linalg.eigh((inner + inner.T) / 2)
+        order = np.argsort(-sizes)[:kept]
+        axes = stored(_mapped(now, lambda v: v.reshape(-1, n) @ turns[:, order]))
+    freedom = max(1, n_rows - 1)
+    return Components(
+        axes,
+        centre @ turns[:, order],
+        np.maximum(sizes[order], 0) / freedom,
+        (tl.square_sum(cut) - n_rows * mean_square) / freedom,
+        mean_square,
+        width,
+        band_width,
+    )
+
+
+def project(
+    matrix: DataFrame, entities: DataFrame, fitted: Components, block_entries: int = tl.BLOCK_ENTRIES
+) -> DataFrame:
     """(subject_id, components) of every entity; those without entries are rows of zeros."""
     n = len(fitted.variance)
-    scores = _product(matrix, fitted.axes, "idx", "subject_id", ("a", "s"), n)
+    cut = tl.tiled(matrix, fitted.width, block_entries, fitted.band_width)
+    with tl.large_rows(matrix.sparkSession):
+        scores = stored(tl.rows_by_id(cut, tl.times(cut, fitted.axes, n), n))
     filled = entities.select("subject_id").join(scores, "subject_id", "left")
-    values = [F.coalesce(c, F.lit(0.0)) - float(m) for c, m in zip(_columns("s", n), fitted.centre)]
-    return filled.select("subject_id", F.array(*values).alias("components"))
+    zeros = F.array_repeat(F.lit(0.0), n)
+    centre = F.array(*(F.lit(float(m)) for m in fitted.centre))
+    return filled.select("subject_id", F.zip_with(F.coalesce("row", zeros), centre, lambda a, m: a - m).alias("components"))

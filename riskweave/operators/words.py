@@ -2,7 +2,7 @@
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskweave.functions.scoring import tfidf
@@ -16,7 +16,16 @@ def normalized_notes(notes: DataFrame) -> DataFrame:
 
 def note_tokens(notes: DataFrame, *keep: str) -> DataFrame:
     """One row per token, in columns ``keep`` and ``word``."""
-    return notes.select(*keep, F.explode(tokens("text")).alias("word"))
+    return exploded_tokens(notes, tokens("text"), *keep)
+
+
+def exploded_tokens(notes: DataFrame, words: Column, *keep: str) -> DataFrame:
+    """One row per element of ``words``, none of which is null.
+
+    From a plain explode Spark infers a filter on the size of the array, and
+    works the whole array out again for it; an outer one makes it once.
+    """
+    return notes.select(*keep, F.explode_outer(words).alias("word")).filter(F.col("word").isNotNull())
 
 
 def lemmatize(words: DataFrame, lemmas: DataFrame) -> DataFrame:
@@ -53,7 +62,9 @@ def _clean_bags(notes, lemmas, stop, separator, keep) -> DataFrame:
 
     Notes that are :func:`bagged` already are taken as they are.
     """
-    words = (notes if "bag" in notes.columns else bagged(notes, separator)).select(*keep, F.inline("bag"))
+    bags = notes if "bag" in notes.columns else bagged(notes, separator)
+    # As with exploded_tokens: outer, so that the bag is made once.
+    words = bags.select(*keep, F.inline_outer("bag")).filter(F.col("word").isNotNull())
     if lemmas is not None:
         words = lemmatize(words, lemmas)
     if stop is not None:

@@ -114,8 +114,7 @@ def tokenize(spark, folder):
 
 
 def tokenize_endings(spark, folder):
-    notes = star.notes(spark, folder)
-    return notes.select("note_id", F.explode(tokens("text", separator=WORD_SEPARATOR)).alias("word"))
+    return words.exploded_tokens(star.notes(spark, folder), tokens("text", separator=WORD_SEPARATOR), "note_id")
 
 
 def lemmatize(spark, folder):
@@ -467,22 +466,56 @@ def _fit_predict(model) -> Query:
     return query
 
 
-def pca_features(spark, folder):
-    """Principal components of all features, fitted on the training set."""
+def _component_inputs(spark, folder):
+    """Stored feature matrix, entities with split and label, and number of features."""
     source = event_tables(spark, folder)
     tuples = pipelines.stored(pipelines.feature_tuples("wordcount", source, settings(spark)))
     index = pipelines.stored(features.feature_index(features.feature_names(tuples)))
     matrix = pipelines.stored(features.indexed_tuples(tuples, index))
     entities = splits.hash_split(tuples.select("subject_id").distinct())
     entities = pipelines.stored(entities.join(labels.entity_labels(source.admissions), "subject_id"))
+    return matrix, entities, index.count()
+
+
+def _fitted_components(matrix, entities, width) -> pca.Components:
     train = entities.filter(F.col("split") == "train")
-    fitted = pca.fit(
-        pipelines.stored(matrix.join(train.select("subject_id"), "subject_id", "left_semi")),
-        train.count(),
-        index.count(),
-        PCA_COMPONENTS,
+    rows = pipelines.stored(matrix.join(train.select("subject_id"), "subject_id", "left_semi"))
+    return pca.fit(rows, train.count(), width, PCA_COMPONENTS)
+
+
+def pca_features(spark, folder):
+    """Principal components of all features, fitted on the training set."""
+    matrix, entities, width = _component_inputs(spark, folder)
+    return entities.join(pca.project(matrix, entities, _fitted_components(matrix, entities, width)), "subject_id")
+
+
+def pca_invariants(spark, folder):
+    """What principal components must satisfy whatever their signs, and the moments of the matrix they come from."""
+    matrix, entities, width = _component_inputs(spark, folder)
+    fitted = _fitted_components(matrix, entities, width)
+    train = entities.filter(F.col("split") == "train")
+    at = F.posexplode("components").alias("at", "x")
+    spread = pca.project(matrix, train, fitted).select(at).groupBy("at").agg(
+        F.avg("x").alias("mean"), F.var_samp("x").alias("variance")
+    )
+    variance = F.get(F.array(*map(F.lit, map(float, fitted.variance))), F.col("at"))
+    scale = float(fitted.variance[0])
+    checks = spread.agg(
+        F.count(F.lit(1)).alias("n_components"),
+        (F.max(F.abs("mean")) < 1e-6 * scale**0.5).alias("centred"),
+        (F.max(F.abs(F.col("variance") - variance)) < 1e-6 * scale).alias("variances_agree"),
+    )
+    return checks.select(
+        F.lit(train.count()).cast("long").alias("n_entities"),
+        F.lit(width).cast("long").alias("n_features"),
+        F.round(F.lit(fitted.total_variance), 3).alias("total_variance"),
+        F.round(F.lit(fitted.mean_square), 3).alias("mean_square"),
+        "n_components",
+        "centred",
+        "variances_agree",
+        F.lit(bool((fitted.variance[1:] <= fitted.variance[:-1]).all())).alias("falling"),
+        F.lit(bool(fitted.variance.sum() <= fitted.total_variance * (1 + 1e-9))).alias("within_total"),
     )
-    return entities.join(pca.project(matrix, entities, fitted), "subject_id")
 
 
 def test_examples(spark, folder):
@@ -562,6 +595,7 @@ def queries() -> dict[str, Query]:
         "eval_report": _evaluated(evaluation.report, "accuracy", "auroc_hard"),
         "pipeline_wordcount_all_notes_tuples": _tuples("wordcount", filter_notes=False),
         "pca_features": pca_features,
+        "pca_invariants": pca_invariants,
         "test_examples": test_examples,
     }
     for policy in windows.POLICIES:

