@@ -30,6 +30,11 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return folder
 
 
+def new_place(spark: SparkSession, name: str) -> str:
+    """Path of a folder that does not exist yet, below the shared checkpoint folder."""
+    return f"{checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def stored(frame: DataFrame) -> DataFrame:
     """``frame`` written to the checkpoint folder and read back.
 
