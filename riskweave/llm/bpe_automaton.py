@@ -14,12 +14,13 @@ begin with v and are made later: these are v's youngest children with all
 below them, one range of numbers.  A state is therefore a short sorted list of
 ranges, and the table of all states is two arrays.
 
-Every prefix of a word has one accepted sequence.  Going through the word, each
-place gets its state from the one arc into it that the table allows; the arcs
-back from the end are the tokens.  Decoding emits the labels of the arcs.
+Every prefix of a word has one accepted sequence, so every place in it one
+state.  Encoding follows the longest arc that the table allows, and steps back
+from places that no arcs lead on from.  Decoding emits the labels of the arcs.
 """
 
 import json
+import struct
 from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
@@ -33,11 +34,14 @@ from pyspark.sql import functions as F
 from riskweave.llm.splitting import WordSplitter
 
 # Words kept with their ids in each worker, in each of two generations.
-KEPT = 200_000
+KEPT = 600_000
 LONGEST_KEPT = 64
 # Tokens of a text that are decoded at once.
 SLICE = 1 << 20
 
+# States and arcs that have been looked up in the table and are kept in each worker.
+KNOWN = 1 << 20
+
 # Fixed value: the pattern of a byte-level pre-tokenizer that names none.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -104,6 +108,8 @@ class Automaton:
         ranges: list[list[tuple[int, int]]] = [[]]
         leads, arcs = [0] * 256, [257]  # the start counts as an arc, so its state never changes
         self.alive = [True] * len(self.tokens)
+        self.longest = max(map(len, self.tokens))
+        self.known: dict[int, bool] = {}
         for k, (u, v) in enumerate(pairs):
             made = 256 + k
             old = leads[u]
@@ -141,20 +147,18 @@ class Automaton:
             self.first.append(len(self.starts))
 
     def _trie(self) -> None:
-        """Labels of the arcs byte by byte: ``step`` from a node and a byte to the next node, ``arc`` at a node."""
-        self.step: dict[int, int] = {}
-        self.arc: list[int] = [-1]
-        for token, label in enumerate(self.tokens):
-            if not self.alive[token]:
-                continue
-            node = 0
-            for byte in label:
-                key = node << 8 | byte
-                node = self.step.get(key, 0)
-                if not node:
-                    node = self.step[key] = len(self.arc)
-                    self.arc.append(-1)
-            self.arc[node] = token
+        """Labels of the arcs byte by byte: a node has, by byte, the next node and the arc that ends there, or -1."""
+        self.root: dict[int, tuple[dict, int]] = {}
+        # A token stands behind those that its label begins with, so a node that is made is not yet an arc's end.
+        for token in sorted(range(len(self.tokens)), key=lambda t: len(self.tokens[t])):
+            if self.alive[token]:
+                node, label = self.root, self.tokens[token]
+                for byte in label[:-1]:
+                    if byte not in node:
+                        node[byte] = {}, -1
+                    node = node[byte][0]
+                node[label[-1]] = node[label[-1]][0] if label[-1] in node else {}, token
+        self.length = [len(t) for t in self.tokens]
         self.id_of = [self.ids[t] for t in self.tokens]
         self.single = {t: i for t, i, alive in zip(self.tokens, self.id_of, self.alive) if alive}
 
@@ -165,35 +169,52 @@ class Automaton:
         return at < self.first[state] or self.ends[at] <= place
 
     def read(self, word: bytes) -> list[int]:
-        """Ids of the accepted sequence whose labels are ``word``."""
-        n = len(word)
+        """Ids of the accepted sequence whose labels are ``word``.
+
+        The longest arc that the table allows is tried first.  A place has one
+        state whatever way leads to it, so a place without a way to the end is
+        left at most once.
+        """
         if word in self.single:
             return [self.single[word]]  # the start lets every token be read
-        into, states = [0] * (n + 1), [0] * (n + 1)
-        step, arc, leads = self.step.get, self.arc, self.leads
-        place_of, first, starts, ends = self.place, self.first, self.starts, self.ends
-        for i in range(n):
-            state = states[i]
-            low, high = first[state], first[state + 1]
-            node = 0
-            for j in range(i, n):
-                node = step(node << 8 | word[j])
-                if node is None:
+        n = len(word)
+        root, leads, length, known = self.root, self.leads, self.length, self.known
+        way: list[int] = []
+        left: list[tuple[int, int, list[int]]] = []
+        dead: set[int] = set()
+        at, state = 0, 0
+        while at < n:
+            arcs = []
+            node = root
+            for byte in word[at : at + self.longest]:
+                if byte not in node:
                     break
-                token = arc[node]
+                node, token = node[byte]
                 if token >= 0:
-                    place = place_of[token]
-                    at = bisect_right(starts, place, low, high) - 1
-                    if at < low or ends[at] <= place:
-                        into[j + 1] = token
-                        states[j + 1] = leads[token]
-        found = []
-        while n:
-            token = into[n]
-            found.append(self.id_of[token])
-            n -= len(self.tokens[token])
-        found.reverse()
-        return found
+                    arcs.append(token)
+            while True:
+                if not arcs:
+                    dead.add(at)
+                    at, state, arcs = left.pop()
+                    way.pop()
+                    continue
+                token = arcs.pop()
+                to = at + length[token]
+                if dead and to in dead:
+                    continue
+                key = state << 32 | token
+                allowed = known.get(key)
+                if allowed is None:
+                    if len(known) >= KNOWN:
+                        known.clear()
+                    allowed = known[key] = self.allows(state, token)
+                if allowed:
+                    break
+            left.append((at, state, arcs))
+            way.append(token)
+            at, state = to, leads[token]
+        id_of = self.id_of
+        return [id_of[token] for token in way]
 
 
 class Tokenizer:
@@ -231,7 +252,8 @@ class Tokenizer:
             raise ValueError("only plain byte-level BPE files can be compiled")
 
     def _encode_piece(self, piece: str) -> bytes:
-        return np.array(self.automaton.read(piece.encode("utf-8")), dtype="<u4").tobytes()
+        ids = self.automaton.read(piece.encode("utf-8"))
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, text: str) -> bytes:
         if self.cut is None or self.cut.search(text) is None:

@@ -10,27 +10,28 @@ up.
 """
 
 import base64
+import struct
 from array import array
 from collections.abc import Iterator
 from heapq import heappop, heappush
 
 import numpy as np
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskweave.llm.common import map_rows
+from riskweave.llm.splitting import WordSplitter
 
 GROUP_BITS = 8
 GROUP_MASK = (1 << GROUP_BITS) - 1
 STALE = -1
 
-# Words, and pre-tokens, kept with their ids in each worker; beyond it the store starts anew.
-KEPT = 400_000
+# Words kept with their ids in each worker, in each of two generations.
+KEPT = 600_000
 LONGEST_KEPT = 64
 # Pre-tokens above this length use compact arrays.
 LONG_PIECE = 4096
-# Characters of a text that are split at once, so a long text is never a long list.
+# Tokens of a text that are decoded at once.
 SLICE = 1 << 20
 
 
@@ -40,17 +41,87 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in (x.split() for x in lines if x.strip())}
 
 
-def merged(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Ids of one pre-token: always the pair of the lowest rank, of equal ones the leftmost."""
+def merged(piece: bytes, ranks: dict[bytes, int], pairs: list[int] | None = None) -> list[int]:
+    """Ids of one pre-token: always the pair of the lowest rank, of equal ones the leftmost.
+
+    ``pairs`` may hold the rank of every pair of bytes, or ``STALE``.
+    """
     whole = ranks.get(piece)
     if whole is not None:
         return [whole]
     n = len(piece)
-    after, before, pending = range(1, n + 1), range(-1, n - 1), [STALE] * n
     if n > LONG_PIECE:
-        after, before, pending = array("i", after), array("i", before), array("i", pending)
-    else:
-        after, before = list(after), list(before)
+        return _merged_long(piece, ranks)
+    # A bucket is a word of list positions here, and its leftmost one a find-first-set as well.
+    after, before, pending = list(range(1, n + 1)), list(range(-1, n - 1)), [STALE] * n
+    buckets: dict[int, int] = {}
+    groups: dict[int, int] = {}
+    summary = 0
+    rank_of = ranks.get
+    for i in range(n - 1):
+        rank = pairs[piece[i] << 8 | piece[i + 1]] if pairs else rank_of(piece[i : i + 2], STALE)
+        if rank >= 0:
+            pending[i] = rank
+            if rank in buckets:
+                buckets[rank] |= 1 << i
+            else:
+                buckets[rank] = 1 << i
+                group = rank >> GROUP_BITS
+                groups[group] = groups.get(group, 0) | 1 << (rank & GROUP_MASK)
+                summary |= 1 << group
+    while summary:
+        group = (summary & -summary).bit_length() - 1
+        word = groups[group]
+        rank = group << GROUP_BITS | (word & -word).bit_length() - 1
+        bucket = buckets[rank]
+        i = (bucket & -bucket).bit_length() - 1
+        bucket &= bucket - 1
+        if bucket:
+            buckets[rank] = bucket
+        else:
+            del buckets[rank]
+            groups[group] = word = word & (word - 1)
+            if not word:
+                summary &= summary - 1
+        if pending[i] != rank:
+            continue
+        j = after[i]
+        after[i] = k = after[j]
+        pending[j] = STALE
+        if k < n:
+            before[k] = i
+            at, end = i, after[k]
+        else:
+            # Nothing follows, so only the pair before has changed.
+            pending[i] = STALE
+            at, end = before[i], k
+        while at >= 0:
+            rank = rank_of(piece[at:end])
+            if rank is None:
+                pending[at] = STALE
+            else:
+                pending[at] = rank
+                if rank in buckets:
+                    buckets[rank] |= 1 << at
+                else:
+                    buckets[rank] = 1 << at
+                    group = rank >> GROUP_BITS
+                    groups[group] = groups.get(group, 0) | 1 << (rank & GROUP_MASK)
+                    summary |= 1 << group
+            if at != i:
+                break
+            at, end = before[i], k
+    ids, i = [], 0
+    while i < n:
+        ids.append(ranks[piece[i : after[i]]])
+        i = after[i]
+    return ids
+
+
+def _merged_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """The same with compact arrays, and heaps of positions as buckets."""
+    n = len(piece)
+    after, before, pending = array("i", range(1, n + 1)), array("i", range(-1, n - 1)), array("i", [STALE]) * n
     buckets: dict[int, list[int]] = {}
     groups: dict[int, int] = {}
     summary = 0
@@ -114,59 +185,20 @@ def merged(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 class Codec:
-    """Encoding and decoding by the ranks of a file; ids are little-endian unsigned 32-bit bytes.
-
-    Most words stand between single blanks.  A blank that has no white space
-    beside it begins a pre-token whatever stands further away, so such words
-    are matched by themselves and looked up when they come again.  This holds
-    for patterns whose pre-tokens have a blank only in front, or are white
-    space; other texts are matched whole.
-    """
+    """Encoding and decoding by the ranks of a file; ids are little-endian unsigned 32-bit bytes."""
 
     def __init__(self, path: str, pattern: str):
         self.ranks = read_ranks(path)
+        self.pairs = [self.ranks.get(bytes([a, b]), STALE) for a in range(256) for b in range(256)]
         self.tokens = [b""] * (max(self.ranks.values(), default=-1) + 1)
         for token, rank in self.ranks.items():
             self.tokens[rank] = token
-        self.pattern = regex.compile(pattern)
-        self.pieces: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.words = WordSplitter(pattern, self._piece, KEPT, LONGEST_KEPT)
+        self.encode = self.words.encode
 
     def _piece(self, piece: str) -> bytes:
-        ids = self.pieces.get(piece)
-        if ids is None:
-            ids = np.array(merged(piece.encode("utf-8"), self.ranks), dtype="<u4").tobytes()
-            _keep(self.pieces, piece, ids)
-        return ids
-
-    def _matched(self, text: str) -> bytes:
-        return b"".join(map(self._piece, self.pattern.findall(text)))
-
-    def _word(self, word: str) -> bytes:
-        ids = self.words.get(word)
-        if ids is None:
-            if not word or word[0].isspace() or word[-1].isspace():
-                raise LookupError("white space beside a blank")
-            ids = self._matched(" " + word)
-            _keep(self.words, word, ids)
-        return ids
-
-    def encode(self, text: str) -> bytes:
-        return b"".join(map(self._slice, slices(text)))
-
-    def _slice(self, text: str) -> bytes:
-        first, *words = text.split(" ")
-        known = self.words
-        if first[-1:].isspace():
-            return self._matched(text)
-        try:
-            return self._matched(first) + b"".join(map(known.__getitem__, words))
-        except KeyError:
-            pass
-        try:
-            return self._matched(first) + b"".join(map(self._word, words))
-        except LookupError:
-            return self._matched(text)
+        ids = merged(piece.encode("utf-8"), self.ranks, self.pairs)
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def decode(self, ids: bytes) -> bytes:
         values = np.frombuffer(ids, dtype="<u4")
@@ -176,28 +208,6 @@ class Codec:
         )
 
 
-def _keep(store: dict[str, bytes], text: str, ids: bytes) -> None:
-    if len(text) <= LONGEST_KEPT:
-        if len(store) >= KEPT:
-            store.clear()
-        store[text] = ids
-
-
-def slices(text: str, size: int = SLICE) -> Iterator[str]:
-    """``text`` in parts of about ``size``, cut before a blank without white space beside it."""
-    start, cut = 0, size
-    while cut < len(text) - 1:
-        cut = text.find(" ", cut)
-        if cut < 0:
-            break
-        if not text[cut - 1].isspace() and not text[cut + 1 : cut + 2].isspace() and cut + 1 < len(text):
-            yield text[start:cut]
-            start, cut = cut, cut + size
-        else:
-            cut += 1
-    yield text[start:]
-
-
 _codecs: dict[tuple[str, str], Codec] = {}
 
 

@@ -44,7 +44,8 @@ class WordSplitter:
 
     def __init__(self, pattern: str, piece: Callable[[str], bytes], kept: int, longest: int):
         self.pattern = regex.compile(pattern)
-        self.pieces = Store(piece, kept, longest)
+        # Words are most of what comes; their parts come again less often.
+        self.pieces = Store(piece, kept // 4, longest)
         self.words = Store(self._word, kept, longest)
 
     def matched(self, text: str) -> bytes:

@@ -6,7 +6,7 @@ import public_tokenizers
 import pytest
 import tiktoken
 
-from riskweave.llm import byte_bpe, queries
+from riskweave.llm import byte_bpe, queries, splitting
 from tests.llm.conftest import expected_rows, rows_of
 
 PATH, PATTERN = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
@@ -38,8 +38,8 @@ def test_random_texts_and_slices(codec, library):
         text = "".join(r.choice("aabé   ßtheing\n\t 日1😀's  ! \x1c\u00a0") for _ in range(r.randint(0, 40)))
         whole = library.encode_ordinary(text)
         assert ids_of(codec.encode(text)) == whole
-        assert ids_of(b"".join(map(codec._slice, byte_bpe.slices(text, 5)))) == whole
-        assert "".join(byte_bpe.slices(text, 5)) == text
+        assert ids_of(b"".join(map(codec.words.slice, splitting.slices(text, 5)))) == whole
+        assert "".join(splitting.slices(text, 5)) == text
 
 
 def test_long_pre_tokens(codec, library):
@@ -65,6 +65,9 @@ def test_merges_against_rescans(codec):
     for _ in range(500):
         piece = bytes(r.choice(b"aabtheinr\xc3\xa9 ") for _ in range(r.randint(1, 30)))
         assert byte_bpe.merged(piece, codec.ranks) == rescanned(piece)
+        assert byte_bpe.merged(piece, codec.ranks, codec.pairs) == rescanned(piece)
+        if piece not in codec.ranks:
+            assert byte_bpe._merged_long(piece, codec.ranks) == rescanned(piece)
 
 
 def test_forgetting(monkeypatch, library):
