@@ -35,16 +35,38 @@ def new_place(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+# What a write has shuffled is of no use once the table is there.
+CLEAN_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(frame: DataFrame) -> DataFrame:
     """``frame`` written to the checkpoint folder and read back.
 
     This cuts the lineage: what follows no longer depends on executors that may
-    be lost, and reads columns of a table whose size Spark knows.
+    be lost, and reads columns of a table whose size Spark knows.  The shuffles
+    behind it are removed at once; the table stays until :func:`release`.
     """
     spark = frame.sparkSession
-    path = f"{checkpoint_folder(spark)}/riskweave-{uuid.uuid4().hex}"
-    frame.write.parquet(path)
-    return spark.read.schema(frame.schema).parquet(path)
+    path = new_place(spark, "riskweave")
+    before = spark.conf.get(CLEAN_SHUFFLES, "false")
+    spark.conf.set(CLEAN_SHUFFLES, "true")
+    try:
+        frame.write.parquet(path)
+    finally:
+        spark.conf.set(CLEAN_SHUFFLES, before)
+    found = spark.read.schema(frame.schema).parquet(path)
+    found.stored_at = path
+    return found
+
+
+def release(*frames: DataFrame | None) -> None:
+    """Deletes tables that :func:`stored` has written and that nothing will read again."""
+    for frame in frames:
+        path = getattr(frame, "stored_at", None)
+        if path is not None:
+            context = frame.sparkSession.sparkContext
+            place = context._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def hot_keys(
