@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskweave.operators.runtime import stored
+from riskweave.operators.runtime import release, stored
 
 
 def connected(links: DataFrame) -> DataFrame:
@@ -23,7 +23,8 @@ def connected(links: DataFrame) -> DataFrame:
         if mark == seen:
             break
         seen = mark
-        now = stored(_small_star(_large_star(now)))
+        before, now = now, stored(_small_star(_large_star(now)))
+        release(before)
     roots = now.select(F.col("low").alias("node"), F.col("low").alias("component")).distinct()
     return now.select(F.col("high").alias("node"), F.col("low").alias("component")).unionByName(roots)
 

@@ -35,13 +35,19 @@ from pyspark.sql import functions as F
 
 from riskweave.llm.common import map_rows, small
 from riskweave.llm.components import connected
-from riskweave.operators.runtime import stored
+from riskweave.operators.runtime import hot_keys, release, spread_join, stored
 
 # Words kept with their hash in each worker; beyond it the store starts anew.
 KEPT_WORDS = 400_000
 # Lists up to this length give all pairs.
 SHORT_LIST = 8
 PIVOT_ROUNDS = 1
+# Parities that candidates are held against, a power of two: sets of up to about a thousand shingles
+# that have little in common differ in more of them than links may.
+PARITY_WORDS = 8
+PARITIES = [f"p{k}" for k in range(PARITY_WORDS)]
+# Pairs with one set from which they are dealt to several tasks.
+HOT_PAIRS = 1000
 # Sizes of a band grow by this factor.
 BAND = 1.5
 
@@ -86,12 +92,13 @@ def shingles(text: str | None, size: int) -> np.ndarray:
 
 
 def parities(hashes: np.ndarray) -> list[int]:
-    """128 bits, each the parity of the hashes that fall on it.
+    """Words of 64 bits, each bit the parity of the hashes that fall on it.
 
     A hash that one of two sets has turns one bit, so the sets differ in at
     least as many hashes as their bits.
     """
-    counts = np.bincount((mixed(hashes + _ODD[0]) & np.uint64(127)).astype(np.int64), minlength=128) & 1
+    bits = 64 * PARITY_WORDS
+    counts = np.bincount((mixed(hashes + _ODD[0]) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return _signed(np.packbits(counts.astype(np.uint8)).view(np.uint64))
 
 
@@ -199,20 +206,33 @@ class Join:
 
     def __init__(self, documents: DataFrame, size: int, num: int, den: int):
         self.documents, self.size, self.num, self.den = documents, size, num, den
+        self.held: list[DataFrame] = []
         self.sets = stored(set_rows(documents, size, num, den))
         named = self.sets.filter("n > 0 AND doc_id IS NOT NULL")
         classes = named.groupBy("n", "c1", "c2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows"))
-        self.copies = stored(classes.filter("rows > 1").drop("rows"))
+        self.copies = self.keep(classes.filter("rows > 1").drop("rows"))
         heads = named.join(self.copies, ["n", "c1", "c2"], "left").filter("rep IS NULL OR rep = doc_id")
         rows = heads.select("doc_id", "n", F.explode("signatures").alias("key"))
         shared = stored(rows.groupBy("key").agg(F.count("*").alias("length")).filter("length > 1"))
         # Most signatures belong to one set; what is left of them is often small enough to spare a shuffle of all.
         self.lists = stored(rows.join(small(shared), "key"))
+        # From here on the sets are needed without their signatures.
+        whole, self.sets = self.sets, self.keep(self.sets.drop("signatures"))
+        release(shared, whole)
         self.links: DataFrame | None = None
         self.checked: DataFrame | None = None
 
+    def keep(self, frame: DataFrame) -> DataFrame:
+        """``frame`` stored until the join is closed."""
+        self.held.append(stored(frame))
+        return self.held[-1]
+
+    def close(self) -> None:
+        """Nothing of the join is read from here on."""
+        release(*self.held)
+
     def members(self) -> DataFrame:
-        """(doc_id, n, p0, p1, hashes) of the sets that are in some list."""
+        """(doc_id, n, parities, hashes) of the sets that are in some list."""
         wanted = small(stored(self.lists.select("doc_id").distinct()))
         texts = self.documents.select("doc_id", "text").join(wanted, "doc_id", "left_semi")
         size = self.size
@@ -222,24 +242,28 @@ class Join:
                 sets = [(doc_id, shingles(text, size)) for doc_id, text in batch]
                 yield [(doc_id, len(s), *parities(s), _signed(s)) for doc_id, s in sets]
 
-        return map_rows(texts, run, "doc_id long, n int, p0 long, p1 long, hashes array<long>")
+        bits = ", ".join(f"{p} long" for p in PARITIES)
+        return map_rows(texts, run, f"doc_id long, n int, {bits}, hashes array<long>")
 
     def verify(self, pairs: DataFrame) -> None:
         """Adds those of ``pairs`` (a, b) to the links that link; no pair is held against each other twice."""
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a != b").distinct()
         if self.checked is not None:
             pairs = pairs.join(self.checked, ["a", "b"], "left_anti")
-        pairs = stored(pairs)
+        pairs = self.keep(pairs)
         if self.links is None:
             self.all_members = stored(self.members())
         one = self.all_members.select(F.col("doc_id").alias("a"), F.col("hashes").alias("left"))
         two = self.all_members.select(F.col("doc_id").alias("b"), F.col("hashes").alias("right"))
-        # Only one set of each pair travels, and the first ones once.
-        firsts = small(stored(pairs.select("a").distinct()))
-        both = two.join(small(pairs), "b").join(one.join(firsts, "a", "left_semi"), "a")
+        # Only one set of each pair travels, and the first ones once; a first one with many others meets them in parts.
+        sizes = stored(pairs.groupBy("a").agg(F.count("*").alias("n")))
+        firsts = one.join(small(sizes.select("a")), "a", "left_semi")
+        hot = hot_keys(sizes, "a", "n", HOT_PAIRS)
+        both = spread_join(two.join(small(pairs), "b"), firsts, "a", hot, F.xxhash64("b"))
         shared = F.size(F.array_intersect("left", "right"))
         union = F.size("left") + F.size("right") - shared
-        found = stored(both.filter(self.den * shared >= self.num * union).select("a", "b").distinct())
+        found = self.keep(both.filter(self.den * shared >= self.num * union).select("a", "b").distinct())
+        release(sizes)
         self.links = found if self.links is None else self.links.unionByName(found)
         self.checked = pairs if self.checked is None else self.checked.unionByName(pairs)
 
@@ -248,7 +272,7 @@ class Join:
 
     def near(self) -> str:
         """What pairs that link satisfy by their sizes and parities."""
-        differ = "bit_count(x.p0 ^ y.p0) + bit_count(x.p1 ^ y.p1)"
+        differ = " + ".join(f"bit_count(x.{p} ^ y.{p})" for p in PARITIES)
         return f"{self.fits()} AND ({differ}) * {self.den + self.num} <= (x.n + y.n) * {self.den - self.num}"
 
     def first_pairs(self) -> DataFrame:
@@ -259,14 +283,16 @@ class Join:
         return met.groupBy(F.col("x.doc_id").alias("b")).agg(F.min("y.doc_id").alias("a")).select("a", "b")
 
     def open_lists(self) -> DataFrame:
-        """(key, doc_id, n, p0, p1, length, component) of the lists with sets of several components."""
-        known = small(stored(connected(self.links)))
-        named = self.lists.join(known, F.col("doc_id") == F.col("node"), "left")
+        """(key, doc_id, n, parities, length, component) of the lists with sets of several components."""
+        known = stored(connected(self.links))
+        named = self.lists.join(small(known), F.col("doc_id") == F.col("node"), "left")
         named = named.select("key", "doc_id", "n", "length", F.coalesce("component", "doc_id").alias("component"))
         several = named.groupBy("key").agg(F.min("component").alias("first"), F.max("component").alias("last"))
-        several = small(stored(several.filter("first != last").select("key")))
-        facts = self.all_members.select("doc_id", "p0", "p1").distinct()
-        return stored(named.join(several, "key").join(facts, "doc_id"))
+        several = stored(several.filter("first != last").select("key"))
+        facts = self.all_members.select("doc_id", *PARITIES).distinct()
+        found = stored(named.join(small(several), "key").join(facts, "doc_id"))
+        release(known, several)
+        return found
 
     def short_pairs(self, lists: DataFrame) -> DataFrame:
         """All pairs of different components in short lists."""
@@ -282,14 +308,14 @@ class Join:
         lists = lists.filter(F.col("length") > SHORT_LIST)
         order = F.struct(F.xxhash64("doc_id", F.lit(salt)), "doc_id")
         chosen = lists.groupBy("key").agg(
-            F.min_by(F.struct("doc_id", "n", "component", "p0", "p1"), order).alias("p")
+            F.min_by(F.struct("doc_id", "n", "component", *PARITIES), order).alias("p")
         )
         chosen = chosen.selectExpr("key", "p.*")
         pairs = lists.alias("x").join(chosen.alias("y"), "key").filter(f"x.component != y.component AND {self.near()}")
         return pairs.selectExpr("x.doc_id AS a", "y.doc_id AS b").distinct()
 
     def neighbourhoods(self, lists: DataFrame) -> DataFrame:
-        """(doc_id, n, component, p0, p1, band, segment, kind, key) of all segments of the members of open lists.
+        """(doc_id, band, segment, kind, key) of all segments of the members of open lists.
 
         kind 0 is a segment as it is, 1 a segment without one hash.
         """
@@ -298,7 +324,7 @@ class Join:
         def run(batches: Iterator[list[tuple]]) -> Iterator[list[tuple]]:
             bands = Bands(num, den)
             for batch in batches:
-                for *facts, hashes in batch:
+                for doc_id, hashes in batch:
                     values = np.array(hashes, dtype=np.int64).view(np.uint64)
                     one = mixed(values + _ODD[1])
                     rows = []
@@ -307,33 +333,35 @@ class Join:
                         at = np.repeat(np.arange(len(sums)), np.diff(places))
                         keys = _signed(segment_keys(sums, band))
                         less = _signed(segment_keys(sums[at] - one, band, at))
-                        rows += [(*facts, band, s, 0, k) for s, k in enumerate(keys)]
-                        rows += [(*facts, band, s, 1, k) for s, k in zip(at.tolist(), less)]
+                        rows += [(doc_id, band, s, 0, k) for s, k in enumerate(keys)]
+                        rows += [(doc_id, band, s, 1, k) for s, k in zip(at.tolist(), less)]
                     yield rows
 
-        facts = ["doc_id", "n", "component", "p0", "p1"]
-        rows = self.all_members.select("doc_id", "hashes").join(lists.select(*facts).distinct(), "doc_id")
-        columns = "doc_id long, n int, component long, p0 long, p1 long, band int, segment int, kind int, key long"
-        return map_rows(rows.select(*facts, "hashes"), run, columns)
+        rows = self.all_members.select("doc_id", "hashes").join(lists.select("doc_id").distinct(), "doc_id", "left_semi")
+        return map_rows(rows, run, "doc_id long, band int, segment int, kind int, key long")
 
     def allocated_pairs(self, lists: DataFrame) -> DataFrame:
         """Pairs of different components that the allocation by cost finds."""
-        index = stored(self.neighbourhoods(lists))
+        every = self.neighbourhoods(lists)
         # A segment as it is meets such segments, and those of others without one hash; the other way round for
-        # a segment without one hash.
-        sizes = index.groupBy("key").agg(
+        # a segment without one hash.  Keys of one row meet nothing, and cost nothing either.
+        sizes = every.groupBy("key").agg(
             F.count_if(F.col("kind") == 0).alias("whole"), F.count_if(F.col("kind") == 1).alias("less")
         )
-        priced = index.join(sizes, "key").groupBy("doc_id", "band", "segment").agg(
+        sizes = self.keep(sizes.filter("whole + less > 1"))
+        index = self.keep(every.join(small(sizes), "key"))
+        priced = index.groupBy("doc_id", "band", "segment").agg(
             F.sum(F.when(F.col("kind") == 0, F.col("whole") - 1).otherwise(0)).alias("price1"),
             F.sum(F.when(F.col("kind") == 0, F.col("whole") - 1 + F.col("less")).otherwise(F.col("whole"))).alias("price2"),
         )
         chosen = priced.groupBy("doc_id", "band").applyInPandas(
             _allocation(self.num, self.den), "doc_id long, band int, segment int, level int"
         )
-        probes = index.join(chosen, ["doc_id", "band", "segment"]).filter("level = 2 OR kind = 0")
+        facts = self.keep(lists.select("doc_id", "n", "component", *PARITIES).distinct())
+        rows = index.select("doc_id", "band", "segment", "kind", "key").join(small(facts), "doc_id")
+        probes = rows.join(chosen, ["doc_id", "band", "segment"]).filter("level = 2 OR kind = 0")
         pairs = probes.alias("x").join(
-            index.alias("y"),
+            rows.alias("y"),
             F.expr(
                 f"x.key = y.key AND x.component != y.component AND {self.near()}"
                 " AND (y.kind = 0 OR x.kind = 0 AND x.level = 2)"
@@ -343,16 +371,19 @@ class Join:
 
     def run(self) -> None:
         self.verify(self.first_pairs())
-        lists = self.open_lists()
+        before = lists = self.open_lists()
         for salt in range(max(1, PIVOT_ROUNDS)):
             if lists.isEmpty():
                 return
             pairs = [self.pivot_pairs(lists, salt)] * (PIVOT_ROUNDS > 0) + [self.short_pairs(lists)] * (salt == 0)
             self.verify(reduce(DataFrame.unionByName, pairs))
             # All pairs of the short lists have been seen.
-            lists = self.open_lists().filter(F.col("length") > SHORT_LIST)
+            release(before)
+            before = self.open_lists()
+            lists = before.filter(F.col("length") > SHORT_LIST)
         if not lists.isEmpty():
             self.verify(self.allocated_pairs(lists))
+        release(before, self.lists, self.all_members)
 
     def result(self) -> DataFrame:
         sets = self.sets.select("doc_id", "n", "c1", "c2")
@@ -361,7 +392,7 @@ class Join:
         # Rows with one id are one document, whatever their texts.
         repeated = rows.groupBy("doc_id").agg(F.count("*").alias("rows")).filter("rows > 1")
         same = rows.join(repeated, "doc_id", "left_semi").selectExpr("doc_id AS a", "rep AS b")
-        known = stored(connected(self.links.unionByName(same)))
+        known = self.keep(connected(self.links.unionByName(same)))
         joined = rows.join(known, F.col("rep") == F.col("node"), "left")
         component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep"))
         return joined.select("doc_id", "n_shingles", component.alias("component_id"))
@@ -373,7 +404,11 @@ def _allocation(num: int, den: int):
         band = int(prices["band"].iloc[0])
         while len(bands.starts) <= band + 1:
             bands.band(bands.starts[-1])
-        levels = levels_of(prices["price1"].to_numpy(float), prices["price2"].to_numpy(float), bands.needed(band))
+        # Segments that share no key have no row here and are free.
+        price1, price2 = np.zeros(bands.segments(band)), np.zeros(bands.segments(band))
+        at = prices["segment"].to_numpy()
+        price1[at], price2[at] = prices["price1"], prices["price2"]
+        levels = levels_of(price1, price2, bands.needed(band))[at]
         found = prices[["doc_id", "band", "segment"]].assign(level=levels)
         return found[found["level"] > 0]
 
@@ -408,7 +443,9 @@ def components(documents: DataFrame, size: int = 3, num: int = 90, den: int = 10
     """
     join = Join(documents, size, num, den)
     join.run()
-    return join.result()
+    found = stored(join.result())
+    join.close()
+    return found
 
 
 def keep_one(documents: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
