@@ -1,8 +1,10 @@
 """Quality of hard 0/1 predictions and of clusterings, each in one aggregation."""
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from riskweave.operators.runtime import stored
+
 GROUP = ("variant", "model")
 
 
@@ -42,6 +44,29 @@ def auroc_hard(predictions: DataFrame, by=GROUP) -> DataFrame:
     return recall.select(*by, ((F.col("recall_0") + F.col("recall_1")) / 2).alias("auroc_hard"))
 
 
+def auroc(predictions: DataFrame, by=GROUP, score: str = "score") -> DataFrame:
+    """Area under the ROC curve of scores: the share of pairs of both classes that are in order, ties counting half.
+
+    Equal scores are one row with their counts.  These are sorted in ranges; the
+    negatives below a score are those of the ranges before, one number per range
+    and group, and those before it in its own range.  Missing if a class is.
+    """
+    counted = predictions.filter(F.col(score).isNotNull()).groupBy(*by, F.col(score).alias("score")).agg(
+        F.count_if(F.col("label") == 1).alias("ones"), F.count_if(F.col("label") == 0).alias("zeros")
+    )
+    placed = stored(counted.repartitionByRange(*by, "score").withColumn("range", F.spark_partition_id()))
+    earlier = Window.partitionBy(*by).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    # One row per range of the sort and group in it.
+    before = placed.groupBy(*by, "range").agg(F.sum("zeros").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+    within = Window.partitionBy(*by, "range").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
+    here = placed.withColumn("below", F.coalesce(F.sum("zeros").over(within), F.lit(0))).join(
+        before.drop("n"), [*by, "range"]
+    )
+    won = F.col("ones").cast("double") * (F.col("before") + F.col("below") + F.col("zeros") / 2.0)
+    pairs = F.sum("ones").cast("double") * F.sum("zeros")
+    return here.groupBy(*by).agg(F.try_divide(F.sum(won), pairs).alias("auroc"))
+
+
 def report(predictions: DataFrame, by=GROUP) -> DataFrame:
     """One row per (variant, model): accuracy, AUROC and the four cells."""
     cells = confusion(predictions, by)

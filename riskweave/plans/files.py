@@ -9,11 +9,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskweave.operators import evaluation, splits
+from riskweave.operators import evaluation, features, splits
 from riskweave.operators.events import stack_sources
 from riskweave.operators.runtime import checkpoint_folder
 from riskweave.plans import catalog
-from riskweave.sources import sinks, star, tables
+from riskweave.sources import ledger, sinks, star, tables
 
 TIME = "yyyy-MM-dd HH:mm:ss"
 BAD_EVERY = 7
@@ -36,6 +36,24 @@ def _written(frame: DataFrame, name: str) -> str:
     return path
 
 
+def vocabulary_growth(spark, folder):
+    """Positions after two batches: the features of entities with even keys first, then those of all."""
+    tuples = features.event_features(star.events(spark, folder))
+    place = _place(spark, "vocabulary")
+    ledger.grow_vocabulary(spark, place, features.feature_names(tuples.filter("subject_id % 2 = 0 AND source != 'DIAG'")))
+    return ledger.grow_vocabulary(spark, place, features.feature_names(tuples))
+
+
+def word_counts_once(spark, folder):
+    """Word counts of notes after two calls whose notes overlap, each note once."""
+    counts = catalog.note_word_count_plain(spark, folder).select("note_id", "word", "cnt")
+    place = _place(spark, "word-counts")
+    ledger.append_once(spark, place, counts.filter("note_id % 3 != 0"), "note_id")
+    ledger.append_once(spark, place, counts.filter("note_id % 2 = 0 OR note_id % 3 = 0"), "note_id")
+    ledger.append_once(spark, place, counts, "note_id")
+    return ledger.read(spark, place, "note_id long, word string, cnt long")
+
+
 def csv_admissions(spark, folder):
     orders = star.admissions(spark, folder).withColumn("deathtime", F.date_format("deathtime", TIME))
     return tables.read_admissions(spark, _written(orders, "admissions.csv"))
@@ -141,6 +159,8 @@ def metrics_table(spark, folder):
 
 def queries() -> dict[str, catalog.Query]:
     found = (
+        vocabulary_growth,
+        word_counts_once,
         csv_admissions,
         csv_events,
         csv_view,

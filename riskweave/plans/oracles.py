@@ -99,8 +99,8 @@ labels_all AS (
   FROM admissions GROUP BY subject_id)"""
 
 ENTITIES_WITH_LAST_WINDOW = {
-    "disjoint": "WHERE subject_id NOT IN (SELECT subject_id FROM admissions WHERE hospital_expire_flag = '1')",
-    "survivor_rows": "WHERE subject_id IN (SELECT subject_id FROM admissions WHERE hospital_expire_flag = '0')",
+    "disjoint": "ANTI JOIN (SELECT subject_id FROM admissions WHERE hospital_expire_flag = '1') USING (subject_id)",
+    "survivor_rows": "SEMI JOIN (SELECT subject_id FROM admissions WHERE hospital_expire_flag = '0') USING (subject_id)",
     "all_entities": "",
 }
 
@@ -439,6 +439,24 @@ SELECT variant, model, round((c00 + c11) / (c00 + c01 + c10 + c11), 6) AS accura
 FROM rates""",
         "pipeline_wordcount_all_notes_tuples": f"WITH {_pipeline('wordcount', filter_notes=False)} {ROUNDED} tuples",
     }
+    found["eval_auroc_scores"] = f"""
+WITH {PREDICTIONS},
+scored AS (
+  SELECT variant, model, label,
+         (CAST('0x' || substr(md5('s:' || variant || ':' || model || ':' || subject_id), 1, 8) AS BIGINT) % 20 + 4 * label) / 20.0 AS score
+  FROM predictions),
+counted AS (SELECT variant, model, label, score, count(*) AS n FROM scored GROUP BY ALL)
+SELECT variant, model,
+       round(sum(a.n * b.n * CASE WHEN a.score > b.score THEN 1.0 WHEN a.score = b.score THEN 0.5 ELSE 0.0 END) / sum(a.n * b.n), 6) AS auroc
+FROM counted a JOIN counted b USING (variant, model) WHERE a.label = 1 AND b.label = 0 GROUP BY variant, model"""
+    found["vocabulary_growth"] = f"""
+WITH {EVENTS},
+names AS (
+  SELECT source, code AS feature, bool_or(subject_id % 2 = 0 AND source <> 'DIAG') AS first
+  FROM events_all GROUP BY source, code)
+SELECT source, feature, CAST(row_number() OVER (ORDER BY first DESC, source, feature) - 1 AS INTEGER) AS idx FROM names"""
+    found["word_counts_once"] = f"""
+WITH {TOKENS} SELECT note_id, word, CAST(count(*) AS BIGINT) AS cnt FROM tokens GROUP BY ALL"""
     found["pca_invariants"] = f"""
 WITH {_pipeline("wordcount")}, {SPLIT},
 train AS (SELECT subject_id FROM (SELECT DISTINCT subject_id FROM tuples) JOIN labels_all USING (subject_id)
