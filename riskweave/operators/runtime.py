@@ -88,8 +88,10 @@ def hot_keys(
     return hot.scalar()
 
 
-def spread_join(big: DataFrame, small: DataFrame, key: str, hot: Column, salt: Column) -> DataFrame:
-    """Inner equi-join whose hot keys are cut into parts.
+def spread_join(
+    big: DataFrame, small: DataFrame, key: str, hot: Column, salt: Column, how: str = "inner"
+) -> DataFrame:
+    """Equi-join whose hot keys are cut into parts; ``how`` is inner, left or left_anti.
 
     Rows of ``big`` with a hot key are dealt to its parts by ``salt``, and the
     rows of ``small`` with that key are repeated once per part; all other keys
@@ -99,7 +101,7 @@ def spread_join(big: DataFrame, small: DataFrame, key: str, hot: Column, salt: C
     parts = F.coalesce(F.try_element_at(hot, F.col(key)), F.lit(1))
     dealt = big.withColumn(SALT, F.pmod(salt, parts).cast("int"))
     repeated = small.withColumn(SALT, F.explode(F.sequence(F.lit(0), parts - 1)))
-    return dealt.join(repeated, [key, SALT]).drop(SALT)
+    return dealt.join(repeated, [key, SALT], how).drop(SALT)
 
 
 def keep_listed(

@@ -7,7 +7,21 @@ from pyspark.sql import functions as F
 
 from riskweave.functions.scoring import tfidf
 from riskweave.functions.text import ENGLISH_STOP_WORDS, normalize_text, tokens, word_bag
-from riskweave.operators.runtime import HOT_MIN_ROWS, hot_keys, spread_join
+from riskweave.operators.runtime import HOT_MIN_ROWS, hot_keys, spread_join, stored
+
+
+# Endings of nouns in the plural, and what stands there in the singular.
+NOUN_ENDINGS = [
+    ("s", ""),
+    ("ses", "s"),
+    ("ves", "f"),
+    ("xes", "x"),
+    ("zes", "z"),
+    ("ches", "ch"),
+    ("shes", "sh"),
+    ("men", "man"),
+    ("ies", "y"),
+]
 
 
 def normalized_notes(notes: DataFrame) -> DataFrame:
@@ -28,27 +42,100 @@ def exploded_tokens(notes: DataFrame, words: Column, *keep: str) -> DataFrame:
     return notes.select(*keep, F.explode_outer(words).alias("word")).filter(F.col("word").isNotNull())
 
 
-def lemmatize(words: DataFrame, lemmas: DataFrame) -> DataFrame:
+def _word_sizes(words: DataFrame) -> DataFrame:
+    return words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+
+
+def lemmatize(words: DataFrame, lemmas: DataFrame, min_rows: int | None = None) -> DataFrame:
     """``word`` replaced by its lemma where the table (form, lemma) has one.
 
     Forms must be unique in the table.  It is broadcast only while Spark finds
-    it small.
+    it small; with ``min_rows`` both sides are shuffled, and words with more
+    rows are cut into parts.
     """
-    found = words.join(lemmas, words["word"] == lemmas["form"], "left")
+    forms = lemmas.select(F.col("form").alias("word"), "lemma")
+    if min_rows is None:
+        found = words.join(forms, "word", "left")
+    else:
+        salt = F.xxhash64(*words.columns)
+        found = spread_join(words, forms, "word", hot_keys(_word_sizes(words), "word", "n", min_rows), salt, "left")
     return found.withColumn("word", F.coalesce("lemma", "word")).select(words.columns)
 
 
+def noun_lemmas(words: DataFrame, nouns: DataFrame, exceptions: DataFrame | None = None) -> DataFrame:
+    """(form, lemma) of the distinct values of ``word`` that are not their own lemma.
+
+    A form in ``exceptions`` (form, lemma) has that lemma if it is a noun.  From others
+    the endings of ``NOUN_ENDINGS`` are detached, and what is in ``nouns``, a
+    table with one column, is a lemma, as is the form itself; of several the
+    shortest, then the first by name, counts.  While there is none, endings are
+    detached from what came out.  Words without a lemma stay as they are.
+
+    Candidates of distinct words meet the nouns, never those of all tokens.
+    """
+    known = nouns.select(F.col(nouns.columns[0]).alias("candidate")).distinct()
+    forms = stored(words.select(F.col("word").alias("form")).filter("form IS NOT NULL").distinct())
+    if exceptions is not None:
+        # An irregular form is not detached from, whether or not its lemma is a noun.
+        listed = exceptions.select("form", F.col("lemma").alias("candidate"))
+        irregular = listed.unionByName(listed.select("form", F.col("form").alias("candidate"))).distinct()
+        irregular = irregular.join(forms, "form", "left_semi")
+        regular = forms.join(listed.select("form").distinct(), "form", "left_anti")
+    else:
+        irregular, regular = None, forms
+    shortest = F.min(F.struct(F.length("candidate"), "candidate"))["candidate"].alias("lemma")
+
+    def chosen(candidates: DataFrame) -> DataFrame:
+        return candidates.join(known, "candidate", "left_semi").groupBy("form").agg(shortest)
+
+    found = [chosen(irregular)] if irregular is not None else []
+    here = regular.select("form", F.col("form").alias("stem"))
+    first = True
+    while True:
+        detached = stored(here.select("form", F.explode(_detached("stem")).alias("candidate")).distinct())
+        tried = detached.unionByName(regular.select("form", F.col("form").alias("candidate"))).distinct() if first else detached
+        done = stored(chosen(tried))
+        found.append(done)
+        # Every ending that may come off again is longer than what replaces it, so this ends with the longest word.
+        here = stored(detached.join(done, "form", "left_anti").select("form", F.col("candidate").alias("stem")))
+        first = False
+        if here.isEmpty():
+            break
+    every = found[0]
+    for f in found[1:]:
+        every = every.unionByName(f)
+    return every.filter("form != lemma")
+
+
+def _detached(stem: str) -> Column:
+    """What is left of a word without each ending that it has."""
+    word = F.col(stem)
+    cut = [
+        F.when(word.endswith(old), F.concat(F.substring(word, F.lit(1), F.length(word) - len(old)), F.lit(new)))
+        for old, new in NOUN_ENDINGS
+    ]
+    return F.array_compact(F.array(*cut))
+
+
 def lemma_table(spark: SparkSession, pairs: Iterable[tuple[str, str]]) -> DataFrame:
     """(form, lemma) from a short list; a dictionary comes as a table instead."""
     rows = [F.struct(F.lit(form).alias("form"), F.lit(lemma).alias("lemma")) for form, lemma in pairs]
     return spark.range(1).select(F.inline(F.array(*rows)))
 
 
-def remove_stop_words(words: DataFrame, stop: DataFrame | Iterable[str] = ENGLISH_STOP_WORDS) -> DataFrame:
-    """Rows whose word is not a stop word, given as a list or as the first column of a table."""
+def remove_stop_words(
+    words: DataFrame, stop: DataFrame | Iterable[str] = ENGLISH_STOP_WORDS, min_rows: int | None = None
+) -> DataFrame:
+    """Rows whose word is not a stop word, given as a list or as the first column of a table.
+
+    With ``min_rows`` both tables are shuffled, and words with more rows are cut into parts.
+    """
     if isinstance(stop, DataFrame):
-        stop = stop.select(F.col(stop.columns[0]).alias("word"))
-        return words.join(stop, "word", "left_anti").select(words.columns)
+        stop = stop.select(F.col(stop.columns[0]).alias("word")).distinct()
+        if min_rows is None:
+            return words.join(stop, "word", "left_anti").select(words.columns)
+        hot = hot_keys(_word_sizes(words), "word", "n", min_rows)
+        return spread_join(words, stop, "word", hot, F.xxhash64(*words.columns), "left_anti").select(words.columns)
     return words.filter(~F.col("word").isin(list(stop)))
 
 

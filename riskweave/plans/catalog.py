@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskweave.functions import codes
-from riskweave.functions.text import tokens
+from riskweave.functions.text import ENGLISH_STOP_WORDS, tokens
 from riskweave.operators import cohort, evaluation, features, labels, learning, pca, splits, windows, words
 from riskweave.operators import events as ev
 from riskweave.operators.runtime import HOT_MIN_ROWS
@@ -121,6 +121,24 @@ def lemmatize(spark, folder):
     return words.lemmatize(tokenize(spark, folder), words.lemma_table(spark, LEMMAS))
 
 
+def corpus_nouns(tokens: DataFrame) -> DataFrame:
+    """Words of the documents that are taken for nouns: about half of them, by a digest."""
+    return tokens.select("word").distinct().filter(F.substring(F.md5("word"), 1, 1) < "8")
+
+
+def lemmatize_nouns(spark, folder):
+    """Lemmas by endings that the nouns of the documents confirm, irregular ones first, hot words cut."""
+    tokens = tokenize(spark, folder)
+    lemmas = words.noun_lemmas(tokens, corpus_nouns(tokens), words.lemma_table(spark, LEMMAS))
+    return words.lemmatize(tokens, pipelines.stored(lemmas), HOT_ROWS)
+
+
+def remove_stopwords_hot(spark, folder):
+    """Stop words from a table, hot words cut."""
+    listed = spark.createDataFrame([(w,) for w in ENGLISH_STOP_WORDS], "word string")
+    return words.remove_stop_words(lemmatize(spark, folder), listed, HOT_ROWS)
+
+
 def remove_stopwords(spark, folder):
     return words.remove_stop_words(lemmatize(spark, folder))
 
@@ -547,7 +565,9 @@ def queries() -> dict[str, Query]:
         "tokenize": tokenize,
         "tokenize_endings": tokenize_endings,
         "lemmatize": lemmatize,
+        "lemmatize_nouns": lemmatize_nouns,
         "remove_stopwords": remove_stopwords,
+        "remove_stopwords_hot": remove_stopwords_hot,
         "note_word_count": note_word_count,
         "note_word_count_plain": note_word_count_plain,
         "split_outcome": split_outcome,

@@ -1,6 +1,7 @@
 """The catalogue's queries as plain SQL over the same tables, written independently."""
 
 from riskweave.functions.text import ENGLISH_STOP_WORDS, PUNCTUATION, WHITESPACE
+from riskweave.operators import words
 from riskweave.plans import catalog
 
 
@@ -457,6 +458,24 @@ names AS (
 SELECT source, feature, CAST(row_number() OVER (ORDER BY first DESC, source, feature) - 1 AS INTEGER) AS idx FROM names"""
     found["word_counts_once"] = f"""
 WITH {TOKENS} SELECT note_id, word, CAST(count(*) AS BIGINT) AS cnt FROM tokens GROUP BY ALL"""
+    endings = ", ".join(f"('{old}', '{new}')" for old, new in words.NOUN_ENDINGS)
+    found["lemmatize_nouns"] = f"""
+WITH RECURSIVE {CLEAN},
+vocabulary AS (SELECT DISTINCT word FROM tokens),
+nouns AS (SELECT word FROM vocabulary WHERE md5(word) < '8'),
+endings(old, new) AS (VALUES {endings}),
+stems AS (
+  SELECT word AS form, word AS stem, 0 AS round FROM vocabulary WHERE word NOT IN (SELECT form FROM lemmas)
+  UNION
+  SELECT form, left(stem, len(stem) - len(old)) || new, round + 1 FROM stems JOIN endings ON ends_with(stem, old)
+  WHERE round < 100),
+hits AS (
+  SELECT form, stem AS lemma, greatest(round, 1) AS round FROM stems WHERE stem IN (SELECT word FROM nouns)
+  UNION ALL
+  SELECT form, l, 1 FROM lemmas, unnest([form, lemma]) u(l) WHERE l IN (SELECT word FROM nouns)),
+best AS (SELECT form, lemma FROM hits QUALIFY row_number() OVER (PARTITION BY form ORDER BY round, len(lemma), lemma) = 1)
+SELECT note_id, coalesce(best.lemma, word) AS word FROM tokens LEFT JOIN best ON form = word"""
+    found["remove_stopwords_hot"] = found["remove_stopwords"]
     found["pca_invariants"] = f"""
 WITH {_pipeline("wordcount")}, {SPLIT},
 train AS (SELECT subject_id FROM (SELECT DISTINCT subject_id FROM tuples) JOIN labels_all USING (subject_id)

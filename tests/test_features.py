@@ -252,3 +252,34 @@ def test_cohort(spark):
     assert (stats["n_cohort"], stats["n_all"], stats["n_features"]) == (2, 5, 2)
     assert (stats["notes_mean"], stats["notes_min"], stats["notes_max"]) == (1.0, 0, 2)
     assert (stats["n_without_notes"], stats["n_deceased"], stats["share_deceased"]) == (1, 1, 0.5)
+
+
+def test_noun_lemmas(spark):
+    """Endings come off only where a noun is left; irregular forms go by their list; the shortest noun wins."""
+    nouns = ["cat", "bus", "buss", "wolf", "wolv", "box", "church", "man", "city", "child", "dress", "as", "gas", "a"]
+    forms = [
+        "cats", "buses", "wolves", "boxes", "churches", "men", "cities", "children", "dress", "dresses", "gas", "as",
+        "runs", "catsss", "mouses", "", None, "s",
+    ]
+    words_of = spark.createDataFrame([(w,) for w in forms + forms], "word string")
+    table = spark.createDataFrame([(w,) for w in nouns], "noun string")
+    irregular = spark.createDataFrame([("children", "child"), ("runs", "running")], "form string, lemma string")
+    got = {r.form: r.lemma for r in words.noun_lemmas(words_of, table, irregular).collect()}
+    assert got == {
+        "cats": "cat", "buses": "bus", "wolves": "wolf", "boxes": "box", "churches": "church", "men": "man",
+        "cities": "city", "children": "child", "dresses": "dress", "as": "a", "catsss": "cat",
+    }
+    plain = words.lemmatize(words_of, words.noun_lemmas(words_of, table, irregular))
+    cut = words.lemmatize(words_of, words.noun_lemmas(words_of, table, irregular), min_rows=1)
+    as_list = lambda f: sorted((r.word or "-") for r in f.collect())
+    assert as_list(plain) == as_list(cut) == sorted((got.get(w, w) or "-") if w is not None else "-" for w in forms + forms)
+
+
+def test_arrays_are_made_once(spark, small):
+    """The optimised plan of exploded words works the array of words out in one place."""
+    from riskweave.plans import catalog
+
+    # A separator of one's own splits what is normalised, so it splits twice.
+    for query, splits_ in ((catalog.tokenize, 1), (catalog.note_word_count_plain, 1), (catalog.tokenize_endings, 2)):
+        plan = query(spark, small)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("split(") == splits_
