@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskweave.llm.common import map_rows, small
-from riskweave.operators.runtime import stored
+from riskweave.operators.runtime import free_name, stored
 
 K1, B = 1.2, 0.75
 # Share of an item's own score that a passage must reach, and the shares of
@@ -374,8 +374,8 @@ def clean(documents: DataFrame, items: DataFrame, threshold: float = THRESHOLD)
     texts = documents.select("text").filter("text IS NOT NULL AND text != ''")
     digests = _each_shard(texts, items, "_digest string", lambda index: _digests(index, threshold))
     found = reduce(DataFrame.unionByName, digests, documents.sparkSession.createDataFrame([], "_digest string"))
-    found = small(stored(found.distinct()))
-    return documents.join(found, F.sha2("text", 256) == F.col("_digest"), "left_anti")
+    found = small(stored(found.distinct().toDF(name := free_name("_digest", documents))))
+    return documents.join(found, F.sha2("text", 256) == F.col(name), "left_anti")
 
 
 def _digests(index, threshold: float):

@@ -161,3 +161,14 @@ def test_query(spark, small):
     assert len(rows) == len(texts)
     for row in rows:
         assert row.base_sha256 == hashlib.sha256(joined(base_of(texts[row.doc_id])).encode()).hexdigest()
+
+
+def test_columns_of_the_names_used_inside(spark):
+    from riskweave.llm import decontaminate
+
+    rows = [(1, "password = hunter2hunter2", 25, 7, "d"), (2, "plain words", 11, 8, "e")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, n_chars long, _length int, _digest string")
+    changed = secrets.redact(frame, secrets.fit(secrets.findings(frame)))
+    assert changed.columns == frame.columns and sorted(r._length for r in changed.collect()) == [7, 8]
+    items = spark.createDataFrame([(1, "some other item of a few words")], "item_id long, text string")
+    assert decontaminate.clean(frame, items).count() == 2
