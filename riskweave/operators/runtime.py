@@ -88,6 +88,14 @@ def hot_keys(
     return hot.scalar()
 
 
+def free_name(name: str, *frames: DataFrame) -> str:
+    """``name``, longer by as many strokes as it takes to be no column of ``frames``."""
+    taken = {c.lower() for frame in frames for c in frame.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def spread_join(
     big: DataFrame, small: DataFrame, key: str, hot: Column, salt: Column, how: str = "inner"
 ) -> DataFrame:
@@ -98,10 +106,11 @@ def spread_join(
     have a single part.  Every pair comes out exactly once.  How the join is
     done is left to Spark, which knows the sizes after the shuffles.
     """
+    name = free_name(SALT, big, small)
     parts = F.coalesce(F.try_element_at(hot, F.col(key)), F.lit(1))
-    dealt = big.withColumn(SALT, F.pmod(salt, parts).cast("int"))
-    repeated = small.withColumn(SALT, F.explode(F.sequence(F.lit(0), parts - 1)))
-    return dealt.join(repeated, [key, SALT], how).drop(SALT)
+    dealt = big.withColumn(name, F.pmod(salt, parts).cast("int"))
+    repeated = small.withColumn(name, F.explode(F.sequence(F.lit(0), parts - 1)))
+    return dealt.join(repeated, [key, name], how).drop(name)
 
 
 def keep_listed(
@@ -117,7 +126,7 @@ def keep_listed(
     every task, and ``frame`` is not shuffled.  With a longer one both sides
     are shuffled and hot keys are cut into parts.
     """
-    listed = wanted.select(key).filter(F.col(key).isNotNull()).distinct()
+    listed = stored(wanted.select(key).filter(F.col(key).isNotNull()).distinct())
     if listed.limit(listed_rows + 1).count() <= listed_rows:
         return frame.join(F.broadcast(listed), key, "left_semi").select(frame.columns)
     sizes = frame.groupBy(key).agg(F.count(F.lit(1)).alias("n"))

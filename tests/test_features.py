@@ -5,7 +5,7 @@ import pytest
 from pyspark.ml.linalg import SparseVector
 from pyspark.sql import functions as F
 
-from riskweave.operators import cohort, features, labels, learning, splits, words
+from riskweave.operators import cohort, features, labels, learning, runtime, splits, words
 from riskweave.operators import events as ev
 
 
@@ -283,3 +283,12 @@ def test_arrays_are_made_once(spark, small):
     for query, splits_ in ((catalog.tokenize, 1), (catalog.note_word_count_plain, 1), (catalog.tokenize_endings, 2)):
         plan = query(spark, small)._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("split(") == splits_
+
+
+def test_names_of_salts(spark):
+    """A column of the caller's may have the name that the join would take."""
+    big = spark.createDataFrame([(k % 3, k, k) for k in range(30)], "key int, _salt int, x int")
+    small = spark.createDataFrame([(0, "a"), (1, "b")], "key int, _SALT_ string")
+    sizes = big.groupBy("key").agg(F.count("*").alias("n"))
+    got = runtime.spread_join(big, small, "key", runtime.hot_keys(sizes, "key", "n", 2, 5), F.xxhash64("x"))
+    assert sorted(got.columns) == sorted(["key", "_salt", "x", "_SALT_"]) and got.count() == 20
