@@ -32,6 +32,75 @@ shouldn shouldn't wasn wasn't weren weren't won won't wouldn wouldn't
 """.split()
 
 
+# The treebank's conventions for words, as rewritings in this order, and words that are two.
+TREEBANK_RULES = [
+    # quotes that open
+    (r'^"', "`` "),
+    (r"``", " `` "),
+    (r"([ (\[{<])(\"|'')", r"\1 `` "),
+    # punctuation; a full stop only at the end of the text
+    (r"([:,])([^0-9])", r" \1 \2"),
+    (r"([:,])\z", r" \1 "),
+    (r"\.\.\.", " ... "),
+    (r"([;@#$%&])", r" \1 "),
+    (r"([^.])(\.)([\])}>\"']*)[ \t\n\f\r]*\z", r"\1 \2\3 "),
+    (r"([?!])", r" \1 "),
+    (r"([^'])' ", r"\1 ' "),
+    # brackets and dashes
+    (r"([\]\[(){}<>])", r" \1 "),
+    (r"--", " -- "),
+    # quotes that close, and what follows an apostrophe
+    (r"''", " '' "),
+    (r'"', " '' "),
+    (r"([^' ])('[sSmMdD]|') ", r"\1 \2 "),
+    (r"([^' ])('ll|'LL|'re|'RE|'ve|'VE|n't|N'T) ", r"\1 \2 "),
+]
+TREEBANK_PAIRS = [
+    ("can", "not"),
+    ("d", "'ye"),
+    ("gim", "me"),
+    ("gon", "na"),
+    ("got", "ta"),
+    ("lem", "me"),
+    ("more", "'n"),
+    ("wan", "na"),
+    ("'t", "is"),
+    ("'t", "was"),
+]
+TREEBANK_SPACE = r"[ \t\n\x0b\f\r]+"
+
+
+def treebank_tokens(text) -> Column:
+    """Words of a text by the treebank's conventions, in order and with their case.
+
+    Contractions fall apart (``do n't``), double quotes become `` and '', marks and
+    brackets stand by themselves, numbers keep their commas.  A full stop is a
+    word only at the end of the text: texts are not cut into sentences.
+    """
+    text = F.col(text) if isinstance(text, str) else text
+    # Rules on what ends a word see a blank behind the last one.
+    now = F.concat(F.regexp_replace(text, TREEBANK_SPACE, " "), F.lit(" "))
+    now = F.regexp_replace(now, r" +\z", "")
+    for at, (pattern, put) in enumerate(TREEBANK_RULES):
+        if at == TREEBANK_PADDED:
+            now = F.concat(F.lit(" "), now, F.lit(" "))
+        now = F.regexp_replace(now, pattern, put.replace("\\", "$"))
+    words = F.filter(F.split(now, " +"), lambda w: w != "")
+    pairs = F.create_map(*(F.lit(x) for a, b in TREEBANK_PAIRS for x in (a + b, len(a))))
+
+    def parted(w: Column) -> Column:
+        first = F.try_element_at(pairs, F.lower(w))
+        return F.when(first.isNull(), F.array(w)).otherwise(
+            F.array(F.substring(w, F.lit(1), first), F.substring(w, first + 1, F.length(w)))
+        )
+
+    return F.flatten(F.transform(words, parted))
+
+
+# From this rule on the text has a blank at both ends.
+TREEBANK_PADDED = 12
+
+
 def _bind(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluate ``value`` once per row and hand it to ``body``.
 

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskweave.functions import codes
-from riskweave.functions.text import ENGLISH_STOP_WORDS, tokens
+from riskweave.functions.text import ENGLISH_STOP_WORDS, tokens, treebank_tokens
 from riskweave.operators import cohort, evaluation, features, labels, learning, pca, splits, windows, words
 from riskweave.operators import events as ev
 from riskweave.operators.runtime import HOT_MIN_ROWS
@@ -117,6 +117,11 @@ def tokenize_endings(spark, folder):
     return words.exploded_tokens(star.notes(spark, folder), tokens("text", separator=WORD_SEPARATOR), "note_id")
 
 
+def tokenize_treebank(spark, folder):
+    """Words by the treebank's conventions."""
+    return words.exploded_tokens(star.notes(spark, folder), treebank_tokens("text"), "note_id")
+
+
 def lemmatize(spark, folder):
     return words.lemmatize(tokenize(spark, folder), words.lemma_table(spark, LEMMAS))
 
@@ -564,6 +569,7 @@ def queries() -> dict[str, Query]:
         "normalize_text": normalize_text,
         "tokenize": tokenize,
         "tokenize_endings": tokenize_endings,
+        "tokenize_treebank": tokenize_treebank,
         "lemmatize": lemmatize,
         "lemmatize_nouns": lemmatize_nouns,
         "remove_stopwords": remove_stopwords,

@@ -1,5 +1,6 @@
 """The catalogue's queries as plain SQL over the same tables, written independently."""
 
+from riskweave.functions import text as text_rules
 from riskweave.functions.text import ENGLISH_STOP_WORDS, PUNCTUATION, WHITESPACE
 from riskweave.operators import words
 from riskweave.plans import catalog
@@ -223,6 +224,21 @@ def _unwindowed(variant: str) -> str:
     return f"{head}, tuples AS (SELECT * FROM coded UNION ALL {text}) {ROUNDED} tuples"
 
 
+def _treebank() -> str:
+    text = f"regexp_replace(regexp_replace(text, {_text(text_rules.TREEBANK_SPACE)}, ' ', 'g'), ' +\\z', '')"
+    for at, (pattern, put) in enumerate(text_rules.TREEBANK_RULES):
+        if at == text_rules.TREEBANK_PADDED:
+            text = f"(' ' || {text} || ' ')"
+        text = f"regexp_replace({text}, {_text(pattern)}, {_text(put)}, 'g')"
+    pairs = ", ".join(f"({_text(a + b)}, {len(a)})" for a, b in text_rules.TREEBANK_PAIRS)
+    return f"""
+WITH {NOTES},
+pairs(whole, cut) AS (VALUES {pairs}),
+words AS (SELECT note_id, unnest(string_split_regex({text}, ' +')) AS word FROM notes)
+SELECT note_id, unnest(CASE WHEN cut IS NULL THEN [word] ELSE [left(word, cut), substr(word, cut + 1)] END) AS word
+FROM words LEFT JOIN pairs ON whole = lower(word) WHERE word <> ''"""
+
+
 def oracle_sql() -> dict[str, str]:
     found = {
         "code_namespace": """
@@ -458,6 +474,7 @@ names AS (
 SELECT source, feature, CAST(row_number() OVER (ORDER BY first DESC, source, feature) - 1 AS INTEGER) AS idx FROM names"""
     found["word_counts_once"] = f"""
 WITH {TOKENS} SELECT note_id, word, CAST(count(*) AS BIGINT) AS cnt FROM tokens GROUP BY ALL"""
+    found["tokenize_treebank"] = _treebank()
     endings = ", ".join(f"('{old}', '{new}')" for old, new in words.NOUN_ENDINGS)
     found["lemmatize_nouns"] = f"""
 WITH RECURSIVE {CLEAN},

@@ -138,3 +138,26 @@ def test_missing_text(spark):
 
 def test_stop_words():
     assert len(ENGLISH_STOP_WORDS) == len(set(ENGLISH_STOP_WORDS)) == 179
+
+
+# What the conventions give for these texts.
+@pytest.mark.parametrize(
+    "text, expected",
+    [
+        ("They'll save and invest more.", "They 'll save and invest more ."),
+        ("hi, my name can't hello,", "hi , my name ca n't hello ,"),
+        ('"Hello," she said. "I cannot."', "`` Hello , '' she said. `` I can not . ''"),
+        ("It's $3.88, or 1,000 (x-ray) -- why?!", "It 's $ 3.88 , or 1,000 ( x-ray ) -- why ? !"),
+        ("gonna wanna 'tis [a]{b}<c>; d: e", "gon na wan na 't is [ a ] { b } < c > ; d : e"),
+        ("the dogs' bowls... I'd I'm I've", "the dogs ' bowls ... I 'd I 'm I 've"),
+        ("a\n\tb  c", "a b c"),
+        ("", ""),
+        ("   ", ""),
+        (".", "."),
+    ],
+)
+def test_treebank_tokens(spark, text, expected):
+    from riskweave.functions.text import treebank_tokens
+
+    got = spark.createDataFrame([(text,)], "text string").select(treebank_tokens("text").alias("w")).first().w
+    assert " ".join(got) == expected
