@@ -52,7 +52,11 @@ HOT_PAIRS = 1000
 BAND = 1.5
 
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)]
-_SETS = "doc_id long, n int, c1 long, c2 long, signatures array<long>"
+# Signatures are counted and listed in this many slices of their range, one after the other, so that no more than
+# a slice of them is being shuffled at a time.
+SLICES = 8
+_SLICES = [f"signatures{k}" for k in range(SLICES)]
+_SETS = ", ".join(["doc_id long, n int, c1 long, c2 long", *(f"{name} array<long>" for name in _SLICES)])
 
 
 def mixed(values: np.ndarray) -> np.ndarray:
@@ -180,7 +184,7 @@ def signatures(hashes: np.ndarray, band: int, bands: Bands) -> list[int]:
 
 
 def set_rows(documents: DataFrame, size: int, num: int, den: int) -> DataFrame:
-    """Size, two checksums that name the class, and signatures of every row's set."""
+    """Size, two checksums that name the class, and signatures of every row's set, each slice in a column."""
 
     def run(batches: Iterator[list[tuple]]) -> Iterator[list[tuple]]:
         bands = Bands(num, den)
@@ -195,7 +199,10 @@ def set_rows(documents: DataFrame, size: int, num: int, den: int) -> DataFrame:
                 marks = np.array(
                     [hashes.sum(dtype=np.uint64), mixed(hashes ^ _ODD[0]).sum(dtype=np.uint64)], dtype=np.uint64
                 )
-                rows.append((doc_id, len(hashes), *_signed(marks), found))
+                slices: list[list[int]] = [[] for _ in range(SLICES)]
+                for key in found:
+                    slices[key % SLICES].append(key)
+                rows.append((doc_id, len(hashes), *_signed(marks), *slices))
             yield rows
 
     return map_rows(documents.select("doc_id", "text"), run, _SETS)
@@ -211,14 +218,18 @@ class Join:
         named = self.sets.filter("n > 0 AND doc_id IS NOT NULL")
         classes = named.groupBy("n", "c1", "c2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows"))
         self.copies = self.keep(classes.filter("rows > 1").drop("rows"))
-        heads = named.join(self.copies, ["n", "c1", "c2"], "left").filter("rep IS NULL OR rep = doc_id")
-        rows = heads.select("doc_id", "n", F.explode("signatures").alias("key"))
-        shared = stored(rows.groupBy("key").agg(F.count("*").alias("length")).filter("length > 1"))
-        # Most signatures belong to one set; what is left of them is often small enough to spare a shuffle of all.
-        self.lists = stored(rows.join(small(shared), "key"))
+        heads = named.join(small(self.copies), ["n", "c1", "c2"], "left").filter("rep IS NULL OR rep = doc_id")
+        lists = []
+        for name in _SLICES:
+            rows = heads.select("doc_id", "n", F.explode(name).alias("key"))
+            shared = stored(rows.groupBy("key").agg(F.count("*").alias("length")).filter("length > 1"))
+            # Most signatures belong to one set; what is left of them is often small enough to spare a shuffle of all.
+            lists.append(self.keep(rows.join(small(shared), "key")))
+            release(shared)
+        self.lists = reduce(DataFrame.unionByName, lists)
         # From here on the sets are needed without their signatures.
-        whole, self.sets = self.sets, self.keep(self.sets.drop("signatures"))
-        release(shared, whole)
+        whole, self.sets = self.sets, self.keep(self.sets.drop(*_SLICES))
+        release(whole)
         self.links: DataFrame | None = None
         self.checked: DataFrame | None = None
 
@@ -383,7 +394,7 @@ class Join:
             lists = before.filter(F.col("length") > SHORT_LIST)
         if not lists.isEmpty():
             self.verify(self.allocated_pairs(lists))
-        release(before, self.lists, self.all_members)
+        release(before, self.all_members)
 
     def result(self) -> DataFrame:
         sets = self.sets.select("doc_id", "n", "c1", "c2")
