@@ -38,6 +38,17 @@ LEMMAS = [
 # Orders with one of the two highest priorities are the cohort.
 COHORT_LOW, COHORT_HIGH = "1", "2-~"
 
+# Ranges of codes, ends included.
+CODE_RANGES = [
+    ("DIAG1", "DIAG2-~"),
+    ("DIAG1-U", "DIAG1-V"),
+    ("DIAG5-LOW", "DIAG5-LOW"),
+    ("LABE", "LABP"),
+    ("LABS", "LABA"),
+    ("MEDBrand#12", "MEDBrand#21"),
+    ("MEDBrand#13", "MEDBrand#3"),
+]
+
 WANTED_DIAGNOSES = ["DIAG1-URGENT", "DIAG5-LOW"]
 WANTED_LABS = ["LABECONOMY", "LABSTANDARD"]
 
@@ -202,6 +213,17 @@ def cohort_select(spark, folder):
     return cohort.select_cohort(star.diagnoses(spark, folder), COHORT_LOW, COHORT_HIGH, digits=None)
 
 
+def cohort_ranges(spark, folder):
+    """Entities by a table of ranges of codes that overlap, and one that is empty."""
+    events = star.events(spark, folder).filter("subject_id % 5 < 3")
+    return cohort.select_by_ranges(events, spark.createDataFrame(CODE_RANGES, "low string, high string"))
+
+
+def codes_in_ranges(spark, folder):
+    """Codes in some of these ranges."""
+    return cohort.codes_in_ranges(star.events(spark, folder), spark.createDataFrame(CODE_RANGES, "low string, high string"))
+
+
 def cohort_events(spark, folder):
     return cohort.restrict(star.events(spark, folder), cohort_select(spark, folder))
 
@@ -589,6 +611,8 @@ def queries() -> dict[str, Query]:
         "feature_avg_filtered": feature_avg_filtered,
         "feature_count_listed": feature_count_listed,
         "cohort_select": cohort_select,
+        "cohort_ranges": cohort_ranges,
+        "codes_in_ranges": codes_in_ranges,
         "cohort_events": cohort_events,
         "cohort_events_hot": cohort_events_hot,
         "windows_with_notes": _windows("disjoint", notes_extend_windows=True),

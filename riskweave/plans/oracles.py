@@ -474,6 +474,13 @@ names AS (
 SELECT source, feature, CAST(row_number() OVER (ORDER BY first DESC, source, feature) - 1 AS INTEGER) AS idx FROM names"""
     found["word_counts_once"] = f"""
 WITH {TOKENS} SELECT note_id, word, CAST(count(*) AS BIGINT) AS cnt FROM tokens GROUP BY ALL"""
+    spans = _values(catalog.CODE_RANGES, "low, high")
+    found["codes_in_ranges"] = f"""
+WITH {EVENTS}
+SELECT DISTINCT code FROM events_all JOIN {spans} r ON code BETWEEN low AND high"""
+    found["cohort_ranges"] = f"""
+WITH {EVENTS}
+SELECT DISTINCT subject_id FROM events_all JOIN {spans} r ON code BETWEEN low AND high WHERE subject_id % 5 < 3"""
     found["tokenize_treebank"] = _treebank()
     endings = ", ".join(f"('{old}', '{new}')" for old, new in words.NOUN_ENDINGS)
     found["lemmatize_nouns"] = f"""

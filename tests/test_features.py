@@ -292,3 +292,18 @@ def test_names_of_salts(spark):
     sizes = big.groupBy("key").agg(F.count("*").alias("n"))
     got = runtime.spread_join(big, small, "key", runtime.hot_keys(sizes, "key", "n", 2, 5), F.xxhash64("x"))
     assert sorted(got.columns) == sorted(["key", "_salt", "x", "_SALT_"]) and got.count() == 20
+
+
+@pytest.mark.parametrize("parts", [1, 8])
+def test_codes_in_ranges(spark, parts):
+    """Nested, equal, touching and empty ranges, in any number of parts, against all pairs."""
+    r = random.Random(12)
+    name = lambda: "".join(r.choice("ABC") for _ in range(r.randint(0, 4)))
+    codes = [name() for _ in range(80)] + [None]
+    ranges = [tuple(name() for _ in range(2)) for _ in range(12)] + [("A", "A"), ("AB", "AC"), ("AC", "B"), (None, "C"), ("C", None)]
+    frame = spark.createDataFrame([(c, 1) for c in codes], "code string, part int").repartition(parts)
+    got = cohort.codes_in_ranges(frame, spark.createDataFrame(ranges, "low string, high string"))
+    inside = {c for c in codes if c is not None and any(a is not None and b is not None and a <= c <= b for a, b in ranges)}
+    assert sorted(x.code for x in got.collect()) == sorted(inside)
+    empty = spark.createDataFrame([], "low string, high string")
+    assert cohort.codes_in_ranges(frame, empty).count() == 0
