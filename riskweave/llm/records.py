@@ -79,13 +79,13 @@ def file_system(folder: str) -> tuple[arrow_fs.FileSystem, str]:
     return arrow_fs.FileSystem.from_uri(folder)
 
 
-def load_tokenizer(path: str):
-    """The tokenizer of a file, for one thread; strings of special tokens are ordinary text."""
+def load_tokenizer(path: str, plain: bool = False):
+    """The tokenizer of a file, for one thread; with ``plain``, strings of special tokens are ordinary text."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
+    tokenizer.encode_special_tokens = plain
     return tokenizer
 
 
@@ -95,7 +95,8 @@ class Encoder:
     The vocabulary's pre-tokens never hold white space, so the parts of a text
     between blanks and line ends are encoded by themselves, and each part that
     comes again is looked up.  Letters and the marks behind them are different
-    pre-tokens, and case is folded, so words differ less than parts do.
+    pre-tokens, and case is folded, so words differ less than parts do.  A
+    part with the string of a special token is no word and stays whole.
     """
 
     def __init__(self, path: str):
@@ -160,7 +161,8 @@ def write_records(documents: DataFrame, tokenizer: str, folder: str, end_id: int
 
     Records ascend by doc_id, null ids first and equal ids by text, within the
     shards and from shard to shard.  Null texts are empty; with ``end_id`` that
-    id closes every record.  Strings of special tokens are ordinary text.
+    id closes every record.  Strings of special tokens get the ids of these
+    tokens, as the library gives them by default.
     Further columns are ignored, and an empty table leaves an empty index.
     """
     spark = documents.sparkSession

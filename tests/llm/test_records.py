@@ -15,9 +15,7 @@ PATH = public_tokenizers.path("word_bpe_49k.json")
 
 @pytest.fixture(scope="module")
 def library():
-    tokenizer = Tokenizer.from_file(PATH)
-    tokenizer.encode_special_tokens = True
-    return tokenizer
+    return Tokenizer.from_file(PATH)
 
 
 def test_frames():
@@ -44,6 +42,14 @@ def test_encoder_is_the_library(library):
             assert np.frombuffer(ids, "<u2").tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+def test_special_strings(library):
+    encoder = records.Encoder(PATH)
+    texts = ["a <|endoftext|> b", "a<|endoftext|>b.", "<|startoftext|><|endoftext|>", "<|ENDOFTEXT|>", "<|endoftext|>\u0301 x", "<|end oftext|>"]
+    for text, ids in zip(texts, encoder(texts)):
+        assert np.frombuffer(ids, "<u2").tolist() == library.encode(text, add_special_tokens=False).ids
+    assert 49407 in np.frombuffer(encoder(texts[:1])[0], "<u2")
+
+
 def test_encoder_forgets(library, monkeypatch):
     monkeypatch.setattr(records, "KEPT_PARTS", 3)
     encoder = records.Encoder(PATH)
