@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskweave.operators import events as ev
-from riskweave.operators.runtime import HOT_MIN_ROWS, hot_keys, row_salt, spread_join
+from riskweave.operators.runtime import HOT_MIN_ROWS, free_name, hot_keys, row_salt, spread_join
 
 # Days between index day and death, and days under observation.
 LEAD_DAYS = 30
@@ -109,3 +109,67 @@ def in_window(
     salt = row_salt(*(salt_on or ("event_date", "code")))
     joined = spread_join(events, windows, "subject_id", hot, salt)
     return joined.filter(_inside(closed)).select(events.columns)
+
+
+# A window of more days than this goes to a level with longer buckets.
+LEVEL_DAYS = 8
+
+
+def _level(start: Column, end: Column) -> Column:
+    """How often a bucket's length is doubled, so that a window meets at most LEVEL_DAYS + 2 buckets."""
+    days = F.greatest(F.datediff(end, start), F.lit(1))
+    return F.greatest(F.ceil(F.log2(days / F.lit(float(LEVEL_DAYS)))), F.lit(0)).cast("int")
+
+
+def _bucket(day: Column, level: Column) -> Column:
+    return F.floor(F.unix_date(day.cast("date")) / F.pow(F.lit(2.0), level)).cast("int")
+
+
+def in_many_windows(
+    events: DataFrame,
+    windows: DataFrame,
+    closed: str = "neither",
+    min_rows: int = HOT_MIN_ROWS,
+    salt_on: tuple[str, ...] | None = None,
+) -> DataFrame:
+    """Events with each window of their entity that holds them, for entities with many windows.
+
+    Returns the columns of both, the entity once.  Where :func:`in_window` meets
+    every event of an entity with every window, this one meets them by entity
+    and bucket of time: a window stands in the at most ten buckets that it
+    reaches, whose length goes with its own, and an event in one bucket for each
+    length in use (fourteen for windows of a century).  Rows that meet are thus
+    in proportion to the result, but for those in a window's outer buckets.
+    Buckets with many events are cut into parts.
+
+    Null entities, days and bounds meet nothing, and neither do windows that end
+    before they begin.  Equal windows and equal events all count.  ``salt_on``
+    are the columns that deal events to parts, all by default.
+    """
+    if closed not in ("neither", "left", "right", "both"):
+        raise ValueError("closed must be neither, left, right or both")
+    taken = (set(events.columns) & set(windows.columns)) - {"subject_id"}
+    if taken:
+        raise ValueError(f"columns of both tables: {sorted(taken)}")
+    name = free_name("_bucket", events, windows)
+    level = free_name("_level", events, windows)
+    start, end, day = F.col("start_date"), F.col("end_date"), F.col("event_date")
+
+    spans = windows.filter(F.col("subject_id").isNotNull() & (start <= end)).withColumn(level, _level(start, end))
+    # Day numbers have 22 bits, so there are at most 20 levels whatever the table.
+    levels = spans.agg(F.collect_set(level)).scalar()
+    reached = F.explode(F.sequence(_bucket(start, F.col(level)), _bucket(end, F.col(level))))
+    spans = spans.withColumn(name, reached)
+    spans = spans.withColumn(name, F.struct("subject_id", level, name)).drop("subject_id", level)
+
+    dated = events.filter(F.col("subject_id").isNotNull() & day.isNotNull())
+    placed = dated.withColumn(level, F.explode(levels))
+    placed = placed.withColumn(name, F.struct("subject_id", level, _bucket(day, F.col(level)).alias(name))).drop(level)
+
+    n = free_name("n_events", placed)
+    hot = hot_keys(placed.groupBy(name).agg(F.count(F.lit(1)).alias(n)), name, n, min_rows)
+    salt = row_salt(*(salt_on or events.columns))
+    met = spread_join(placed, spans, name, hot, salt)
+    return met.filter(_inside(closed)).select(
+        *events.columns, *[c for c in windows.columns if c != "subject_id"]
+    )

@@ -64,6 +64,9 @@ PCA_COMPONENTS = 50
 # Rows from which keys are cut in the queries that show it.
 HOT_ROWS = 20
 
+# Windows per entity, days between their ends, and how much longer each of five is than the one before.
+MANY_WINDOWS, WINDOW_STEP, WINDOW_GROWTH = 50, 45, 40
+
 
 def settings(spark: SparkSession, policy: str = "disjoint") -> Settings:
     return Settings(policy=policy, lemmas=words.lemma_table(spark, LEMMAS))
@@ -259,6 +262,26 @@ def events_in_window_note(spark, folder):
     return pipelines.windowed_notes(source, settings(spark)).select("note_id", "subject_id", "event_date")
 
 
+def _many_windows(spark, folder) -> DataFrame:
+    """Fifty windows of an entity that end ever earlier, of five lengths, so that many overlap."""
+    last = windows.last_days(star.activity(spark, folder))
+    numbered = last.withColumn("window", F.explode(F.sequence(F.lit(0), F.lit(MANY_WINDOWS - 1))))
+    end = F.expr(f"date_sub(last_date, window * {WINDOW_STEP})")
+    start = F.expr(f"date_sub(last_date, window * {WINDOW_STEP} + 10 + window % 5 * {WINDOW_GROWTH})")
+    return numbered.select("subject_id", "window", start.alias("start_date"), end.alias("end_date"))
+
+
+def _in_many_windows(min_rows=HOT_MIN_ROWS) -> Query:
+    def query(spark, folder):
+        events = star.events(spark, folder)
+        held = windows.in_many_windows(events, _many_windows(spark, folder), "right", min_rows)
+        return held.groupBy("subject_id", "window", "start_date", "end_date", "source").agg(
+            F.count(F.lit(1)).alias("n_events"), F.sum("value").alias("total")
+        )
+
+    return query
+
+
 def event_dates(spark, folder):
     return ev.event_dates(star.events(spark, folder))
 
@@ -607,6 +630,8 @@ def queries() -> dict[str, Query]:
         "events_in_window_note": events_in_window_note,
         "events_in_closed_window": _in_window(star.events, closed="both"),
         "events_in_window_hot": _in_window(star.events, min_rows=HOT_ROWS),
+        "events_in_many_windows": _in_many_windows(),
+        "events_in_many_windows_hot": _in_many_windows(HOT_ROWS),
         "feature_count_filtered": feature_count_filtered,
         "feature_avg_filtered": feature_avg_filtered,
         "feature_count_listed": feature_count_listed,

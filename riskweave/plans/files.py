@@ -92,8 +92,7 @@ def _note_rows(spark, folder) -> DataFrame:
     return star.notes(spark, folder).select("note_id", "subject_id", day.alias("charttime"), "text")
 
 
-def csv_notes(spark, folder):
-    """Texts with quotation marks and line breaks."""
+def _quoted_notes(spark, folder) -> str:
     path = _place(spark, "noteevents.csv")
     quoted = F.concat(F.lit('"note"\n'), "text")
     (
@@ -106,7 +105,17 @@ def csv_notes(spark, folder):
         .option("ignoreTrailingWhiteSpace", False)
         .csv(path)
     )
-    return tables.read_notes(spark, path).drop("note_id")
+    return path
+
+
+def csv_notes(spark, folder):
+    """Texts with quotation marks and line breaks."""
+    return tables.read_notes(spark, _quoted_notes(spark, folder)).drop("note_id")
+
+
+def csv_notes_split(spark, folder):
+    """The same, ranges of a file read by several tasks."""
+    return tables.read_notes(spark, _quoted_notes(spark, folder), split=True).drop("note_id")
 
 
 def table_notes(spark, folder):
@@ -165,6 +174,7 @@ def queries() -> dict[str, catalog.Query]:
         csv_events,
         csv_view,
         csv_notes,
+        csv_notes_split,
         table_notes,
         csv_word_counts,
         csv_tfidf,

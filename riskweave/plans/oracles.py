@@ -126,6 +126,21 @@ WITH {EVENTS}, {_windows(policy)}
 SELECT {columns} FROM {table} JOIN windows USING (subject_id) WHERE {inside}"""
 
 
+MANY_WINDOWS = f"""
+WITH {EVENTS},
+last_days AS (SELECT subject_id, max(event_date) AS day FROM events_all GROUP BY subject_id),
+many AS MATERIALIZED (
+  SELECT subject_id, CAST(w AS INTEGER) AS "window",
+         day - CAST(w * {catalog.WINDOW_STEP} + 10 + w % 5 * {catalog.WINDOW_GROWTH} AS INTEGER) AS start_date,
+         day - CAST(w * {catalog.WINDOW_STEP} AS INTEGER) AS end_date
+  FROM last_days, unnest(range({catalog.MANY_WINDOWS})) AS t(w))
+SELECT subject_id, "window", start_date, end_date, source,
+       count(*) AS n_events, sum(value) AS total
+FROM events_all JOIN many USING (subject_id)
+WHERE event_date > start_date AND event_date <= end_date
+GROUP BY ALL"""
+
+
 TUPLES_OF = """
 SELECT subject_id, source, code AS feature,
        CASE WHEN source = 'LAB' THEN avg(value) ELSE sum(value) END AS value
@@ -284,6 +299,8 @@ SELECT note_id, strftime(event_date, '%Y-%m-%d') AS charttime FROM notes WHERE e
 WITH {EVENTS}, {_windows()}, {NOTES}
 SELECT note_id, subject_id, event_date FROM notes JOIN windows USING (subject_id) WHERE {INSIDE}""",
         "events_in_window_hot": _kept("events_all", "subject_id, source, code, value, event_date"),
+        "events_in_many_windows": MANY_WINDOWS,
+        "events_in_many_windows_hot": MANY_WINDOWS,
         "events_in_closed_window": _kept(
             "events_all",
             "subject_id, source, code, value, event_date",
@@ -323,6 +340,9 @@ FROM lines WHERE l_linenumber <> 3""",
 SELECT CAST(n_regionkey AS VARCHAR) AS region, count(*) AS n FROM nation GROUP BY ALL""",
         "csv_notes": f"""
 WITH {NOTES}
+SELECT CAST(subject_id AS VARCHAR) AS subject_id, event_date, '"note"' || chr(10) || text AS text FROM notes""",
+        "csv_notes_split": f"""
+WITH {NOTES}
 SELECT CAST(subject_id AS VARCHAR) AS subject_id, event_date, '"note"' || chr(10) || text AS text FROM notes""",
         "table_notes": f"WITH {NOTES} SELECT note_id, subject_id, event_date, text FROM notes",
         "csv_word_counts": f"""

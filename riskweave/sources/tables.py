@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskweave.functions import codes
+from riskweave.sources.quoted import read_quoted
 
 # Fixed value: the part of a path that names a view.
 VIEW_NAME = re.compile(r"(\w+)(\.csv)?$")
@@ -89,20 +90,24 @@ def read_labs(spark: SparkSession, path) -> DataFrame:
     )
 
 
-def read_notes(spark: SparkSession, path) -> DataFrame:
+def read_notes(spark: SparkSession, path, split: bool = False) -> DataFrame:
     """Free-text notes with columns subject_id, charttime and text.
 
-    Texts may hold line breaks and doubled quotes, so one file is one task: give
-    the notes as many files, or as a columnar table.  Notes get an identifier
-    from all their content; equal notes of one entity share it.
+    Texts may hold line breaks and doubled quotes, so one file is one task,
+    unless ``split`` has its ranges read by several, see
+    :mod:`riskweave.sources.quoted`.  Notes get an identifier from all their
+    content; equal notes of one entity share it.
     """
-    raw = (
-        spark.read.option("header", True)
-        .option("multiLine", True)
-        .option("quote", '"')
-        .option("escape", '"')
-        .csv(path)
-    )
+    if split:
+        raw = read_quoted(spark, path)
+    else:
+        raw = (
+            spark.read.option("header", True)
+            .option("multiLine", True)
+            .option("quote", '"')
+            .option("escape", '"')
+            .csv(path)
+        )
     return raw.select(
         F.sha2(F.to_json(F.struct("subject_id", "charttime", "text")), 256).alias("note_id"),
         "subject_id",

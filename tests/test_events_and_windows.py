@@ -186,3 +186,35 @@ def test_admissions(spark, small):
 def test_one_window_per_entity(spark, small):
     spans = catalog.queries()["windows_disjoint"](spark, small)
     assert spans.groupBy("subject_id").count().filter("count > 1").count() == 0
+
+
+@pytest.mark.parametrize("closed", ["neither", "left", "right", "both"])
+@pytest.mark.parametrize("min_rows", [2, 1_000_000])
+def test_many_windows(spark, closed, min_rows):
+    """Against all windows of an entity, with windows of a day, of centuries, empty, reversed, repeated and without bounds."""
+    r = random.Random(5)
+    origin = datetime.date(1969, 11, 1)
+    day = lambda n: origin + datetime.timedelta(n)
+    events = [(r.choice([1, 1, 1, 1, 2, 3, None]), day(r.randint(0, 300)), i) for i in range(300)]
+    events += [(1, None, -1), (9, day(3), -2), *events[:20]]
+    spans = []
+    for i in range(80):
+        start = r.randint(-40, 300)
+        spans.append((r.choice([1, 1, 2, 3, 4]), day(start), day(start + r.choice([0, 1, 7, 8, 9, 30, 64, 200, 90_000])), i))
+    spans += [(1, day(50), day(40), 100), (1, None, day(40), 101), (None, day(0), day(300), 102), (2, day(0), None, 103), *spans[:5]]
+    left = spark.createDataFrame(events, "subject_id int, event_date date, code int")
+    right = spark.createDataFrame(spans, "subject_id int, start_date date, end_date date, _bucket int")
+    got = windows.in_many_windows(left, right, closed, min_rows)
+    assert got.columns == ["subject_id", "event_date", "code", "start_date", "end_date", "_bucket"]
+    expected = [
+        (s, d, c, a, b, w)
+        for s, d, c in events
+        for t, a, b, w in spans
+        if s is not None and s == t and None not in (d, a, b)
+        and (d > a or d == a and closed in ("left", "both"))
+        and (d < b or d == b and closed in ("right", "both"))
+        and a <= b
+    ]
+    assert sorted(map(tuple, got.collect())) == sorted(expected)
+    assert windows.in_many_windows(left, right.limit(0), closed).count() == 0
+    assert windows.in_many_windows(left.limit(0), right, closed).count() == 0

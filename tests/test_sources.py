@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from riskweave.operators import runtime, words
-from riskweave.sources import sinks, tables
+from riskweave.sources import quoted, sinks, tables
 from riskweave.streaming.notes import append_word_counts
 
 
@@ -178,3 +178,68 @@ def test_notes_without_time(spark, tmp_path):
     again = tables.read_note_table(spark, str(tmp_path / "notes"))
     assert {r["subject_id"]: r["event_date"] for r in again.collect()} == got
     assert again.select("note_id").distinct().count() == 3
+
+
+QUOTED = [
+    ("1", "2084-07-03 10:00:00", 'first, "quoted"\nsecond\r\nthird'),
+    ("2", "nan", ""),
+    (None, None, "plain"),
+    ("3", "2084-07-03", "\n\n\n" + "long line\n" * 30 + '"'),
+    ("4", "2084-07-04", '""\n,"'),
+    ("5", None, None),
+    ("6", "2084-07-05", "the end"),
+    ("6", "2084-07-05", "the end"),
+]
+
+
+def quoted_file(place, rows, end="\n", last=True):
+    def field(value):
+        if value is None:
+            return ""
+        plain = value and not set(value) & set('",\r\n')
+        return value if plain else '"' + value.replace('"', '""') + '"'
+
+    lines = ["subject_id,charttime,text", *(",".join(map(field, row)) for row in rows)]
+    place.write_bytes((end.join(lines) + (end if last else "")).encode())
+    return str(place)
+
+
+@pytest.mark.parametrize("size", [3, 40, 1 << 20])
+def test_quoted_records_across_ranges(spark, tmp_path, size):
+    """Ranges begin at every place: within fields, quotes and line breaks."""
+    session = spark.newSession()
+    session.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+    session.conf.set("spark.sql.files.openCostInBytes", "0")
+    session.conf.set("spark.sql.files.minPartitionNum", "1")
+    folder = tmp_path / "notes"
+    folder.mkdir()
+    quoted_file(folder / "a.csv", QUOTED)
+    quoted_file(folder / "b.csv", QUOTED[:5], end="\r\n", last=False)
+    quoted_file(folder / "c.csv", [])
+    got = quoted.read_quoted(session, str(folder))
+    assert got.columns == ["subject_id", "charttime", "text"]
+    # Empty fields are null, quoted or not, as in Spark's own reader.
+    expected = [tuple(value or None for value in row) for row in [*QUOTED, *QUOTED[:5]]]
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, expected))
+    if size < 100:
+        lines = quoted.read_lines(session, str(folder / "a.csv"))
+        assert lines.rdd.getNumPartitions() > 5
+        known = quoted.ranges(lines).collect()
+        assert len(known) > 5 and any(r["inside"] for r in known)
+        assert all((r["owner"] < r["block"]) for r in known if r["inside"])
+
+
+def test_quoted_records_without_broadcast(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(quoted, "LISTED_ROWS", 0)
+    session = spark.newSession()
+    session.conf.set("spark.sql.files.maxPartitionBytes", "40")
+    session.conf.set("spark.sql.files.openCostInBytes", "0")
+    path = quoted_file(tmp_path / "notes.csv", QUOTED)
+    got = quoted.read_quoted(session, path).collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(repr(tuple(value or None for value in row)) for row in QUOTED)
+
+
+def test_split_notes_are_the_same(spark, tmp_path):
+    path = quoted_file(tmp_path / "notes.csv", QUOTED[:2] + QUOTED[4:])
+    whole, split = (sorted(map(repr, tables.read_notes(spark, path, s).collect())) for s in (False, True))
+    assert whole == split
