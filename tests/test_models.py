@@ -183,3 +183,17 @@ def test_run_writes_models_and_report(spark, small, tmp_path):
     sinks.write_metrics_lines(report, f"{folder}/lines")
     lines = [r["value"] for r in spark.read.text(f"{folder}/lines/variant=baseline/model=tree").collect()]
     assert [float(x) for x in lines] == [float(rows["tree"][c]) for c in ("accuracy", "auroc_hard", "c00", "c01", "c10", "c11")]
+
+
+def test_dense_parts_are_not_broadcast(spark):
+    """Random columns come from the bands' own rows, and dense parts never go to the driver to be joined."""
+    rows = [(band, np.full(6, band + 1.0).tobytes()) for band in range(3)]
+    means = spark.createDataFrame(rows, "key int, values binary")
+    start = pca._start(means, 4)
+    both = pca._beside(start, start)
+    plan = both._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan
+    got = {r.key: (np.frombuffer(r["values"]), np.frombuffer(r.others)) for r in both.collect()}
+    for band in range(3):
+        expected = np.random.default_rng(band).standard_normal((6, 4)).ravel()
+        assert (got[band][0] == expected).all() and (got[band][1] == expected).all()
