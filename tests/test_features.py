@@ -307,3 +307,27 @@ def test_codes_in_ranges(spark, parts):
     assert sorted(x.code for x in got.collect()) == sorted(inside)
     empty = spark.createDataFrame([], "low string, high string")
     assert cohort.codes_in_ranges(frame, empty).count() == 0
+
+
+def test_nouns_are_read_once(spark):
+    """Several rounds of detaching look candidates up in one written table."""
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    nouns = spark.createDataFrame([("bus",), ("dress",), ("cat",)], "noun string").mapInArrow(counted, "noun string")
+    forms = spark.createDataFrame([("cats",), ("dressesses",), ("buses",)], "word string")
+    got = {r.form: r.lemma for r in words.noun_lemmas(forms, nouns).collect()}
+    assert got["cats"] == "cat" and got["buses"] == "bus"
+    assert read.value == 3
+
+
+def test_given_sizes_of_words_serve(spark):
+    tokens = spark.createDataFrame([(i, "cats" if i % 2 else "dog") for i in range(90)], "id int, word string")
+    lemmas = spark.createDataFrame([("cats", "cat")], "form string, lemma string")
+    sizes = words.word_sizes(tokens)
+    got = words.lemmatize(tokens, lemmas, 10, sizes)
+    assert sorted(map(tuple, got.collect())) == [(i, "cat" if i % 2 else "dog") for i in range(90)]
