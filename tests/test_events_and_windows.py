@@ -218,3 +218,23 @@ def test_many_windows(spark, closed, min_rows):
     assert sorted(map(tuple, got.collect())) == sorted(expected)
     assert windows.in_many_windows(left, right.limit(0), closed).count() == 0
     assert windows.in_many_windows(left.limit(0), right, closed).count() == 0
+
+
+def test_windows_meet_few_buckets_on_few_levels(spark):
+    """Lengths of a day to a century: at most six buckets a window, and five lengths of buckets in all."""
+    spans = spark.range(1, 36_500).select(F.date_sub(F.lit(END), F.col("id").cast("int")).alias("s"), F.lit(END).alias("e"))
+    level = windows._level(F.col("s"), F.col("e"))
+    n = windows._bucket(F.col("e"), level) - windows._bucket(F.col("s"), level) + 1
+    row = spans.agg(F.max(n).alias("most"), F.count_distinct(level).alias("levels")).first()
+    assert row.most <= 6 and row.levels <= 6
+
+
+def test_only_busy_entities_have_counted_buckets(spark):
+    """A busy day of one entity is cut, and every pair still comes out once."""
+    rows = [("hot", f"c{i % 7}", day(-5)) for i in range(500)] + [(f"p{i}", "c0", day(-i % 30)) for i in range(300)]
+    events = spark.createDataFrame(rows, "subject_id string, code string, event_date date").repartition(4)
+    spans_rows = [(who, w, day(-40 + 3 * w), day(-2 * w)) for who in ("hot", "p1", "p2") for w in range(4)]
+    spans = spark.createDataFrame(spans_rows, "subject_id string, w int, start_date date, end_date date")
+    met = windows.in_many_windows(events, spans, "right", min_rows=20)
+    expected = Counter((who, c, d, w) for who, c, d in rows for o, w, s, e in spans_rows if o == who and s < d <= e)
+    assert Counter((r.subject_id, r.code, r.event_date, r.w) for r in met.collect()) == expected
