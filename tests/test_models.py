@@ -1,3 +1,5 @@
+from dataclasses import replace
+
 import numpy as np
 import pytest
 from pyspark.ml.classification import GBTClassificationModel, LogisticRegressionModel
@@ -197,3 +199,20 @@ def test_dense_parts_are_not_broadcast(spark):
     for band in range(3):
         expected = np.random.default_rng(band).standard_normal((6, 4)).ravel()
         assert (got[band][0] == expected).all() and (got[band][1] == expected).all()
+
+
+def test_wide_vocabularies_have_own_trees(spark, small, tmp_path, monkeypatch):
+    """Above the width, no dense tree is fitted; every test entity gets its prediction, close to Spark's own."""
+    tables, chosen = catalog.event_tables(spark, small), catalog.settings(spark)
+    few = {"gbt": {"iterations": 3, "max_depth": 3, "seed": 7}, "tree": {"max_depth": 3, "max_memory_mb": 64}}
+    narrow = replace(chosen, model_parameters=few)
+    dense = {r.model: r for r in pipelines.run("baseline", tables, narrow, learning.TREES).collect()}
+    monkeypatch.setattr(learning, "estimator", None)
+    folder = str(tmp_path / "wide")
+    wide = replace(narrow, dense_width=5)
+    own = {r.model: r for r in pipelines.run("baseline", tables, wide, learning.TREES, folder).collect()}
+    for model in learning.TREES:
+        cells = [own[model][c] for c in ("c00", "c01", "c10", "c11")]
+        assert sum(cells) == sum(dense[model][c] for c in ("c00", "c01", "c10", "c11")) > 0
+        assert abs(own[model].accuracy - dense[model].accuracy) < 0.1
+        assert "node" in spark.read.parquet(f"{folder}/baseline_{model}").columns
