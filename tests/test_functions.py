@@ -8,6 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from riskweave.functions import codes, hash_bucket, normalize_text, tfidf, tokens, word_bag
+from riskweave.functions import text
 from riskweave.functions.text import ENGLISH_STOP_WORDS, PUNCTUATION
 
 
@@ -161,3 +162,12 @@ def test_treebank_tokens(spark, text, expected):
 
     got = spark.createDataFrame([(text,)], "text string").select(treebank_tokens("text").alias("w")).first().w
     assert " ".join(got) == expected
+
+
+def test_words_at_single_blanks(spark):
+    """Every character that parts words does, runs and ends give no words, and no class of characters is split at."""
+    texts = [f"{w}a{w}{w}B-c{w}--{w}'d1e2{w}" for w in text.WHITESPACE] + ["", " ", "\u0663x\u0664", "x" * 50, None, "--", "a\u00a0\u2003b"]
+    frame = spark.createDataFrame([(t,) for t in texts], "t string")
+    old = F.filter(text._stripped_words("t"), lambda w: w != "")
+    assert frame.filter(~text.tokens("t").eqNullSafe(old)).count() == 0
+    assert "translate" in str(text.tokens("t")._jc.toString())
