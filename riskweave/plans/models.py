@@ -105,8 +105,9 @@ def tree_scores(spark, folder):
 
 def model_tables_agree(spark, folder):
     """Spark's models, written, read as tables and scored by joins, say the same as the models themselves."""
-    data = pipelines.examples("baseline", catalog.event_tables(spark, folder), catalog.settings(spark))
-    matrix, entities, _ = baseline_matrix(spark, folder)
+    matrix, entities, index = baseline_matrix(spark, folder)
+    rows = splits.hash_split(features.sparse_rows(matrix))
+    data = learning.stored_examples(rows, index, entities.select("subject_id", "label"), "split")
     train = data.filter("split = 'train'")
     found = []
     for name, options in (("logistic", {"reg_param": 0.01, "fit_intercept": True}), ("tree", {"max_depth": 5}), ("gbt", BOOSTED)):
