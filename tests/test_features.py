@@ -331,3 +331,12 @@ def test_given_sizes_of_words_serve(spark):
     sizes = words.word_sizes(tokens)
     got = words.lemmatize(tokens, lemmas, 10, sizes)
     assert sorted(map(tuple, got.collect())) == [(i, "cat" if i % 2 else "dog") for i in range(90)]
+
+
+def test_owners_meet_entities_not_scores(spark):
+    counts = spark.createDataFrame([(1, "a", 2), (1, "b", 1), (2, "a", 1), (3, "c", 4)], "subject_id long, word string, cnt long")
+    owners = spark.createDataFrame([(1, 10), (1, 10), (2, 10), (3, None), (None, 5)], "subject_id long, owner long")
+    scores = words.entity_tfidf(counts)
+    expected = scores.join(owners, "subject_id")
+    got = words.entity_tfidf(counts, owners=owners)
+    assert sorted(map(str, got.collect())) == sorted(map(str, expected.select(got.columns).collect()))
