@@ -157,6 +157,20 @@ def counted(frame):
     return {(r["note_id"], r["word"]): r["cnt"] for r in frame.collect()}
 
 
+def test_few_lemmas_need_no_shuffle_of_words(spark):
+    """Only notes that come twice, also without an id, are added up; a table that is too long for a map gives the same."""
+    rows = [(1, 1, "cats cat dogs"), (1, 1, "cats"), (None, 2, "dogs dog"), (None, 2, "cats"), (2, 1, "was cats cat"), (3, 1, None)]
+    frame = spark.createDataFrame(rows, "note_id long, subject_id long, text string").withColumn("event_date", F.lit("2020-01-01").cast("date"))
+    table = spark.createDataFrame([("cats", "cat"), ("dogs", "dog"), (None, "x"), ("was", None)], "form string, lemma string")
+    got = words.note_word_counts(frame, table)
+    expected = {(1, "cat"): 3, (1, "dog"): 1, (None, "dog"): 2, (None, "cat"): 1, (2, "cat"): 2}
+    assert counted(got) == expected and got.count() == len(expected)
+    long = table.unionByName(spark.range(40).selectExpr("concat('form', id) AS form", "'none' AS lemma"))
+    assert counted(words.note_word_counts(frame, long)) == expected
+    once = words.note_word_counts(frame.filter("note_id > 1"), table)
+    assert "Exchange" not in once._jdf.queryExecution().executedPlan().toString()
+
+
 def test_note_word_counts(spark):
     got = words.note_word_counts(notes(spark), lemmas(spark))
     # Lemmas come before stop words, so "wa" and "ha" are not stop words any more.
