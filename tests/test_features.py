@@ -171,6 +171,18 @@ def test_few_lemmas_need_no_shuffle_of_words(spark):
     assert "Exchange" not in once._jdf.queryExecution().executedPlan().toString()
 
 
+def test_names_of_word_counts(spark):
+    """The names of all tuples, without an aggregation by entity and word."""
+    from riskweave.plans import catalog, pipelines
+
+    source = catalog.event_tables(spark, "/root/testdata/sf0.001")
+    chosen = catalog.settings(spark)
+    got = pipelines.word_count_names(source, chosen)
+    expected = features.feature_names(pipelines.feature_tuples("wordcount", source, chosen))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, expected.collect()))
+    assert "sum(cnt" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_note_word_counts(spark):
     got = words.note_word_counts(notes(spark), lemmas(spark))
     # Lemmas come before stop words, so "wa" and "ha" are not stop words any more.
