@@ -50,6 +50,31 @@ def test_special_strings(library):
     assert 49407 in np.frombuffer(encoder(texts[:1])[0], "<u2")
 
 
+def test_words_of_letters_are_encoded_together(library, monkeypatch):
+    """Fewer calls than words, and the ids that each word has by itself; other words are not joined."""
+    monkeypatch.setattr(records, "JOINED_WORDS", 7)
+    r = random.Random(5)
+    pool = "abcdefgéßΣσς日ǅǃıİ"
+    words = list({"".join(r.choice(pool) for _ in range(r.randint(1, 12))) for _ in range(300)} | {"!", "a!", "", "1", "'s", "x's", "a\u0301"})
+    calls = []
+
+    class Counted:
+        truncation = padding = None
+
+        def encode(self, text, **options):
+            calls.append(text)
+            return library.encode(text, **options)
+
+        def encode_batch_fast(self, texts, **options):
+            calls.extend(texts)
+            return library.encode_batch_fast(texts, **options)
+
+    order, flat, starts, ends = records.WordIds(Counted())(words)
+    assert sorted(order) == sorted(words) and len(calls) < len(words) / 2
+    for word, start, end in zip(order, starts, ends, strict=True):
+        assert flat[start:end].tolist() == library.encode(word, add_special_tokens=False).ids
+
+
 def test_encoder_forgets(library, monkeypatch):
     monkeypatch.setattr(records, "KEPT_PARTS", 3)
     encoder = records.Encoder(PATH)
