@@ -37,8 +37,9 @@ from riskweave.llm.common import map_rows, small
 from riskweave.llm.components import connected
 from riskweave.operators.runtime import hot_keys, release, spread_join, stored
 
-# Words kept with their hash in each worker; beyond it the store starts anew.
-KEPT_WORDS = 400_000
+# Words kept with their hash in a task; beyond it the store starts anew.  Most rare words never come again, and a worker
+# that goes on to other work shouldn't hold them.
+KEPT_WORDS = 100_000
 # Lists up to this length give all pairs.
 SHORT_LIST = 8
 PIVOT_ROUNDS = 1
@@ -204,6 +205,7 @@ def set_rows(documents: DataFrame, size: int, num: int, den: int) -> DataFrame:
                     slices[key % SLICES].append(key)
                 rows.append((doc_id, len(hashes), *_signed(marks), *slices))
             yield rows
+        _words.clear()
 
     return map_rows(documents.select("doc_id", "text"), run, _SETS)
 
@@ -252,6 +254,7 @@ class Join:
             for batch in batches:
                 sets = [(doc_id, shingles(text, size)) for doc_id, text in batch]
                 yield [(doc_id, len(s), *parities(s), _signed(s)) for doc_id, s in sets]
+            _words.clear()
 
         bits = ", ".join(f"{p} long" for p in PARITIES)
         return map_rows(texts, run, f"doc_id long, n int, {bits}, hashes array<long>")

@@ -121,3 +121,17 @@ def test_keep_one(spark):
 def test_query(spark, small):
     docs = [tuple(x) for x in spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").collect()]
     assert sorted((tuple(r) for r in queries.op5_jaccard_join(spark, small).collect()), key=repr) == brute(docs)
+
+
+def test_a_task_leaves_no_words_behind(monkeypatch):
+    """A worker that goes on to another stage holds none of them, whatever the task has seen."""
+    taken = {}
+    monkeypatch.setattr(jaccard, "map_rows", lambda frame, run, columns: taken.setdefault("run", run))
+
+    class Documents:
+        def select(self, *columns):
+            return self
+
+    jaccard.set_rows(Documents(), 3, 90, 100)
+    rows = [row for batch in taken["run"](iter([[(1, "one two three four"), (2, None)]])) for row in batch]
+    assert [r[1] for r in rows] == [2, 0] and not jaccard._words
