@@ -18,9 +18,11 @@ up as it is (1), or be looked up with its one-deletion neighbourhood (2, it
 may then differ in one hash).  Levels that sum up to H + 1 find every link,
 and each set takes the levels that meet the fewest others.
 
-Candidates whose sizes or bit parities rule a link out are left; the others are
-verified on the whole sets.  Copies, sets that are equal, are
-one class from the start.
+Candidates whose sizes or bit parities rule a link out are left.  The others
+are held against each other by sketches, the first 16 bits of every hash: sets
+differ in at least as many hashes as their sketches.  Only those that may link
+even then are verified on the whole sets, which are made anew from the texts
+of these few.  Copies, sets that are equal, are one class from the start.
 """
 
 from collections.abc import Iterator
@@ -57,7 +59,12 @@ _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B
 # a slice of them is being shuffled at a time.
 SLICES = 8
 _SLICES = [f"signatures{k}" for k in range(SLICES)]
-_SETS = ", ".join(["doc_id long, n int, c1 long, c2 long", *(f"{name} array<long>" for name in _SLICES)])
+_BITS = ", ".join(f"{p} long" for p in PARITIES)
+_SETS = ", ".join(
+    ["doc_id long, n int, c1 long, c2 long", _BITS, "sketch binary", *(f"{name} array<long>" for name in _SLICES)]
+)
+# Values of the parts of hashes that a sketch holds.
+SKETCH_VALUES = 1 << 16
 
 
 def mixed(values: np.ndarray) -> np.ndarray:
@@ -107,6 +114,25 @@ def parities(hashes: np.ndarray) -> list[int]:
     return _signed(np.packbits(counts.astype(np.uint8)).view(np.uint64))
 
 
+def sketch(hashes: np.ndarray) -> bytes:
+    """The first 16 bits of each of the sorted hashes."""
+    return (hashes >> np.uint64(48)).astype("<u2").tobytes()
+
+
+def may_link(rows: list[tuple], num: int, den: int) -> list[tuple]:
+    """(a, b) of rows (a, b, sketch of a, sketch of b) whose sketches differ in no more values than links may."""
+    found, last, counts = [], None, np.empty(0)
+    for a, b, left, right in rows:
+        if left != last:
+            last, counts = left, np.bincount(np.frombuffer(left, dtype="<u2"), minlength=SKETCH_VALUES)
+        values, n = np.unique(np.frombuffer(right, dtype="<u2"), return_counts=True)
+        both = (len(left) + len(right)) // 2
+        differ = both - 2 * int(np.minimum(counts[values], n).sum())
+        if differ * (den + num) <= both * (den - num):
+            found.append((a, b))
+    return found
+
+
 class Bands:
     """Size bands and numbers of segments for links with ``den * intersection >= num * union``."""
 
@@ -185,7 +211,7 @@ def signatures(hashes: np.ndarray, band: int, bands: Bands) -> list[int]:
 
 
 def set_rows(documents: DataFrame, size: int, num: int, den: int) -> DataFrame:
-    """Size, two checksums that name the class, and signatures of every row's set, each slice in a column."""
+    """Size, two checksums that name the class, parities, sketch and signatures of every row's set, each slice in a column."""
 
     def run(batches: Iterator[list[tuple]]) -> Iterator[list[tuple]]:
         bands = Bands(num, den)
@@ -203,7 +229,7 @@ def set_rows(documents: DataFrame, size: int, num: int, den: int) -> DataFrame:
                 slices: list[list[int]] = [[] for _ in range(SLICES)]
                 for key in found:
                     slices[key % SLICES].append(key)
-                rows.append((doc_id, len(hashes), *_signed(marks), *slices))
+                rows.append((doc_id, len(hashes), *_signed(marks), *parities(hashes), sketch(hashes), *slices))
             yield rows
         _words.clear()
 
@@ -229,9 +255,12 @@ class Join:
             lists.append(self.keep(rows.join(small(shared), "key")))
             release(shared)
         self.lists = reduce(DataFrame.unionByName, lists)
-        # From here on the sets are needed without their signatures.
-        whole, self.sets = self.sets, self.keep(self.sets.drop(*_SLICES))
-        release(whole)
+        # From here on the sets are needed without their signatures, and facts of those in lists alone.
+        whole, listed = self.sets, stored(self.lists.select("doc_id").distinct())
+        self.sets = self.keep(whole.select("doc_id", "n", "c1", "c2"))
+        facts = named.select("doc_id", "n", *PARITIES, "sketch").join(small(listed), "doc_id", "left_semi")
+        self.facts = self.keep(facts)
+        release(whole, listed)
         self.links: DataFrame | None = None
         self.checked: DataFrame | None = None
 
@@ -244,20 +273,27 @@ class Join:
         """Nothing of the join is read from here on."""
         release(*self.held)
 
-    def members(self) -> DataFrame:
-        """(doc_id, n, parities, hashes) of the sets that are in some list."""
-        wanted = small(stored(self.lists.select("doc_id").distinct()))
-        texts = self.documents.select("doc_id", "text").join(wanted, "doc_id", "left_semi")
+    def members(self, wanted: DataFrame) -> DataFrame:
+        """(doc_id, hashes) of the sets of ``wanted`` (doc_id), from their texts."""
+        texts = self.documents.select("doc_id", "text").join(small(wanted), "doc_id", "left_semi")
         size = self.size
 
         def run(batches: Iterator[list[tuple]]) -> Iterator[list[tuple]]:
             for batch in batches:
-                sets = [(doc_id, shingles(text, size)) for doc_id, text in batch]
-                yield [(doc_id, len(s), *parities(s), _signed(s)) for doc_id, s in sets]
+                yield [(doc_id, _signed(shingles(text, size))) for doc_id, text in batch]
             _words.clear()
 
-        bits = ", ".join(f"{p} long" for p in PARITIES)
-        return map_rows(texts, run, f"doc_id long, n int, {bits}, hashes array<long>")
+        return map_rows(texts, run, "doc_id long, hashes array<long>")
+
+    def side_by_side(self, pairs: DataFrame, held: DataFrame, column: str) -> DataFrame:
+        """(a, b, left, right) of stored ``pairs`` (a, b), with ``column`` of ``held`` (doc_id, column) for both."""
+        one = held.select(F.col("doc_id").alias("a"), F.col(column).alias("left"))
+        two = held.select(F.col("doc_id").alias("b"), F.col(column).alias("right"))
+        # Only one of each pair travels, and the first ones once; a first one with many others meets them in parts.
+        sizes = self.keep(pairs.groupBy("a").agg(F.count("*").alias("n")))
+        firsts = one.join(small(sizes.select("a")), "a", "left_semi")
+        hot = hot_keys(sizes, "a", "n", HOT_PAIRS)
+        return spread_join(two.join(small(pairs), "b"), firsts, "a", hot, F.xxhash64("b")).select("a", "b", "left", "right")
 
     def verify(self, pairs: DataFrame) -> None:
         """Adds those of ``pairs`` (a, b) to the links that link; no pair is held against each other twice."""
@@ -265,19 +301,21 @@ class Join:
         if self.checked is not None:
             pairs = pairs.join(self.checked, ["a", "b"], "left_anti")
         pairs = self.keep(pairs)
-        if self.links is None:
-            self.all_members = stored(self.members())
-        one = self.all_members.select(F.col("doc_id").alias("a"), F.col("hashes").alias("left"))
-        two = self.all_members.select(F.col("doc_id").alias("b"), F.col("hashes").alias("right"))
-        # Only one set of each pair travels, and the first ones once; a first one with many others meets them in parts.
-        sizes = stored(pairs.groupBy("a").agg(F.count("*").alias("n")))
-        firsts = one.join(small(sizes.select("a")), "a", "left_semi")
-        hot = hot_keys(sizes, "a", "n", HOT_PAIRS)
-        both = spread_join(two.join(small(pairs), "b"), firsts, "a", hot, F.xxhash64("b"))
+        num, den = self.num, self.den
+
+        def run(batches: Iterator[list[tuple]]) -> Iterator[list[tuple]]:
+            for batch in batches:
+                yield may_link(batch, num, den)
+
+        both = self.side_by_side(pairs, self.facts, "sketch")
+        likely = stored(map_rows(both, run, "a long, b long").distinct())
+        ends = stored(likely.selectExpr("explode(array(a, b)) AS doc_id").distinct())
+        members = stored(self.members(ends))
+        both = self.side_by_side(likely, members, "hashes")
         shared = F.size(F.array_intersect("left", "right"))
         union = F.size("left") + F.size("right") - shared
-        found = self.keep(both.filter(self.den * shared >= self.num * union).select("a", "b").distinct())
-        release(sizes)
+        found = self.keep(both.filter(den * shared >= num * union).select("a", "b").distinct())
+        release(likely, ends, members)
         self.links = found if self.links is None else self.links.unionByName(found)
         self.checked = pairs if self.checked is None else self.checked.unionByName(pairs)
 
@@ -303,7 +341,7 @@ class Join:
         named = named.select("key", "doc_id", "n", "length", F.coalesce("component", "doc_id").alias("component"))
         several = named.groupBy("key").agg(F.min("component").alias("first"), F.max("component").alias("last"))
         several = stored(several.filter("first != last").select("key"))
-        facts = self.all_members.select("doc_id", *PARITIES).distinct()
+        facts = self.facts.select("doc_id", *PARITIES).distinct()
         found = stored(named.join(small(several), "key").join(facts, "doc_id"))
         release(known, several)
         return found
@@ -351,8 +389,7 @@ class Join:
                         rows += [(doc_id, band, s, 1, k) for s, k in zip(at.tolist(), less)]
                     yield rows
 
-        rows = self.all_members.select("doc_id", "hashes").join(lists.select("doc_id").distinct(), "doc_id", "left_semi")
-        return map_rows(rows, run, "doc_id long, band int, segment int, kind int, key long")
+        return map_rows(self.members(stored(lists.select("doc_id").distinct())), run, "doc_id long, band int, segment int, kind int, key long")
 
     def allocated_pairs(self, lists: DataFrame) -> DataFrame:
         """Pairs of different components that the allocation by cost finds."""
@@ -397,7 +434,7 @@ class Join:
             lists = before.filter(F.col("length") > SHORT_LIST)
         if not lists.isEmpty():
             self.verify(self.allocated_pairs(lists))
-        release(before, self.all_members)
+        release(before)
 
     def result(self) -> DataFrame:
         sets = self.sets.select("doc_id", "n", "c1", "c2")

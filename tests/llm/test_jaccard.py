@@ -135,3 +135,37 @@ def test_a_task_leaves_no_words_behind(monkeypatch):
     jaccard.set_rows(Documents(), 3, 90, 100)
     rows = [row for batch in taken["run"](iter([[(1, "one two three four"), (2, None)]])) for row in batch]
     assert [r[1] for r in rows] == [2, 0] and not jaccard._words
+
+
+def test_sketches_rule_out_no_link():
+    """A pair goes on if it may link; long sets that share half of their shingles don't."""
+    r = np.random.default_rng(4)
+    for n in (1, 7, 300, 4000, 90_000):
+        base = np.unique(r.integers(0, 2**64, n, dtype=np.uint64))
+        for share in (0.0, 0.02, 0.1, 0.3, 0.5):
+            other = np.unique(np.concatenate([base[int(share * n) :], r.integers(0, 2**64, int(share * n), dtype=np.uint64)]))
+            shared = len(np.intersect1d(base, other))
+            links = 100 * shared >= 90 * (len(base) + len(other) - shared)
+            goes_on = jaccard.may_link([(1, 2, jaccard.sketch(base), jaccard.sketch(other))], 90, 100) == [(1, 2)]
+            assert goes_on or not links
+            assert not goes_on or links or n == 90_000
+
+
+def test_only_likely_pairs_travel_whole(spark, monkeypatch):
+    """Long texts share a segment with many others; hashes of those that can't link are not stored or shuffled."""
+    r = random.Random(6)
+    base = [f"v{r.randrange(10**6)}" for _ in range(3000)]
+    texts = [" ".join(base[:2000] + [f"u{k}x{j}" for j in range(1000)]) for k in range(6)]
+    texts += [texts[0] + " and one more"]
+    wanted = []
+    before = jaccard.Join.members
+
+    def members(self, ends):
+        wanted.extend(x.doc_id for x in ends.collect())
+        return before(self, ends)
+
+    monkeypatch.setattr(jaccard.Join, "members", members)
+    monkeypatch.setattr(jaccard.Join, "allocated_pairs", lambda self, lists: spark.createDataFrame([], "a long, b long"))
+    rows = list(enumerate(texts))
+    assert found(spark, rows) == brute(rows)
+    assert set(wanted) == {0, 6}
