@@ -89,6 +89,11 @@ class Words(dict):
 _words = Words()
 
 
+def forget_words() -> None:
+    """Empties the store of a worker.  A function of its own: the store's name in a task's closure would be a copy."""
+    _words.clear()
+
+
 def shingles(text: str | None, size: int) -> np.ndarray:
     """Sorted distinct hashes of runs of ``size`` words; of fewer words the whole sequence is one."""
     # Bytes: only A-Z get lower case, and words part at blanks and the characters 9 to 13.
@@ -231,7 +236,7 @@ def set_rows(documents: DataFrame, size: int, num: int, den: int) -> DataFrame:
                     slices[key % SLICES].append(key)
                 rows.append((doc_id, len(hashes), *_signed(marks), *parities(hashes), sketch(hashes), *slices))
             yield rows
-        _words.clear()
+        forget_words()
 
     return map_rows(documents.select("doc_id", "text"), run, _SETS)
 
@@ -281,7 +286,7 @@ class Join:
         def run(batches: Iterator[list[tuple]]) -> Iterator[list[tuple]]:
             for batch in batches:
                 yield [(doc_id, _signed(shingles(text, size))) for doc_id, text in batch]
-            _words.clear()
+            forget_words()
 
         return map_rows(texts, run, "doc_id long, hashes array<long>")
 
