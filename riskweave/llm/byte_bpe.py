@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskweave.llm.common import map_rows
+from riskweave.llm.common import kept, map_rows
 from riskweave.llm.splitting import WordSplitter
 
 GROUP_BITS = 8
@@ -208,14 +208,9 @@ class Codec:
         )
 
 
-_codecs: dict[tuple[str, str], Codec] = {}
-
-
 def codec(path: str, pattern: str) -> Codec:
-    """One codec for each vocabulary in a worker process."""
-    if (path, pattern) not in _codecs:
-        _codecs[path, pattern] = Codec(path, pattern)
-    return _codecs[path, pattern]
+    """One codec for each vocabulary in a worker process, until other operators need the memory."""
+    return kept(("byte_bpe", path, pattern), lambda: Codec(path, pattern))
 
 
 def encode(documents: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -233,7 +228,7 @@ def encode(documents: DataFrame, path: str, pattern: str) -> DataFrame:
             yield [(doc_id, len(ids) // 4, ids) for doc_id, ids in encoded]
 
     texts = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return map_rows(texts, run, "doc_id long, n_tokens long, ids binary")
+    return map_rows(texts, run, "doc_id long, n_tokens long, ids binary", ("byte_bpe", path, pattern))
 
 
 def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -248,4 +243,5 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
         encoded.select("doc_id", "n_tokens", "ids"),
         run,
         "doc_id long, n_tokens long, ids binary, decoded binary",
+        ("byte_bpe", path, pattern),
     )

@@ -1,3 +1,4 @@
+import gc
 import hashlib
 import random
 
@@ -6,7 +7,8 @@ import public_tokenizers
 import pytest
 import tiktoken
 
-from riskweave.llm import byte_bpe, queries, splitting
+from riskweave.llm import byte_bpe, queries, splitting, toxicity
+from riskweave.llm.common import map_rows
 from tests.llm.conftest import expected_rows, rows_of
 
 PATH, PATTERN = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
@@ -97,3 +99,21 @@ def test_query(spark, small, library):
         assert found.n_tokens == len(ids) // 4 and found.ids_sha256 == hashlib.sha256(ids).hexdigest()
         assert found.decoded_sha256 == hashlib.sha256(row.text.encode()).hexdigest()
     assert not got
+
+
+def test_workers_drop_the_codec_for_other_operators(spark, odd_documents):
+    """What a worker keeps goes when a task of another operator comes, and stays for one that uses it."""
+
+    def codecs(batches):
+        found = sum(isinstance(x, byte_bpe.Codec) for x in gc.get_objects())
+        yield [(found,) for batch in batches for _ in batch]
+
+    def most(keeps=None):
+        return max(r.n for r in map_rows(spark.range(0, 64, 1, 8), codecs, "n int", keeps).collect())
+
+    texts = spark.range(0, 64, 1, 8).selectExpr("id AS doc_id", "CAST(id AS string) AS text")
+    byte_bpe.encode(texts, PATH, PATTERN).collect()
+    assert most(("byte_bpe", PATH, PATTERN)) >= 1
+    assert toxicity.character_counts(texts).count() > 0
+    byte_bpe.encode(texts, PATH, PATTERN).collect()
+    assert most() == 0
