@@ -117,6 +117,48 @@ def test_pca_against_numpy(spark):
     assert np.allclose(np.abs([r["components"] for r in got]), np.abs(centred @ axes[:3].T), atol=1e-6)
 
 
+def test_pca_leaves_only_its_axes_and_scores(spark, monkeypatch):
+    """Tables of a step go with it, and no more than a few dense ones are there at a time."""
+    placed, gone, most = [], [], []
+
+    def keep(frame, before=pca.stored):
+        found = before(frame)
+        placed.append(found.stored_at)
+        most.append(len(set(placed) - set(gone)))
+        return found
+
+    def drop(*frames, before=pca.release):
+        gone.extend(f.stored_at for f in frames)
+        before(*frames)
+
+    for module in (pca, tiles):
+        monkeypatch.setattr(module, "stored", keep)
+    monkeypatch.setattr(pca, "release", drop)
+    rows = [(f"p{i:02d}", (i * j) % 9, float(1 + i + j)) for i in range(20) for j in range(3)]
+    long = spark.createDataFrame(rows, "subject_id string, idx int, value double").dropDuplicates(["subject_id", "idx"])
+    fitted = pca.fit(long, 20, 9, 3)
+    assert set(placed) - set(gone) == {fitted.axes.stored_at}
+    ids = long.select("subject_id").distinct()
+    assert pca.project(long, ids, fitted).count() == 20
+    assert len(set(placed) - set(gone)) == 2 and max(most) <= 6
+
+
+def test_a_products_dense_sides_go_with_the_cores(spark, monkeypatch):
+    """A dense side is copied for the parts of a band, not for every partition of a shuffle."""
+    copies = []
+    monkeypatch.setattr(tiles, "_meeting", lambda *rest, before=tiles._meeting: copies.append(rest[-1]) or before(*rest))
+    rows = [(f"p{i:02d}", 0, 1.0) for i in range(20)]
+    cut = tiles.tiled(spark.createDataFrame(rows, "subject_id string, idx int, value double"), 1, 1, 1)
+    dense = spark.createDataFrame([(0, np.ones(1).tobytes())], "key int, values binary")
+    name, before = "spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set(name, "1000")
+        tiles.times(cut, dense, 1)
+    finally:
+        spark.conf.set(name, before)
+    assert copies == [2 * spark.sparkContext.defaultParallelism]
+
+
 @pytest.mark.parametrize("block_entries, band_width", [(1 << 18, 1 << 14), (40, 3), (1, 1), (7, 100)])
 def test_products_of_tiles(spark, block_entries, band_width, monkeypatch):
     """Any cut gives the products of the whole matrix, also when sums leave their task early."""
