@@ -94,3 +94,32 @@ def test_linear_margins(spark, data):
         got = {r.subject_id: r.margin for r in model_tables.linear_margins(matrix, more, table, 0.5, min_rows).collect()}
         assert got[999] == 0.5
         assert np.allclose([got[i] for i in range(len(x))], x @ weights + 0.5)
+
+
+def test_levels_over_many_blocks(spark, data, monkeypatch):
+    """Small blocks, sums that leave early and few groups at once give the same tree."""
+    x, y = data
+    matrix, targets = frames(spark, x, y)
+    cuts = {r.idx: r.cuts for r in trees.cut_points(matrix, 8).collect()}
+    for name in ("BLOCK_ROWS", "HELD_SUMS", "GROUPS_AT_ONCE"):
+        monkeypatch.setattr(trees, name, 3)
+    nodes = trees.fit_tree(matrix, targets, max_depth=3, max_bins=8)
+    assert sorted((r.node, r.idx, r.bin, r.n, round(r.prediction, 9)) for r in nodes.collect()) == sorted(grown(x, y, cuts, 3))
+
+
+def test_a_level_is_one_small_job(spark, data):
+    """A level costs one job with one shuffle, whatever came before it: boosting has hundreds of levels."""
+    x, y = data
+    matrix, targets = frames(spark, x, y)
+    context = spark.sparkContext
+
+    def jobs(iterations):
+        context.setJobGroup(f"boosted-{iterations}", "")
+        try:
+            trees.fit_boosted(matrix, targets, iterations=iterations, max_depth=3, max_bins=8)
+        finally:
+            context.setLocalProperty("spark.jobGroup.id", None)
+        return len(context.statusTracker().getJobIdsForGroup(f"boosted-{iterations}"))
+
+    # Two stages for each of three levels, for the root's total and for the rows, and not much else.
+    assert jobs(3) - jobs(2) <= 12
